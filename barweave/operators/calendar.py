@@ -137,3 +137,10 @@ def held_since(df: DataFrame, dates: DataFrame) -> DataFrame:
     whole = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     prior = idx.select("date", F.max(F.when(F.col("decides") == 1, F.col("date"))).over(whole).alias("decided"))
     return df.join(prior.where("decided IS NOT NULL"), "date")
+
+
+def dates_after(dates: DataFrame, panel: DataFrame, bars: int) -> DataFrame:
+    """Decision dates by which the calendar holds at least ``bars`` dates."""
+    w = Window.partitionBy(F.lit(0)).orderBy("date")
+    pos = trading_dates(panel).withColumn("_pos", F.row_number().over(w))
+    return dates.join(pos.where(F.col("_pos") >= bars), "date").select("date")
