@@ -16,7 +16,9 @@ def n_obs(r: Column) -> Column:
 
 
 def annual_return(r: Column, periods: int = TRADING_DAYS) -> Column:
-    return F.pow(F.product(1 + r), F.lit(float(periods)) / F.count(r)) - 1
+    """Geometric; NULL when the capital is wiped out."""
+    grown = F.product(1 + r)
+    return F.when(grown > 0, F.pow(grown, F.lit(float(periods)) / F.count(r)) - 1)
 
 
 def annual_vol(r: Column, periods: int = TRADING_DAYS) -> Column:

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def rounded(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
-    """Round floating columns so that both engines' last bits compare equal."""
+def rounded(df: DataFrame, digits: int = 6, exact: frozenset[str] = frozenset(), **per_column: int) -> DataFrame:
+    """Round floating columns so that both engines' last bits compare equal.
+
+    ``exact`` columns are bit-equal already and stay as they are.
+    """
     floating = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
     return df.select(
         *[
-            (F.round(c, per_column.get(c, digits)) + F.lit(0.0)).alias(c) if c in floating else F.col(c)
+            (F.round(c, per_column.get(c, digits)) + F.lit(0.0)).alias(c) if c in floating - exact else F.col(c)
             for c in df.columns
         ]
     )

@@ -39,14 +39,12 @@ def _wishes(spark: SparkSession, d: str) -> DataFrame:
 def capped_fills(spark: SparkSession, d: str) -> DataFrame:
     shares = costs.capped_shares(F.col("wish"), F.col("next_open"), F.col("next_volume"), CAP)
     out = _wishes(spark, d).withColumn("shares", shares)
-    return rounded(
-        out.select(
-            "date",
-            "ticker",
-            "shares",
-            (F.col("shares") * F.col("next_open")).alias("notional"),
-            (F.abs("shares") / F.col("next_volume")).alias("participation"),
-        )
+    return out.select(
+        "date",
+        "ticker",
+        "shares",
+        (F.col("shares") * F.col("next_open")).alias("notional"),
+        (F.abs("shares") / F.col("next_volume")).alias("participation"),
     )
 
 
@@ -104,7 +102,10 @@ def _fills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_fills(spark, d), 4, participation=8)
+    """Fills with the charge in basis points; the price is exact and stays unrounded."""
+    bps = (F.col("cost") / F.abs("notional") * 10_000).alias("cost_bps")
+    f = _fills(spark, d).select("run_id", "date", "ticker", "shares", "price", "participation", bps)
+    return rounded(f, exact=frozenset({"price"}))
 
 
 def _equity(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +169,7 @@ def performance_sql(source: str, digits: int = 6) -> str:
       FROM {source} WHERE r IS NOT NULL),
     pf2 AS (SELECT *, max(wealth) OVER ({s}) AS peak FROM pf1),
     pf3 AS (SELECT *, k - max(k) FILTER (wealth >= peak) OVER ({s}) AS uw FROM pf2),
-    pf4 AS (SELECT series_id, count(*) AS n, power(product(1 + r), 252.0::DOUBLE / count(*)) - 1 AS cagr,
+    pf4 AS (SELECT series_id, count(*) AS n, CASE WHEN product(1 + r) > 0 THEN power(product(1 + r), 252.0::DOUBLE / count(*)) - 1 END AS cagr,
       stddev_samp(r) * sqrt(252) AS vol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe,
       avg(r) / nullif(sqrt(avg(power(least(r, 0), 2))), 0) * sqrt(252) AS sortino,
       min(wealth / peak - 1) AS mdd, avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hit,
@@ -216,8 +217,8 @@ _EQ_RET = """er AS (SELECT run_id AS series_id, date, (cash + value) / lag(cash
 ORACLES = {
     "strategy_performance": f"WITH {BARS}, {CONSTRAINED}, {_PORT}, {performance_sql('port')}",
     "portfolio_returns": f"WITH {BARS}, {CONSTRAINED}, {_PORT} SELECT series_id, date, {r('r', 'r')} FROM port",
-    "capped_fills": f"""WITH {BARS}, {_CAPPED} SELECT date, ticker, {r('shares', 'shares')}, {r('notional', 'notional')},
-        {r('p', 'participation')} FROM part""",
+    "capped_fills": f"""WITH {BARS}, {_CAPPED} SELECT date, ticker, shares, notional,
+        p AS participation FROM part""",
     "trade_costs": f"""WITH {BARS}, {_CAPPED} SELECT date, {r('sum(abs(notional) * 1 / 10000)', 'commission', 4)},
         {r('sum(abs(notional) * p * 5 / 10000)', 'slippage', 4)}, {r('sum(abs(notional) * 0.1 * sqrt(p))', 'impact', 4)},
         {r('sum(abs(notional) * (1.0 / 10000 + p * 5.0 / 10000 + 0.1 * sqrt(p)))', 'total', 4)},
@@ -238,8 +239,8 @@ ORACLES = {
         FROM (SELECT DISTINCT date FROM cw) d CROSS JOIN (SELECT DISTINCT ticker FROM cw) t
         LEFT JOIN cw w ON w.date = d.date AND w.ticker = t.ticker""",
     "ledger": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER} SELECT 'tsmom' AS run_id, date, ticker,
-        {r('shares', 'shares', 4)}, {r('price', 'price', 4)}, {r('notional', 'notional', 4)},
-        {r('participation', 'participation', 8)}, {r('cost', 'cost', 4)} FROM fl""",
+        {r('shares', 'shares')}, price, {r('participation', 'participation')}, {r('cost / abs(notional) * 10000', 'cost_bps')}
+        FROM fl""",
     "equity_curve": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER}, {_EQUITY} SELECT run_id, date, {r('cash', 'cash', 3)},
         {r('cash + value', 'equity', 3)}, {r('gross / (cash + value)', 'gross_leverage')}, {r('borrow', 'borrow', 3)} FROM eq""",
     "equity_summary": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER}, {_EQUITY}, {_EQ_RET},
@@ -252,5 +253,5 @@ ORACLES = {
         nt AS (SELECT series_id, m AS multiplier, port.r - m * coalesce(cost, 0) AS r FROM port LEFT JOIN cs USING (date),
           (SELECT unnest([0.0::DOUBLE, 1.0, 2.0, 5.0]) AS m))
         SELECT series_id, multiplier, {r('avg(r) / stddev_samp(r) * sqrt(252)', 'sharpe')},
-          {r('power(product(1 + r), 252.0::DOUBLE / count(*)) - 1', 'cagr')} FROM nt GROUP BY ALL""",
+          {r('CASE WHEN product(1 + r) > 0 THEN power(product(1 + r), 252.0::DOUBLE / count(*)) - 1 END', 'cagr')} FROM nt GROUP BY ALL""",
 }

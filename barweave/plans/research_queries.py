@@ -21,6 +21,10 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
     return supplier_panel(spark, d).select("date", "ticker", "adj_close")
 
 
+def _sleeves(spark: SparkSession, d: str) -> DataFrame:
+    return sleeve_panel(spark, d).select("date", "ticker", "adj_close")
+
+
 def _months(panel: DataFrame) -> DataFrame:
     return cal.rebalance_dates(panel, "BMS")
 
@@ -67,27 +71,23 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ou(spark: SparkSession, d: str) -> DataFrame:
-    p = _prices(spark, d)
+    p = _sleeves(spark, d)
     return rounded(signals.ou_mean_reversion(p, market_panel(spark, d), _months(p), 63, entry_z=1.0))
 
 
 def ou_fit(spark: SparkSession, d: str) -> DataFrame:
-    p = _prices(spark, d)
+    p = _sleeves(spark, d)
     resid = signals.ou_residuals(p, market_panel(spark, d), _months(p), 63)
     return rounded(signals.ou_fit(resid, ("asof", "ticker")).withColumnRenamed("asof", "date"), 5)
 
 
 def half_life(spark: SparkSession, d: str) -> DataFrame:
-    p = _prices(spark, d)
+    p = _sleeves(spark, d)
     resid = signals.ou_residuals(p, market_panel(spark, d), _months(p), 63)
     hl = signals.half_life(resid, ("asof", "ticker")).withColumnRenamed("asof", "date")
     return rounded(hl.withColumn("half_life", F.nullif("half_life", F.lit(float("inf")))), 5)
 
 
-def _sleeves(spark: SparkSession, d: str) -> DataFrame:
-    return sleeve_panel(spark, d).select("date", "ticker", "adj_close")
-
-
 def pairs_zscore(spark: SparkSession, d: str) -> DataFrame:
     p = _sleeves(spark, d)
     found = pairs.screen_pairs(p, _months(p), 126, entry_z=1.0, stop_z=4.0, adf_threshold=None)
@@ -143,7 +143,8 @@ def equal_weight(spark: SparkSession, d: str) -> DataFrame:
     return rounded(weights.equal_weight(monthly_scores(spark, d)), 8)
 
 
-CAPS = weights.Constraints(max_weight=0.04, min_weight=-0.02, gross_leverage=1.0)
+# Unit prices of these tables jump by orders of magnitude from day to day, so the book is small.
+CAPS = weights.Constraints(max_weight=0.002, min_weight=-0.001, gross_leverage=0.05)
 
 
 def constrained_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +158,7 @@ def constrained(spark: SparkSession, d: str) -> DataFrame:
 
 def turnover_capped(spark: SparkSession, d: str) -> DataFrame:
     w = constrained_weights(spark, d).withColumn("run_id", F.lit("run"))
-    return rounded(weights.cap_turnover(w, 0.5).drop("run_id"), 8)
+    return rounded(weights.cap_turnover(w, 0.03).drop("run_id"), 8)
 
 
 def _complete(spark: SparkSession, d: str) -> DataFrame:
@@ -283,8 +284,8 @@ TSMOM = f"""{_momentum_sql()},
   mm AS (SELECT date, ticker, mom FROM aligned WHERE n >= {LOOKBACK + SKIP + 1} AND mom IS NOT NULL)"""
 _CARRY = """ca AS (SELECT date, ticker, tanh(mom) / sum(abs(tanh(mom))) OVER (PARTITION BY date) AS score FROM mm)"""
 
-_OU = f"""{BARS}, {MARKET}, {calendar_sql()},
-  t AS (SELECT date, ticker, ln(adj_close) AS y, row_number() OVER ({W}) AS n FROM bars),
+_OU = f"""{SLEEVES}, {MARKET}, {calendar_sql('sleeves')},
+  t AS (SELECT date, ticker, ln(adj_close) AS y, row_number() OVER ({W}) AS n FROM sleeves),
   m AS (SELECT date, ticker, ln(adj_close) AS x, row_number() OVER ({W}) AS n FROM market),
   {asof_sql('t', 'n', 'tat')}, {asof_sql('m', 'n', 'mat')},
   tw AS (SELECT a.date AS asof_date, t.ticker, t.date, t.y FROM tat a JOIN t
@@ -330,8 +331,8 @@ _COV = f"""{SLEEVES}, {calendar_sql('sleeves')}, {_YEARS},
 CONSTRAINED = f"""{TSMOM},
   c0 AS (SELECT date, ticker, greatest({CAPS.min_weight}, least({CAPS.max_weight}, score)) AS w FROM ts),
   c1 AS (SELECT *, sum(abs(w)) OVER (PARTITION BY date) AS g FROM c0),
-  cw AS MATERIALIZED (SELECT date, ticker, CASE WHEN g > 1 + 1e-12 OR (g > 0 AND g < 1)
-    THEN greatest({CAPS.min_weight}, least({CAPS.max_weight}, w / g)) ELSE w END AS weight FROM c1)"""
+  cw AS MATERIALIZED (SELECT date, ticker, CASE WHEN g > {CAPS.gross_leverage} + 1e-12 OR (g > 0 AND g < {CAPS.gross_leverage})
+    THEN greatest({CAPS.min_weight}, least({CAPS.max_weight}, w * ({CAPS.gross_leverage} / g))) ELSE w END AS weight FROM c1)"""
 
 ORACLES = {
     "triple_barrier": f"WITH {_TB} SELECT ticker, t0, t1, {r('ret', 'ret')}, bin FROM tb",
@@ -404,7 +405,7 @@ ORACLES = {
         f AS (SELECT 0::BIGINT AS k, []::STRUCT(t VARCHAR, w DOUBLE)[] AS l
           UNION ALL
           SELECT n.k, list_transform(n.d, lambda x: struct_pack(t := x.t, w := x.p + n.shrink * x.m))
-          FROM (SELECT j.k, j.d, least(1.0, 0.5 / nullif(list_sum(list_transform(j.d, lambda x: abs(x.m))), 0)) AS shrink
+          FROM (SELECT j.k, j.d, least(1.0, 0.03 / nullif(list_sum(list_transform(j.d, lambda x: abs(x.m))), 0)) AS shrink
             FROM (SELECT wk.k, list_transform(wk.l, lambda x: struct_pack(t := x.t,
                 p := coalesce(list_filter(f.l, lambda y: y.t = x.t)[1].w, 0.0),
                 m := x.w - coalesce(list_filter(f.l, lambda y: y.t = x.t)[1].w, 0.0))) AS d
