@@ -21,7 +21,7 @@ from barweave.functions.normal import norm_ppf
 from barweave.operators.metrics import SERIES
 
 Statistic = Callable[[np.ndarray], np.ndarray]
-PER_GROUP = 100
+PER_GROUP = 250
 MIN_OBS = 30
 
 
@@ -46,7 +46,11 @@ def var_statistic(method: str, confidence: float = CONFIDENCE) -> Statistic:
         return -(x.mean(axis=1) + _sd(x) * z)
 
     def historical(x: np.ndarray) -> np.ndarray:
-        return -np.quantile(x, 1 - confidence, axis=1)
+        at = (x.shape[1] - 1) * (1 - confidence)
+        lo = int(at)
+        hi = min(lo + 1, x.shape[1] - 1)
+        low, high = np.partition(x, (lo, hi), axis=1)[:, (lo, hi)].T
+        return -(low + (at - lo) * (high - low))
 
     def cornish_fisher(x: np.ndarray) -> np.ndarray:
         n = x.shape[1]

@@ -6,14 +6,14 @@ import math
 import statistics
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.constants import TRADING_DAYS
 from barweave.functions import stats as st
 from barweave.functions.columns import ratio
 from barweave.functions.normal import norm_cdf_column, norm_ppf
-from barweave.functions.rolling import cumulative, ordered, rolling
+from barweave.functions.rolling import cumulative, ordered, trailing
 
 SERIES = "series_id"
 EULER_GAMMA = 0.5772156649
@@ -113,16 +113,25 @@ def per_year(returns: DataFrame) -> DataFrame:
 
 def rolling_sharpe_beta(returns: DataFrame, benchmark: DataFrame, window: int = TRADING_DAYS) -> DataFrame:
     """Rolling Sharpe ratio of each series and its beta to ``benchmark`` (date, b)."""
-    df = returns.where("r IS NOT NULL").join(benchmark.select("date", "b"), "date", "left")
     r, b = F.col("r"), F.col("b")
-    cov = rolling(F.covar_samp, window, r, b, by=SERIES)
-    var = rolling(F.var_samp, window, b, by=SERIES)
-    mean, sd = rolling(F.avg, window, r, by=SERIES), rolling(F.stddev_samp, window, r, by=SERIES)
+    df = returns.where("r IS NOT NULL").join(benchmark.select("date", "b"), "date", "left")
+    # A moving frame is re-read for every row, so it holds only plain sums of ready columns:
+    # the second moments follow from them. Returns are near zero, so nothing cancels.
+    df = df.withColumns({"_r": r, "_b": b, "_rr": r * r, "_bb": b * b, "_rb": r * b, "_k": F.lit(1), "_kb": b * 0 + 1})
+    w = trailing(window, SERIES)
+    sums = ("_r", "_b", "_rr", "_bb", "_rb", "_k", "_kb")
+    df = df.withColumns({c: F.sum(c).over(w) for c in sums})
+    n = float(window)
+
+    def cross(xy: str, x: str, y: str) -> Column:
+        return (F.col(xy) - F.col(x) * F.col(y) / n) / (n - 1)
+
+    sd = F.sqrt(F.greatest(F.lit(0.0), cross("_rr", "_r", "_r")))
     return df.select(
         SERIES,
         "date",
-        (ratio(mean, sd) * math.sqrt(TRADING_DAYS)).alias("roll_sharpe"),
-        ratio(cov, var).alias("roll_beta"),
+        F.when(F.col("_k") == window, ratio(F.col("_r") / n, sd) * math.sqrt(TRADING_DAYS)).alias("roll_sharpe"),
+        F.when(F.col("_kb") == window, ratio(cross("_rb", "_r", "_b"), cross("_bb", "_b", "_b"))).alias("roll_beta"),
     )
 
 

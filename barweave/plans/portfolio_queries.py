@@ -19,8 +19,17 @@ CAPITAL = 10_000_000.0
 CAP = 0.10
 
 
+def book(panel: DataFrame) -> DataFrame:
+    """The momentum strategy's weights at every decision date."""
+    return materialise(constrained_weights(panel).withColumn("run_id", F.lit("tsmom")))
+
+
+def closes(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(supplier_panel(spark, d).select("date", "ticker", "adj_close"))
+
+
 def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return materialise(constrained_weights(spark, d).withColumn("run_id", F.lit("tsmom")))
+    return book(supplier_panel(spark, d).select("date", "ticker", "adj_close"))
 
 
 def _wishes(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +93,8 @@ def dense_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strategy_returns(spark: SparkSession, d: str) -> DataFrame:
-    return execution.portfolio_returns(_weights(spark, d), supplier_panel(spark, d))
+    panel = closes(spark, d)
+    return execution.portfolio_returns(book(panel), panel)
 
 
 def portfolio_returns(spark: SparkSession, d: str) -> DataFrame:
@@ -96,20 +106,24 @@ def strategy_performance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.performance(_strategy_returns(spark, d)))
 
 
-def _fills(spark: SparkSession, d: str) -> DataFrame:
-    p = supplier_panel(spark, d)
-    return execution.fill_orders(execution.orders(_weights(spark, d), p, CAPITAL), MODEL, CAP)
+def _tradable(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(supplier_panel(spark, d).select("date", "ticker", "open", "adj_close", "volume"))
+
+
+def _fills(panel: DataFrame) -> DataFrame:
+    return execution.fill_orders(execution.orders(book(panel), panel, CAPITAL), MODEL, CAP)
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
     """Fills with the charge in basis points; the price is exact and stays unrounded."""
     bps = (F.col("cost") / F.abs("notional") * 10_000).alias("cost_bps")
-    f = _fills(spark, d).select("run_id", "date", "ticker", "shares", "price", "participation", bps)
+    f = _fills(_tradable(spark, d)).select("run_id", "date", "ticker", "shares", "price", "participation", bps)
     return rounded(f, exact=frozenset({"price"}))
 
 
 def _equity(spark: SparkSession, d: str) -> DataFrame:
-    return execution.mark_to_market(materialise(_fills(spark, d)), supplier_panel(spark, d), CAPITAL, MODEL)
+    panel = _tradable(spark, d)
+    return execution.mark_to_market(materialise(_fills(panel)), panel, CAPITAL, MODEL)
 
 
 def equity_curve(spark: SparkSession, d: str) -> DataFrame:
@@ -126,8 +140,8 @@ def benchmark_curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cost_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    w = _weights(spark, d)
-    p = supplier_panel(spark, d)
+    p = _tradable(spark, d)
+    w = book(p)
     gross = execution.portfolio_returns(w, p)
     fills = execution.fill_orders(execution.orders(w, p, CAPITAL), MODEL, CAP)
     spent = fills.groupBy(F.col("run_id").alias("series_id"), "date").agg((F.sum("cost") / CAPITAL).alias("cost"))

@@ -134,30 +134,30 @@ def ml_gbt(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ml.predict(model, features, months))
 
 
-def monthly_scores(spark: SparkSession, d: str) -> DataFrame:
-    p = _prices(spark, d)
+def monthly_scores(p: DataFrame) -> DataFrame:
+    """Momentum scores at month starts, written once for the cross-section steps."""
     return materialise(_tsmom(p, _months(p)))
 
 
 def equal_weight(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(weights.equal_weight(monthly_scores(spark, d)), 8)
+    return rounded(weights.equal_weight(monthly_scores(_prices(spark, d))), 8)
 
 
 # Unit prices of these tables jump by orders of magnitude from day to day, so the book is small.
 CAPS = weights.Constraints(max_weight=0.002, min_weight=-0.001, gross_leverage=0.05)
 
 
-def constrained_weights(spark: SparkSession, d: str) -> DataFrame:
-    scores = monthly_scores(spark, d).select("date", "ticker", F.col("score").alias("weight"))
+def constrained_weights(p: DataFrame) -> DataFrame:
+    scores = monthly_scores(p).select("date", "ticker", F.col("score").alias("weight"))
     return weights.apply_constraints(scores, CAPS)
 
 
 def constrained(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(constrained_weights(spark, d), 8)
+    return rounded(constrained_weights(_prices(spark, d)), 8)
 
 
 def turnover_capped(spark: SparkSession, d: str) -> DataFrame:
-    w = constrained_weights(spark, d).withColumn("run_id", F.lit("run"))
+    w = constrained_weights(_prices(spark, d)).withColumn("run_id", F.lit("run"))
     return rounded(weights.cap_turnover(w, 0.03).drop("run_id"), 8)
 
 

@@ -11,8 +11,8 @@ from barweave.operators import audit as audit_op
 from barweave.operators import calendar as cal
 from barweave.operators import features as ft
 from barweave.plans.common import BARS, MARKET, SECTORS, SLEEVES, W, gated, r, roll, rounded
-from barweave.plans.portfolio_queries import _PORT, performance_sql
-from barweave.plans.research_queries import CONSTRAINED, TSMOM, _tsmom, constrained_weights
+from barweave.plans.portfolio_queries import _PORT, book, closes, performance_sql
+from barweave.plans.research_queries import CONSTRAINED, TSMOM, _tsmom
 from barweave.session import materialise
 from barweave.sources import reference_data
 from barweave.sources.panel import (
@@ -125,15 +125,12 @@ def equity_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.normalised_equity(curve))
 
 
-def _strategy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    w = materialise(constrained_weights(spark, d).withColumn("run_id", F.lit("tsmom")))
-    return w, execution.portfolio_returns(w, supplier_panel(spark, d))
-
-
 def kpis(spark: SparkSession, d: str) -> DataFrame:
-    w, rets = _strategy(spark, d)
+    panel = closes(spark, d)
+    w = book(panel)
     turn = weights.turnover(w).withColumn("series_id", F.lit("tsmom"))
-    return rounded(metrics.kpis(materialise(rets), N_TRIALS, turn).drop("psr", "dsr"))
+    rets = materialise(execution.portfolio_returns(w, panel))
+    return rounded(metrics.kpis(rets, N_TRIALS, turn).drop("psr", "dsr"))
 
 
 def factor_table(spark: SparkSession, d: str) -> DataFrame:
