@@ -69,3 +69,18 @@ def predict(model: PipelineModel | None, features: DataFrame, dates: DataFrame)
     centred = with_group(raw, ["date"], {"_m": F.avg("score")})
     centred = materialise(centred.select("date", "ticker", (F.col("score") - F.col("_m")).alias("score")))
     return to_gross(centred)
+
+
+def ml_signal(
+    panel: DataFrame,
+    dates: DataFrame,
+    train_end: str,
+    barriers: Barriers = Barriers(),
+    thresh: float = 1e-4,
+    **params: object,
+) -> DataFrame:
+    """Fit on bars whose label is known by ``train_end`` and score the decision dates after it."""
+    end = F.lit(train_end).cast("date")
+    past = panel.where(F.col("date") <= end)
+    model = fit(materialise(training_frame(past, barriers, thresh)), **params)
+    return predict(model, feature_frame(panel, thresh), dates.where(F.col("date") > end))

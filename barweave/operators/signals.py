@@ -7,7 +7,6 @@ ticker's last row at every decision date. Without ``dates`` each bar's own date
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -277,19 +276,3 @@ def blend(parts: list[tuple[float, DataFrame]]) -> DataFrame:
         one = s.select("date", "ticker", (F.lit(float(w)) * F.col("score")).alias("score"))
         stacked = one if stacked is None else stacked.unionByName(one)
     return stacked.groupBy("date", "ticker").agg(F.sum("score").alias("score"))
-
-
-SIGNALS: dict[str, Callable[..., DataFrame]] = {
-    "tsmom": tsmom,
-    "xsmom": xsmom,
-    "carry": carry,
-    "quality": quality,
-    "ou": ou_mean_reversion,
-}
-
-
-def signal(kind: str) -> Callable[..., DataFrame]:
-    """A signal builder by name."""
-    if kind not in SIGNALS:
-        raise ValueError(f"unknown signal kind: {kind!r}")
-    return SIGNALS[kind]
