@@ -8,7 +8,13 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-BLOCKS = ("feature_queries", "research_queries", "portfolio_queries", "risk_queries")
+BLOCKS = (
+    "feature_queries",
+    "research_queries",
+    "portfolio_queries",
+    "risk_queries",
+    "store_queries",
+)
 
 
 def _merged(what: str) -> dict:
