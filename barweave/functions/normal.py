@@ -1,4 +1,4 @@
-"""Normal distribution: cdf as a vectorised column function, quantiles as constants."""
+"""Normal and t probabilities: vectorised column functions, and quantiles as constants."""
 
 from __future__ import annotations
 
@@ -27,3 +27,40 @@ def norm_ppf(p: float) -> float:
 def norm_cdf_column(z: pd.Series) -> pd.Series:
     """Spark has no erf; one value per series or run passes through here."""
     return z.map(norm_cdf, na_action="ignore")
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, by the modified Lentz method."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(abs(1.0 - (a + b) * x / (a + 1.0)), tiny)
+    out = d
+    for m in range(1, 500):
+        for num in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1.0 + num * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + num / (c if abs(c) > tiny else tiny)
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return out
+
+
+def t_two_sided(t: float, df: float) -> float:
+    """Probability of a larger absolute value under Student's t with ``df`` degrees."""
+    if df > 1e7:
+        return math.erfc(abs(t) / math.sqrt(2.0))
+    a, b, x = df / 2.0, 0.5, df / (df + t * t)
+    if x >= 1.0:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * _beta_fraction(a, b, x) / a
+    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+
+
+@F.pandas_udf(T.DoubleType())
+def t_two_sided_column(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) else t_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")

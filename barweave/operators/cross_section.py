@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barweave.functions.columns import ratio
 
-BUCKETS_PER_OCTAVE = 64
+BUCKETS_PER_OCTAVE = 512
 
 
 def with_group(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
@@ -29,7 +29,7 @@ def with_group(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column])
 
 def value_bucket(x: Column) -> Column:
     """A coarse long that never decreases as ``x`` grows; independent of the data."""
-    level = F.floor(F.log2(F.abs(x)) * BUCKETS_PER_OCTAVE).cast("long") + 100_000
+    level = F.floor(F.log2(F.abs(x)) * BUCKETS_PER_OCTAVE).cast("long") + 1_000_000
     return F.when(x > 0, level).when(x < 0, -level).otherwise(F.lit(0).cast("long"))
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barweave.functions.normal import t_two_sided_column
 from barweave.operators.cross_section import average_rank
 from barweave.session import materialise
 
@@ -23,12 +24,13 @@ def rank_pairs(df: DataFrame, score: str = "score", fwd: str = "fwd_ret") -> Dat
 
 
 def information_coefficient(df: DataFrame, score: str = "score", fwd: str = "fwd_ret") -> DataFrame:
-    """One row: Spearman correlation, its t statistic and the number of rows; NULL under 30."""
+    """One row: Spearman correlation, its t statistic, p-value and row count; NULL under 30."""
     n = F.count(F.lit(1))
     ic = F.when(n >= MIN_OBS, F.corr("rank_s", "rank_r"))
     out = rank_pairs(df, score, fwd).agg(ic.alias("ic"), n.alias("n_obs"))
     t = F.col("ic") * F.sqrt(F.try_divide(F.col("n_obs") - 2, 1 - F.col("ic") * F.col("ic")))
-    return out.withColumn("t_stat", t)
+    out = out.withColumn("t_stat", t)
+    return out.withColumn("p_value", t_two_sided_column("t_stat", (F.col("n_obs") - 2).cast("double")))
 
 
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.

@@ -105,7 +105,7 @@ def _ic_input(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ic_spearman(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(info.information_coefficient(_ic_input(spark, d)))
+    return rounded(info.information_coefficient(_ic_input(spark, d)).drop("p_value"))
 
 
 def ic_interval(spark: SparkSession, d: str) -> DataFrame:

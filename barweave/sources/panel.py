@@ -56,13 +56,22 @@ def scan_panel(
 
 def select_panel(
     df: DataFrame,
-    tickers: Sequence[str] | None = None,
+    tickers: Sequence[str] | DataFrame | None = None,
     start: str | None = None,
     end: str | None = None,
+    exclude: Sequence[str] = (),
 ) -> DataFrame:
-    """Restrict a panel to tickers and to ``start <= date < end``."""
-    if tickers is not None:
+    """Restrict a panel to tickers and to ``start <= date < end``, without the excluded names.
+
+    ``tickers`` may be a list, which reaches the file scan, or a frame with a ticker column,
+    which becomes a semi join.
+    """
+    if isinstance(tickers, DataFrame):
+        df = df.join(tickers.select("ticker"), "ticker", "left_semi")
+    elif tickers is not None:
         df = df.where(F.col("ticker").isin(*tickers))
+    if exclude:
+        df = df.where(~F.col("ticker").isin(*exclude))
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:

@@ -20,6 +20,9 @@ def test_scan_filters_reach_the_file(panel, spark, tmp_path):
     assert df.count() == 2 * 20 and df.columns == list(pn.PANEL_COLUMNS)
     plan = df._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "In(ticker" in plan.replace(" ", "")
+    some = spark.createDataFrame([("T1",), ("T2",)], "ticker string")
+    kept = pn.select_panel(panel, some, exclude=["T2"]).select("ticker").distinct().collect()
+    assert [r["ticker"] for r in kept] == ["T1"]
     assert pn.scan_panel(spark, path, ["ZZZ"]).columns == list(pn.PANEL_COLUMNS)
 
 
