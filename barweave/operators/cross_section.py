@@ -70,30 +70,39 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "
     return x.join(ranked.drop("_ties"), [*keys, "_v"], "left").drop("_v")
 
 
-def first_rank(df: DataFrame, value: str, tie: str, by: str = "date", out: str = "rank") -> DataFrame:
+def first_rank(
+    df: DataFrame, value: str, tie: str, by: str = "date", out: str = "rank", prefix: int = 8
+) -> DataFrame:
     """Rank of ``value`` within ``by`` with ties in order of ``tie``; adds ``n_ranked``.
 
-    The same two levels as :func:`average_rank`; ties are numbered inside their bucket.
+    Rows are counted per (value, prefix of the tie string), a refinement that keeps the
+    order, so even a value shared by most names is numbered in many small groups.
     """
-    x = df.where(F.col(value).isNotNull()).withColumn("_b", value_bucket(F.col(value)))
+    x = df.where(F.col(value).isNotNull()).withColumns(
+        {
+            "_v": F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.col(value)),
+            "_t": F.substring(F.col(tie), 1, prefix),
+        }
+    )
+    parts = x.groupBy(by, "_v", "_t").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_b", value_bucket(F.col("_v")))
     group = Window.partitionBy(by)
+    below = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        x.groupBy(by, "_b")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn(
-            "_offset",
-            F.coalesce(
-                F.sum("_size").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
+        parts.groupBy(by, "_b")
+        .agg(F.sum("_rows").alias("_size"))
+        .withColumn("_offset", F.coalesce(F.sum("_size").over(below), F.lit(0)))
         .withColumn("n_ranked", F.sum("_size").over(group))
         .drop("_size")
     )
-    inside = Window.partitionBy(by, "_b").orderBy(value, tie)
+    inside = Window.partitionBy(by, "_b").orderBy("_v", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.join(buckets, [by, "_b"]).select(
+        by, "_v", "_t", "n_ranked", (F.col("_offset") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias("_start")
+    )
+    own = Window.partitionBy(by, "_v", "_t").orderBy(tie)
     return (
-        x.join(buckets, [by, "_b"])
-        .withColumn(out, F.col("_offset") + F.row_number().over(inside))
-        .drop("_b", "_offset")
+        x.join(placed, [by, "_v", "_t"])
+        .withColumn(out, F.col("_start") + F.row_number().over(own))
+        .drop("_v", "_t", "_start")
     )
 
 

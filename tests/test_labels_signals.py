@@ -271,8 +271,8 @@ def test_information_coefficient(spark):
     assert (again["ci_low"], again["ci_high"]) == pytest.approx((ci["ci_low"], ci["ci_high"]))
     assert 0 <= got["p_value"] < 1e-6
     # Table values of Student's t.
-    for t, df, p in ((2.228, 10, 0.05), (12.706, 1, 0.05), (2.576, 1e9, 0.01), (1.96, 1e6, 0.05), (0.0, 5, 1.0)):
-        assert t_two_sided(t, df) == pytest.approx(p, abs=2e-4)
+    for t, dof, p in ((2.228, 10, 0.05), (12.706, 1, 0.05), (2.576, 1e9, 0.01), (1.96, 1e6, 0.05), (0.0, 5, 1.0)):
+        assert t_two_sided(t, dof) == pytest.approx(p, abs=2e-4)
     few = information.information_coefficient(df.limit(20)).first()
     assert few["ic"] is None and few["n_obs"] == 20
 
