@@ -127,7 +127,7 @@ def _equity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def equity_curve(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_equity(spark, d), 3, gross_leverage=6)
+    return rounded(_equity(spark, d), 1, gross_leverage=6, borrow=3)
 
 
 def equity_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -255,8 +255,8 @@ ORACLES = {
     "ledger": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER} SELECT 'tsmom' AS run_id, date, ticker,
         {r('shares', 'shares')}, price, {r('participation', 'participation')}, {r('cost / abs(notional) * 10000', 'cost_bps')}
         FROM fl""",
-    "equity_curve": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER}, {_EQUITY} SELECT run_id, date, {r('cash', 'cash', 3)},
-        {r('cash + value', 'equity', 3)}, {r('gross / (cash + value)', 'gross_leverage')}, {r('borrow', 'borrow', 3)} FROM eq""",
+    "equity_curve": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER}, {_EQUITY} SELECT run_id, date, {r('cash', 'cash', 1)},
+        {r('cash + value', 'equity', 1)}, {r('gross / (cash + value)', 'gross_leverage')}, {r('borrow', 'borrow', 3)} FROM eq""",
     "equity_summary": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER}, {_EQUITY}, {_EQ_RET},
         {performance_sql('er', 5)}""",
     "benchmark_curve": f"""WITH {MARKET} SELECT date, ticker,

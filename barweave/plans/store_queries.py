@@ -34,7 +34,7 @@ def run_record(spark: SparkSession, d: str) -> DataFrame:
     config = {"name": "tsmom", "max_weight": CAPS.max_weight, "regions": list(REGIONS)}
     store.log_run(spark, f"{home}/log", "run-1", "tsmom", config, spark.read.parquet(f"{home}/equity"))
     log = store.read_log(spark, f"{home}/log").select("run_id", "config_name", "n_bars", "final_equity")
-    return rounded(log, 3)
+    return rounded(log, 1)
 
 
 def run_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ ORACLES = {
     "stored_panel": f"WITH {BARS} SELECT date, ticker, open, high, low, close, adj_close, volume FROM bars",
     "run_record": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER}, {_EQUITY}
         SELECT 'run-1' AS run_id, 'tsmom' AS config_name, count(*) AS n_bars,
-          {r('arg_max(cash + value, date)', 'final_equity', 3)} FROM eq""",
+          {r('arg_max(cash + value, date)', 'final_equity', 1)} FROM eq""",
     "run_hash": f"""WITH {BARS}, s AS (SELECT ticker, count(*) AS n_bars, CAST(min(date) AS VARCHAR) AS start
           FROM bars GROUP BY ticker)
         SELECT *, substr(sha256('{{"n_bars":' || n_bars || ',"start":"' || start || '","ticker":"' || ticker || '"}}'), 1, 16)
