@@ -22,7 +22,12 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sleeves(spark: SparkSession, d: str) -> DataFrame:
-    return sleeve_panel(spark, d).select("date", "ticker", "adj_close")
+    """Sleeve prices, written once: ten names, but a star join over all trades behind them."""
+    return materialise(sleeve_panel(spark, d).select("date", "ticker", "adj_close"))
+
+
+def _market(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(market_panel(spark, d).select("date", "ticker", "adj_close"))
 
 
 def _months(panel: DataFrame) -> DataFrame:
@@ -72,18 +77,18 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
 
 def ou(spark: SparkSession, d: str) -> DataFrame:
     p = _sleeves(spark, d)
-    return rounded(signals.ou_mean_reversion(p, market_panel(spark, d), _months(p), 63, entry_z=1.0))
+    return rounded(signals.ou_mean_reversion(p, _market(spark, d), _months(p), 63, entry_z=1.0))
 
 
 def ou_fit(spark: SparkSession, d: str) -> DataFrame:
     p = _sleeves(spark, d)
-    resid = signals.ou_residuals(p, market_panel(spark, d), _months(p), 63)
+    resid = signals.ou_residuals(p, _market(spark, d), _months(p), 63)
     return rounded(signals.ou_fit(resid, ("asof", "ticker")).withColumnRenamed("asof", "date"), 5)
 
 
 def half_life(spark: SparkSession, d: str) -> DataFrame:
     p = _sleeves(spark, d)
-    resid = signals.ou_residuals(p, market_panel(spark, d), _months(p), 63)
+    resid = signals.ou_residuals(p, _market(spark, d), _months(p), 63)
     hl = signals.half_life(resid, ("asof", "ticker")).withColumnRenamed("asof", "date")
     return rounded(hl.withColumn("half_life", F.nullif("half_life", F.lit(float("inf")))), 5)
 

@@ -197,6 +197,18 @@ def test_allocate_over_dates(panel, wide, spark, kind):
         al.allocate(kind, scores, returns, 100, max_names=3).collect()
 
 
+def test_allocate_from_one_materialised_panel(panel, wide):
+    """Scores and returns may share a lineage."""
+    from barweave.session import materialise
+
+    p = materialise(panel.select("date", "ticker", "adj_close"))
+    last = F.lit(str(wide.index[-1])).cast("date")
+    scores = p.where(F.col("date") == last).select("date", "ticker", F.col("adj_close").alias("score"))
+    returns = p.withColumn("r", ft.log_ret()).select("date", "ticker", "r")
+    w = al.allocate("hrp", scores, returns, 100).toPandas()["weight"]
+    assert len(w) == 5 and w.sum() == pytest.approx(1.0)
+
+
 def test_unknown_allocator(panel):
     with pytest.raises(ValueError):
         al.allocate("magic", panel, panel)
