@@ -210,16 +210,26 @@ def risk_contrib(spark: SparkSession, d: str) -> DataFrame:
     return rounded(covariance.risk_contributions(w, cov).withColumnRenamed("asof", "date"))
 
 
-def _allocator(kind: str, **params: object):
+def _allocator(kind: str, window: int = 126, **params: object):
     def query(spark: SparkSession, d: str) -> DataFrame:
         p = _sleeves(spark, d)
         scores = materialise(_tsmom(p, _months(p)))
         logs = p.withColumn("r", ft.log_ret()).select("date", "ticker", "r")
-        return rounded(allocators.allocate(kind, scores, logs, 126, **params))
+        return rounded(allocators.allocate(kind, scores, logs, window, **params))
 
     return query
 
 
+def hrp_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Names, total and least weight per date: the budget the tree-based weights must spend."""
+    w = _allocator("hrp")(spark, d)
+    return w.groupBy("date").agg(
+        F.count(F.lit(1)).alias("names"),
+        (F.round(F.sum("weight"), 4) + 0.0).alias("budget"),
+        (F.min("weight") > 0).alias("long_only"),
+    )
+
+
 QUERIES = {
     "triple_barrier": triple_barrier,
     "meta_labels": meta_labels,
@@ -250,6 +260,9 @@ QUERIES = {
     "erc": _allocator("erc", use_alpha_sign=True),
     "mvo": _allocator("mvo", max_weight=0.3, min_weight=-0.3),
     "black_litterman": _allocator("black_litterman"),
+    "hrp_budget": hrp_budget,
+    # Ten bars are too few for a covariance, so the identity problem is solved: a closed form.
+    "mvo_identity": _allocator("mvo", window=10, max_weight=0.3, min_weight=-0.3),
 }
 
 # --- SQL twins -------------------------------------------------------------
@@ -283,9 +296,9 @@ def _momentum_sql(panel: str = "bars") -> str:
     {calendar_sql(panel)}, {asof_sql('stat', 'mom, n, sd')}"""
 
 
-TSMOM = f"""{_momentum_sql()},
-  ts AS (SELECT date, ticker, sign(mom) * 0.1 / (sd * sqrt(252)) AS score FROM aligned
-    WHERE n >= {LOOKBACK + SKIP + VOL_WINDOW} AND sd > 0 AND mom IS NOT NULL),
+_SCORES = f"""ts AS (SELECT date, ticker, sign(mom) * 0.1 / (sd * sqrt(252)) AS score FROM aligned
+    WHERE n >= {LOOKBACK + SKIP + VOL_WINDOW} AND sd > 0 AND mom IS NOT NULL)"""
+TSMOM = f"""{_momentum_sql()}, {_SCORES},
   mm AS (SELECT date, ticker, mom FROM aligned WHERE n >= {LOOKBACK + SKIP + 1} AND mom IS NOT NULL)"""
 _CARRY = """ca AS (SELECT date, ticker, tanh(mom) / sum(abs(tanh(mom))) OVER (PARTITION BY date) AS score FROM mm)"""
 
@@ -340,6 +353,10 @@ CONSTRAINED = f"""{TSMOM},
     THEN greatest({CAPS.min_weight}, least({CAPS.max_weight}, w * ({CAPS.gross_leverage} / g))) ELSE w END AS weight FROM c1)"""
 
 ORACLES = {
+    "hrp_budget": f"""WITH {SLEEVES}, {_momentum_sql('sleeves')}, {_SCORES}
+        SELECT date, count(*) AS names, 1.0::DOUBLE AS budget, true AS long_only FROM ts GROUP BY date""",
+    "mvo_identity": f"""WITH {SLEEVES}, {_momentum_sql('sleeves')}, {_SCORES}
+        SELECT date, ticker, {r('greatest(-0.3, least(0.3, score / (5 * (1 + 1e-8))))', 'weight')} FROM ts""",
     "triple_barrier": f"WITH {_TB} SELECT ticker, t0, t1, {r('ret', 'ret')}, bin FROM tb",
     "meta_labels": f"""WITH {_TB}, p AS (SELECT date, ticker, sign(adj_close / lag(adj_close, 21) OVER ({W}) - 1) AS pred
         FROM bars) SELECT p.date, p.ticker, CASE WHEN sign(pred) = sign(bin) THEN 1 ELSE 0 END AS meta
