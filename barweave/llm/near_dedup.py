@@ -205,34 +205,41 @@ def similar(signatures: np.ndarray, to: np.ndarray) -> np.ndarray:
     return ((signatures == to).mean(1) - 1 / 256) / (1 - 1 / 256)
 
 
-def bucket_pairs(refs: np.ndarray, signatures: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs of one bucket to verify: every item with the leaders it resembles, and each
-    item that no leader holds for sure with the two items nearest to it."""
+def bucket_links(refs: np.ndarray, signatures: np.ndarray) -> dict[int, set[int]]:
+    """Items of one bucket that each item is to be verified with: the leaders it resembles
+    and, if no leader holds it for sure, the two items nearest to it."""
     order = np.argsort(refs, kind="stable")
     refs, signatures = refs[order], signatures[order]
     n = len(refs)
     best, is_leader = np.zeros(n), np.zeros(n, bool)
-    out: set[tuple[int, int]] = set()
+    out: dict[int, set[int]] = {}
     for i in range(n):
         if best[i] >= LIKELY:
             continue
         is_leader[i] = True
         s = similar(signatures, signatures[i])
         s[i] = 0
-        out.update((i, int(j)) for j in np.flatnonzero(s >= LIKELY))
+        for j in np.flatnonzero(s >= LIKELY):
+            out.setdefault(int(refs[j]), set()).add(int(refs[i]))
         best = np.maximum(best, s)
     for i in np.flatnonzero((best >= LIKELY) & (best < SURE) & ~is_leader):
         s = similar(signatures, signatures[i])
         s[i] = 0
-        out.update((int(i), int(j)) for j in np.argsort(-s, kind="stable")[:2] if s[j] >= LIKELY)
-    return {(int(min(refs[i], refs[j])), int(max(refs[i], refs[j]))) for i, j in out if refs[i] != refs[j]}
+        near = np.argsort(-s, kind="stable")[:2]
+        out.setdefault(int(refs[i]), set()).update(int(refs[j]) for j in near if s[j] >= LIKELY)
+    return out
 
 
 def _bucket(table: pa.Table) -> pa.Table:
     refs = table.column("ref").to_numpy()
     signatures = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(refs), REGISTERS)
-    pairs = sorted(bucket_pairs(refs, signatures))
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    found = bucket_links(refs, signatures)
+    return pa.table(
+        {
+            "ref": pa.array(list(found), pa.int64()),
+            "near": pa.array([sorted(v) for v in found.values()], pa.list_(pa.int64())),
+        }
+    )
 
 
 def candidates(signatures: DataFrame) -> DataFrame:
@@ -275,7 +282,17 @@ def candidates(signatures: DataFrame) -> DataFrame:
         F.least("first", "ref").alias("a"), F.greatest("first", "ref").alias("b")
     )
     grouped = medium.unionByName(split.select("key", "salt", "ref", "short"))
-    led = grouped.groupBy("key", "salt").applyInArrow(_bucket, "a long, b long")
+    # An item names the same leaders in many buckets: one list per item and bucket, joined
+    # before its pairs are spread. A list has a few leaders, and an item BANDS * SPLITS lists.
+    led = (
+        grouped.groupBy("key", "salt")
+        .applyInArrow(_bucket, "ref long, near array<bigint>")
+        .groupBy("ref")
+        .agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        .select("ref", F.explode("near").alias("other"))
+        .where("ref != other")
+        .select(F.least("ref", "other").alias("a"), F.greatest("ref", "other").alias("b"))
+    )
     return twos.unionByName(few).unionByName(led).unionByName(stars).distinct()
 
 
