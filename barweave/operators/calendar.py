@@ -131,6 +131,12 @@ def asof_last(df: DataFrame, dates: DataFrame, calendar: DataFrame | None = None
     )
 
 
+def next_dates(panel: DataFrame) -> DataFrame:
+    """(date, next_date): each calendar date with the one after it."""
+    w = Window.partitionBy(F.lit(0)).orderBy("date")
+    return trading_dates(panel).withColumn("next_date", F.lead("date").over(w)).where("next_date IS NOT NULL")
+
+
 def held_since(df: DataFrame, dates: DataFrame) -> DataFrame:
     """Add ``decided``: the latest decision date strictly before each row's date."""
     idx = decision_index(df, dates)

@@ -13,7 +13,7 @@ from barweave.constants import INITIAL_CAPITAL, PARTICIPATION_CAP
 from barweave.functions.columns import finite
 from barweave.functions.costs import CostModel
 from barweave.functions.rolling import cumulative, ordered
-from barweave.operators.calendar import asof_last, held_since
+from barweave.operators.calendar import asof_last, held_since, next_dates, trading_dates
 from barweave.operators.features import simple_ret
 
 RUN = "run_id"
@@ -23,24 +23,39 @@ def portfolio_returns(weights: DataFrame, panel: DataFrame, run: str = RUN) -> D
     """Daily return per run: each bar's return times the weight decided before its date.
 
     Weights hold from the day after their decision up to and including the next decision
-    date. A bar without a weight contributes nothing but keeps its date.
+    date. Every calendar date after a run's first decision has a row; on one where no
+    weighted name has a bar the return is 0. Runs decide on the same dates.
     """
+    calendar = trading_dates(panel)
+    spans = held_since(calendar, weights.select("date").distinct())
     rets = panel.select("date", "ticker", "adj_close").withColumn("r", simple_ret()).where("r IS NOT NULL")
-    held = held_since(rets.select("date", "ticker", "r"), weights.select("date").distinct())
     w = weights.where(finite(F.col("weight"))).select(F.col("date").alias("decided"), "ticker", run, "weight")
     earned = (
-        held.join(w, ["decided", "ticker"])
+        rets.join(spans, "date")
+        .join(w, ["decided", "ticker"])
         .groupBy(run, "date")
         .agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
     )
-    return earned.select(F.col(run).alias("series_id"), "date", "r")
+    decisions = weights.select(run, F.col("date").alias("decided")).distinct()
+    days = spans.join(decisions, "decided").select(run, "date")
+    return days.join(earned, [run, "date"], "left").select(
+        F.col(run).alias("series_id"), "date", F.coalesce("r", F.lit(0.0)).alias("r")
+    )
 
 
-def orders(weights: DataFrame, panel: DataFrame, capital: float = INITIAL_CAPITAL, hold_missing: bool = False) -> DataFrame:
-    """Share targets with the bar each will trade on: the name's first bar after the decision.
+def orders(
+    weights: DataFrame,
+    panel: DataFrame,
+    capital: float = INITIAL_CAPITAL,
+    hold_missing: bool = False,
+    wait_for_bar: bool = False,
+) -> DataFrame:
+    """Share targets with the bar each will trade on: the next calendar date's.
 
-    A name without a weight at a later decision is closed, or kept with ``hold_missing``.
-    When two decisions meet on one bar the later one counts.
+    A name without a bar on the decision date or on the next date does not trade. With
+    ``wait_for_bar`` it is sized at its last price, however old, and its order waits for its
+    next bar. A name without a weight at a later decision is closed, or kept with
+    ``hold_missing``. When two decisions meet on one bar the later one counts.
     """
     w = ordered()
     bars = panel.select(
@@ -51,7 +66,10 @@ def orders(weights: DataFrame, panel: DataFrame, capital: float = INITIAL_CAPITA
         F.lead("open").over(w).alias("open"),
         F.lead("volume").over(w).alias("volume"),
     )
-    at = asof_last(bars, weights.select("date").distinct(), calendar=panel.select("date"))
+    if wait_for_bar:
+        at = asof_last(bars, weights.select("date").distinct(), calendar=panel.select("date"))
+    else:
+        at = bars.join(next_dates(panel), "date").where("exec_date = next_date").drop("next_date")
     wanted = weights.where(finite(F.col("weight"))).select(RUN, "date", "ticker", "weight")
     if hold_missing:
         placed = at.join(wanted, ["date", "ticker"])

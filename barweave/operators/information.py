@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ def information_coefficient(df: DataFrame, score: str = "score", fwd: str = "fwd
     return out.withColumn("p_value", t_two_sided_column("t_stat", (F.col("n_obs") - 2).cast("double")))
 
 
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.
-POISSON_CDF = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880], dtype=float))
+#: Cumulative Poisson(1) probabilities for 0, 1, 2, ... events, to double precision.
+POISSON_CDF = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(20)])
 
 
 def ic_bootstrap(df: DataFrame, n_bootstrap: int = 500, seed: int = 0, score: str = "score", fwd: str = "fwd_ret") -> DataFrame:

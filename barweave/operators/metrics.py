@@ -112,26 +112,33 @@ def per_year(returns: DataFrame) -> DataFrame:
 
 
 def rolling_sharpe_beta(returns: DataFrame, benchmark: DataFrame, window: int = TRADING_DAYS) -> DataFrame:
-    """Rolling Sharpe ratio of each series and its beta to ``benchmark`` (date, b)."""
+    """Rolling Sharpe ratio of each series and its beta to ``benchmark`` (date, b).
+
+    NULL where the deviation in the frame is noise beside the mean.
+    """
     r, b = F.col("r"), F.col("b")
     df = returns.where("r IS NOT NULL").join(benchmark.select("date", "b"), "date", "left")
-    # A moving frame is re-read for every row, so it holds only plain sums of ready columns:
-    # the second moments follow from them. Returns are near zero, so nothing cancels.
-    df = df.withColumns({"_r": r, "_b": b, "_rr": r * r, "_bb": b * b, "_rb": r * b, "_k": F.lit(1), "_kb": b * 0 + 1})
     w = trailing(window, SERIES)
-    sums = ("_r", "_b", "_rr", "_bb", "_rb", "_k", "_kb")
-    df = df.withColumns({c: F.sum(c).over(w) for c in sums})
-    n = float(window)
-
-    def cross(xy: str, x: str, y: str) -> Column:
-        return (F.col(xy) - F.col(x) * F.col(y) / n) / (n - 1)
-
-    sd = F.sqrt(F.greatest(F.lit(0.0), cross("_rr", "_r", "_r")))
+    both = F.when(b.isNotNull(), r)
+    df = df.withColumns(
+        {
+            "_n": F.count(r).over(w),
+            "_mean": F.avg(r).over(w),
+            "_sd": F.stddev_samp(r).over(w),
+            "_nb": F.count(b).over(w),
+            "_cov": F.covar_samp(both, b).over(w),
+            "_var": F.var_samp(b).over(w),
+            "_mb": F.avg(b).over(w),
+        }
+    )
+    noise = lambda mean: F.greatest(F.lit(1e-15), F.abs(F.col(mean)) * 1e-12)
+    steady = F.col("_sd") >= noise("_mean")
+    moving = F.sqrt("_var") >= noise("_mb")
     return df.select(
         SERIES,
         "date",
-        F.when(F.col("_k") == window, ratio(F.col("_r") / n, sd) * math.sqrt(TRADING_DAYS)).alias("roll_sharpe"),
-        F.when(F.col("_kb") == window, ratio(cross("_rb", "_r", "_b"), cross("_bb", "_b", "_b"))).alias("roll_beta"),
+        F.when((F.col("_n") == window) & steady, ratio(F.col("_mean"), F.col("_sd")) * math.sqrt(TRADING_DAYS)).alias("roll_sharpe"),
+        F.when((F.col("_nb") == window) & moving, ratio(F.col("_cov"), F.col("_var"))).alias("roll_beta"),
     )
 
 

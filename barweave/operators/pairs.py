@@ -194,11 +194,23 @@ def screen_pairs(
     return spread.groupBy("asof", "bi", "bj").applyInPandas(screen, PAIR_SCHEMA)
 
 
-def _screen_listed(in_play: DataFrame, candidates: DataFrame, min_obs: int, gates: dict) -> DataFrame:
-    """The same gates for listed pairs: two equi-joins, then one group of a window's rows per pair."""
+def common_windows(panel: DataFrame, dates: DataFrame, candidates: DataFrame, window: int = 126) -> DataFrame:
+    """(date, a, b, n_obs) of listed pairs with at least half a window of common dates.
+
+    No gate applies: a pair whose residual drifts or has no spread counts as well.
+    """
+    logs = panel.select("date", "ticker", F.ln("adj_close").alias("lp"))
+    calendar = panel.select("date")
+    in_play = in_windows(logs, dates_after(dates, calendar, window + 2), window, by=None, calendar=calendar)
+    counted = _listed(in_play, candidates).groupBy("asof", "a", "b").agg(F.count("*").alias("n_obs"))
+    return counted.where(F.col("n_obs") >= window // 2).select(F.col("asof").alias("date"), "a", "b", "n_obs")
+
+
+def _listed(in_play: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The common log prices of listed pairs: two equi-joins."""
     first = in_play.select("asof", "date", F.col("ticker").alias("a"), F.col("lp").alias("y"))
     second = in_play.select("asof", "date", F.col("ticker").alias("b"), F.col("lp").alias("x"))
-    both = (
+    return (
         candidates.select("a", "b")
         .distinct()
         .join(first, "a")
@@ -206,6 +218,11 @@ def _screen_listed(in_play: DataFrame, candidates: DataFrame, min_obs: int, gate
         .where("y IS NOT NULL AND x IS NOT NULL")
     )
 
+
+def _screen_listed(in_play: DataFrame, candidates: DataFrame, min_obs: int, gates: dict) -> DataFrame:
+    """The same gates for listed pairs: one group of a window's rows per pair."""
+    both = _listed(in_play, candidates)
+
     def screen(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         row = None

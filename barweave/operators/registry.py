@@ -1,19 +1,12 @@
-"""Builders by name, and the hook for weights from arbitrary Python."""
+"""Signals and allocators by name."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Mapping
-from datetime import date
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from barweave.operators import ml, pairs, signals
-from barweave.operators.allocators import SOLVERS
-from barweave.operators.calendar import in_windows
-from barweave.operators.weights import require_at_most
+from barweave.operators import covariance, ml, pairs, signals, weights
 
 SIGNALS: dict[str, Callable[..., DataFrame]] = {
     "tsmom": signals.tsmom,
@@ -24,9 +17,10 @@ SIGNALS: dict[str, Callable[..., DataFrame]] = {
     "pairs": pairs.pairs_trade,
     "ml": ml.ml_signal,
 }
-ALLOCATORS = ("equal_weight", *SOLVERS)
-
-WeightFn = Callable[[date, pd.DataFrame], Mapping[str, float]]
+ALLOCATORS: dict[str, Callable[..., DataFrame]] = {
+    "equal_weight": weights.equal_weight,
+    "inverse_variance": covariance.inverse_variance,
+}
 
 
 def signal(kind: str) -> Callable[..., DataFrame]:
@@ -36,23 +30,8 @@ def signal(kind: str) -> Callable[..., DataFrame]:
     return SIGNALS[kind]
 
 
-def weights_from(
-    fn: WeightFn, panel: DataFrame, dates: DataFrame, history: int, max_names: int = 5_000
-) -> DataFrame:
-    """Weights from a Python callback ``fn(date, visible_panel)`` at every decision date.
-
-    The callback sees the last ``history`` calendar dates up to the decision and nothing
-    later; non-finite weights are dropped. Each decision is one task, so the names per
-    calendar date are checked against ``max_names`` first. A built-in signal and allocator
-    scale further.
-    """
-    visible = in_windows(require_at_most(panel, ["date"], max_names, "weights_from"), dates, history, by=None, calendar=panel.select("date"))
-
-    def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = pdf.drop(columns="asof").sort_values(["date", "ticker"]).reset_index(drop=True)
-        w = {k: float(v) for k, v in fn(key[0], seen).items()}
-        rows = [(key[0], k, v) for k, v in w.items() if math.isfinite(v)]
-        return pd.DataFrame(rows, columns=["date", "ticker", "weight"])
-
-    out = visible.groupBy("asof").applyInPandas(decide, "date date, ticker string, weight double")
-    return out.where(F.col("weight").isNotNull())
+def allocator(kind: str) -> Callable[..., DataFrame]:
+    """An allocator by name."""
+    if kind not in ALLOCATORS:
+        raise ValueError(f"unknown allocator kind: {kind!r}")
+    return ALLOCATORS[kind]

@@ -40,7 +40,6 @@ def equal_weight(scores: DataFrame, mode: str = "signed", gross_leverage: float
 def apply_constraints(weights: DataFrame, c: Constraints = Constraints()) -> DataFrame:
     """Clip, scale the gross to its target, clip again; caps win over the gross target.
 
-    The turnover cap needs earlier decisions: see :func:`cap_turnover`.
     """
     w0 = clip(F.coalesce("weight", F.lit(0.0)), c.min_weight, c.max_weight)
     clipped = weights.withColumn("weight", w0)
@@ -52,40 +51,6 @@ def apply_constraints(weights: DataFrame, c: Constraints = Constraints()) -> Dat
     return gross.withColumn("weight", F.when(off, scaled).otherwise(F.col("weight"))).drop("_gross")
 
 
-def require_at_most(df: DataFrame, keys: list[str], limit: int, what: str) -> DataFrame:
-    """Fail the job when a group has more than ``limit`` rows; nothing is dropped."""
-    msg = F.lit(f"{what}: more than {limit} names in one group; raise the limit or split the universe")
-    sized = with_group(df, keys, {"_n": F.count(F.lit(1))})
-    return sized.where(F.when(F.col("_n") > limit, F.raise_error(msg).cast("boolean")).otherwise(F.lit(True))).drop("_n")
-
-
-def cap_turnover(
-    weights: DataFrame, cap: float, run: str = "run_id", max_names: int = 5_000
-) -> DataFrame:
-    """Pull each decision's weights towards the previous *capped* ones.
-
-    Each step depends on the one before, so one run is one task of
-    ``decisions x names`` numbers, with the names per decision checked first. Runs go in
-    parallel. Only names of the new decision count: an exit costs nothing here.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, prior = [], pd.Series(dtype=float)
-        for _, now in pdf.sort_values(["date", "ticker"]).groupby("date", sort=True):
-            target = now["weight"].to_numpy()
-            base = prior.reindex(now["ticker"]).fillna(0.0).to_numpy()
-            moved = float(np.abs(target - base).sum())
-            if moved > cap:
-                target = base + (cap / moved) * (target - base)
-            prior = pd.Series(target, index=now["ticker"].to_numpy())
-            out.append(now.assign(weight=target))
-        return pd.concat(out)
-
-    cols = weights.select(run, "date", "ticker", "weight")
-    sized = require_at_most(cols, [run, "date"], max_names, "cap_turnover")
-    return sized.select(run, "date", "ticker", "weight").groupBy(run).applyInPandas(fold, cols.schema)
-
-
 def turnover(weights: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Sum of absolute weight changes per decision over both name sets; the first is from zero.
 

@@ -136,6 +136,12 @@ def dist_high(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ft.dist_high(supplier_panel(spark, d)).select("date", "ticker", "dist_high"))
 
 
+def frac_diff_long(spark: SparkSession, d: str) -> DataFrame:
+    """The filter of a model frame: some 280 weights."""
+    p = supplier_panel(spark, d).select("date", "ticker", F.ln("adj_close").alias("lp"))
+    return rounded(ft.frac_diff(p, "lp", 0.4, 1e-4).select("date", "ticker", "frac_diff"))
+
+
 def feature_frame(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ft.feature_frame(supplier_panel(spark, d), thresh=1e-2), amihud_21=10)
 
@@ -151,6 +157,7 @@ QUERIES = {
     "cumulative_returns": cumulative_returns,
     "rebuilt_prices": rebuilt_prices,
     "frac_diff": frac_diff,
+    "frac_diff_long": frac_diff_long,
     "momentum": momentum,
     "vol_close": _vol("close_to_close"),
     "vol_parkinson": _vol("parkinson"),
@@ -191,6 +198,7 @@ _FD = " ".join(
     f"{w:+.17g} * lag(lp, {k}) OVER ({W})" if k else f"{w:.17g} * lp"
     for k, w in enumerate(ft.ffd_weights(0.4, 1e-2))
 )
+_LONG = ft.ffd_weights(0.4, 1e-4)
 _WIDE = ", ".join(f"max(adj_close) FILTER (ticker = '{t}') AS {_plain(t)}" for t in SLEEVE_TICKERS)
 
 ORACLES = {
@@ -217,6 +225,9 @@ ORACLES = {
     "rebuilt_prices": f"""WITH {BARS}, {_RET} SELECT date, ticker,
         {r(f'''CASE WHEN lr IS NOT NULL THEN 100 * exp(sum(lr) OVER ({W}
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END''', 'rebuilt')} FROM rets""",
+    "frac_diff_long": f"""WITH {BARS}, x AS (SELECT date, ticker, list(ln(adj_close)) OVER {roll(len(_LONG))} AS l FROM bars)
+        SELECT date, ticker, {r(f"CASE WHEN len(l) = {len(_LONG)} THEN list_inner_product(l, {_LONG[::-1]}::DOUBLE[]) END", 'frac_diff')}
+        FROM x""",
     "frac_diff": f"""WITH {BARS}, x AS (SELECT *, ln(adj_close) AS lp FROM bars)
         SELECT date, ticker, {r(_FD, 'frac_diff')} FROM x""",
     "momentum": f"""WITH {BARS} SELECT date, ticker,

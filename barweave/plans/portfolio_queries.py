@@ -110,17 +110,24 @@ def _tradable(spark: SparkSession, d: str) -> DataFrame:
     return materialise(supplier_panel(spark, d).select("date", "ticker", "open", "adj_close", "volume"))
 
 
-def _fills(panel: DataFrame) -> DataFrame:
-    return execution.fill_orders(execution.orders(book(panel), panel, CAPITAL), MODEL, CAP)
+def _fills(panel: DataFrame, wait_for_bar: bool = False) -> DataFrame:
+    wanted = execution.orders(book(panel), panel, CAPITAL, wait_for_bar=wait_for_bar)
+    return execution.fill_orders(wanted, MODEL, CAP)
 
 
-def ledger(spark: SparkSession, d: str) -> DataFrame:
+def ledger(spark: SparkSession, d: str, wait_for_bar: bool = False) -> DataFrame:
     """Fills with the charge in basis points; the price is exact and stays unrounded."""
     bps = (F.col("cost") / F.abs("notional") * 10_000).alias("cost_bps")
-    f = _fills(_tradable(spark, d)).select("run_id", "date", "ticker", "shares", "price", "participation", bps)
+    f = _fills(_tradable(spark, d), wait_for_bar)
+    f = f.select("run_id", "date", "ticker", "shares", "price", "participation", bps)
     return rounded(f, exact=frozenset({"price"}))
 
 
+def ledger_waiting(spark: SparkSession, d: str) -> DataFrame:
+    """The same with orders that wait for their name's next bar."""
+    return ledger(spark, d, wait_for_bar=True)
+
+
 def _equity(spark: SparkSession, d: str) -> DataFrame:
     panel = _tradable(spark, d)
     return execution.mark_to_market(materialise(_fills(panel)), panel, CAPITAL, MODEL)
@@ -158,6 +165,7 @@ QUERIES = {
     "dense_weights": dense_weights,
     "portfolio_returns": portfolio_returns,
     "ledger": ledger,
+    "ledger_waiting": ledger_waiting,
     "equity_curve": equity_curve,
     "equity_summary": equity_summary,
     "benchmark_curve": benchmark_curve,
@@ -171,9 +179,11 @@ _CAPPED = f"""{_WISH}, cap AS (SELECT date, ticker, px, vol, greatest(-{CAP} * v
 _PORT = f"""ret AS (SELECT * FROM (SELECT date, ticker, adj_close / lag(adj_close) OVER ({W}) - 1 AS r FROM bars)
     WHERE r IS NOT NULL),
   dec AS (SELECT DISTINCT date FROM cw),
-  port AS (SELECT 'tsmom' AS series_id, h.date, sum(w.weight * h.r) AS r
-    FROM (SELECT ret.*, (SELECT max(x.date) FROM dec x WHERE x.date < ret.date) AS d FROM ret) h
-    JOIN cw w ON w.date = h.d AND w.ticker = h.ticker GROUP BY h.date)"""
+  days AS (SELECT c.date, (SELECT max(x.date) FROM dec x WHERE x.date < c.date) AS d
+    FROM (SELECT DISTINCT date FROM bars) c WHERE c.date > (SELECT min(date) FROM dec)),
+  earned AS (SELECT days.date, sum(w.weight * ret.r) AS r FROM days JOIN ret ON ret.date = days.date
+    JOIN cw w ON w.date = days.d AND w.ticker = ret.ticker GROUP BY days.date),
+  port AS (SELECT 'tsmom' AS series_id, days.date, coalesce(earned.r, 0) AS r FROM days LEFT JOIN earned USING (date))"""
 
 
 def performance_sql(source: str, digits: int = 6) -> str:
@@ -201,7 +211,7 @@ _LEDGER = f"""nb AS (SELECT date, ticker, adj_close, lead(date) OVER ({W}) AS ex
   mem AS (SELECT DISTINCT ticker FROM cw),
   pos0 AS (SELECT g.date, g.ticker, b.exec_date, b.px, b.vol, coalesce(w.weight, 0) * {CAPITAL} / b.adj_close AS target
     FROM (SELECT dec.date, mem.ticker FROM dec CROSS JOIN mem) g
-    ASOF JOIN nb b ON g.ticker = b.ticker AND g.date >= b.date
+    {{match}}
     LEFT JOIN cw w ON w.date = g.date AND w.ticker = g.ticker),
   ord AS (SELECT ticker, exec_date, px, vol, arg_max(target, date) AS target FROM pos0 WHERE exec_date IS NOT NULL GROUP BY ALL),
   seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY exec_date) AS k FROM ord),
@@ -213,6 +223,14 @@ _LEDGER = f"""nb AS (SELECT date, ticker, adj_close, lead(date) OVER ({W}) AS ex
   fl AS MATERIALIZED (SELECT exec_date AS date, ticker, shares, px AS price, shares * px AS notional, abs(shares) / vol AS participation,
     abs(shares * px) * (1.0 / 10000 + abs(shares) / vol * 5.0 / 10000 + 0.1 * sqrt(abs(shares) / vol)) AS cost
     FROM walk WHERE k > 0 AND shares <> 0)"""
+# Orders trade on the next calendar date, or wait for the name's next bar.
+_LEDGER_WAITING = _LEDGER.replace("{match}", "ASOF JOIN nb b ON g.ticker = b.ticker AND g.date >= b.date")
+_LEDGER = _LEDGER.replace(
+    "{match}",
+    """JOIN nb b ON g.ticker = b.ticker AND g.date = b.date
+    JOIN (SELECT date, lead(date) OVER (ORDER BY date) AS next_date FROM (SELECT DISTINCT date FROM bars)) nx
+      ON nx.date = g.date AND b.exec_date = nx.next_date""",
+)
 _EQUITY = f"""held AS (SELECT DISTINCT b.date FROM bars b JOIN (SELECT DISTINCT ticker FROM fl) USING (ticker)),
   cum AS (SELECT date, ticker, sum(shares) OVER ({W}) AS pos FROM fl),
   grid AS (SELECT h.date, t.ticker FROM held h CROSS JOIN (SELECT DISTINCT ticker FROM fl) t),
@@ -255,6 +273,9 @@ ORACLES = {
     "ledger": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER} SELECT 'tsmom' AS run_id, date, ticker,
         {r('shares', 'shares')}, price, {r('participation', 'participation')}, {r('cost / abs(notional) * 10000', 'cost_bps')}
         FROM fl""",
+    "ledger_waiting": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER_WAITING} SELECT 'tsmom' AS run_id, date, ticker,
+        {r('shares', 'shares')}, price, {r('participation', 'participation')}, {r('cost / abs(notional) * 10000', 'cost_bps')}
+        FROM fl""",
     "equity_curve": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER}, {_EQUITY} SELECT run_id, date, {r('cash', 'cash', 1)},
         {r('cash + value', 'equity', 1)}, {r('gross / (cash + value)', 'gross_leverage')}, {r('borrow', 'borrow', 3)} FROM eq""",
     "equity_summary": f"""WITH RECURSIVE {BARS}, {CONSTRAINED}, {_LEDGER}, {_EQUITY}, {_EQ_RET},

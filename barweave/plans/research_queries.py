@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.operators import allocators, covariance, labels, ml, pairs, signals, weights
+from barweave.operators import covariance, labels, ml, pairs, signals, weights
 from barweave.operators import calendar as cal
 from barweave.operators import features as ft
 from barweave.operators import information as info
@@ -15,15 +15,17 @@ from barweave.sources.panel import market_panel, sleeve_panel, supplier_panel
 
 BARRIERS = labels.Barriers(pt=1.0, sl=1.0, vertical=10, min_ret=0.05)
 LOOKBACK, SKIP, VOL_WINDOW = 120, 10, 40
+ROUNDS = 200
 
 
 def _prices(spark: SparkSession, d: str) -> DataFrame:
-    return supplier_panel(spark, d).select("date", "ticker", "adj_close")
+    """Supplier prices, written once: the calendar and the signals read the bars, not the trades."""
+    return materialise(supplier_panel(spark, d).select("date", "ticker", "adj_close"))
 
 
 def _sleeves(spark: SparkSession, d: str) -> DataFrame:
     """Sleeve prices, written once: ten names, but a star join over all trades behind them."""
-    return materialise(sleeve_panel(spark, d).select("date", "ticker", "adj_close"))
+    return materialise(sleeve_panel(spark, d).select("date", "ticker", "adj_close", "sector"))
 
 
 def _market(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +116,7 @@ def ic_spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ic_interval(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(info.ic_bootstrap(_ic_input(spark, d), n_bootstrap=200))
+    return rounded(info.ic_bootstrap(_ic_input(spark, d), n_bootstrap=500))
 
 
 def blended_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -128,15 +130,9 @@ def blend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ml_gbt(spark: SparkSession, d: str) -> DataFrame:
-    p = supplier_panel(spark, d)
-    features = materialise(ft.feature_frame(p, 1e-2))
-    lab = labels.triple_barrier(ft.realized_vol(p, 21), barriers=BARRIERS)
-    lab = lab.select(F.col("t0").alias("date"), "ticker", (F.col("bin") > 0).cast("int").alias("target"))
-    cutoff = F.col("date") < F.lit("2000-01-01").cast("date")
-    train = features.where(cutoff).join(lab, ["date", "ticker"]).dropna("any")
-    model = ml.fit(train, n_estimators=5, max_depth=3)
-    months = _months(features).where(~cutoff)
-    return rounded(ml.predict(model, features, months))
+    """Fitted on labels known by the end of 1999, scored at the month starts after it."""
+    p = materialise(supplier_panel(spark, d))
+    return rounded(ml.ml_signal(p, _months(p), "1999-12-31", BARRIERS, n_estimators=ROUNDS))
 
 
 def monthly_scores(p: DataFrame) -> DataFrame:
@@ -161,11 +157,6 @@ def constrained(spark: SparkSession, d: str) -> DataFrame:
     return rounded(constrained_weights(_prices(spark, d)), 8)
 
 
-def turnover_capped(spark: SparkSession, d: str) -> DataFrame:
-    w = constrained_weights(_prices(spark, d)).withColumn("run_id", F.lit("run"))
-    return rounded(weights.cap_turnover(w, 0.03).drop("run_id"), 8)
-
-
 def _complete(spark: SparkSession, d: str) -> DataFrame:
     """Sleeve log returns of the last 250 calendar dates at the yearly decision dates."""
     p = _sleeves(spark, d)
@@ -180,12 +171,11 @@ def cov_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ticker_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Common history of the two line statuses of each region, a list of pairs that the data give."""
     p = _sleeves(spark, d)
     years = cal.trading_dates(p).groupBy(F.year("date")).agg(F.max("date").alias("date")).select("date")
-    found = pairs.screen_pairs(
-        p, years, 250, entry_z=-1.0, stop_z=1e9, max_half_life=1e9, adf_threshold=None, blocks=3
-    )
-    return found.select("date", "a", "b", "n_obs")
+    sides = p.groupBy("sector").agg(F.min("ticker").alias("a"), F.max("ticker").alias("b")).where("a < b")
+    return pairs.common_windows(p, years, sides, 250)
 
 
 def corr_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -210,26 +200,6 @@ def risk_contrib(spark: SparkSession, d: str) -> DataFrame:
     return rounded(covariance.risk_contributions(w, cov).withColumnRenamed("asof", "date"))
 
 
-def _allocator(kind: str, window: int = 126, **params: object):
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        p = _sleeves(spark, d)
-        scores = materialise(_tsmom(p, _months(p)))
-        logs = p.withColumn("r", ft.log_ret()).select("date", "ticker", "r")
-        return rounded(allocators.allocate(kind, scores, logs, window, **params))
-
-    return query
-
-
-def hrp_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Names, total and least weight per date: the budget the tree-based weights must spend."""
-    w = _allocator("hrp")(spark, d)
-    return w.groupBy("date").agg(
-        F.count(F.lit(1)).alias("names"),
-        (F.round(F.sum("weight"), 4) + 0.0).alias("budget"),
-        (F.min("weight") > 0).alias("long_only"),
-    )
-
-
 QUERIES = {
     "triple_barrier": triple_barrier,
     "meta_labels": meta_labels,
@@ -250,19 +220,11 @@ QUERIES = {
     "ml_gbt": ml_gbt,
     "equal_weight": equal_weight,
     "constrained": constrained,
-    "turnover_capped": turnover_capped,
     "cov_pairs": cov_pairs,
     "corr_distance": corr_distance,
     "inverse_variance": inverse_variance,
     "ledoit_wolf": ledoit_wolf,
     "risk_contrib": risk_contrib,
-    "hrp": _allocator("hrp"),
-    "erc": _allocator("erc", use_alpha_sign=True),
-    "mvo": _allocator("mvo", max_weight=0.3, min_weight=-0.3),
-    "black_litterman": _allocator("black_litterman"),
-    "hrp_budget": hrp_budget,
-    # Ten bars are too few for a covariance, so the identity problem is solved: a closed form.
-    "mvo_identity": _allocator("mvo", window=10, max_weight=0.3, min_weight=-0.3),
 }
 
 # --- SQL twins -------------------------------------------------------------
@@ -353,10 +315,6 @@ CONSTRAINED = f"""{TSMOM},
     THEN greatest({CAPS.min_weight}, least({CAPS.max_weight}, w * ({CAPS.gross_leverage} / g))) ELSE w END AS weight FROM c1)"""
 
 ORACLES = {
-    "hrp_budget": f"""WITH {SLEEVES}, {_momentum_sql('sleeves')}, {_SCORES}
-        SELECT date, count(*) AS names, 1.0::DOUBLE AS budget, true AS long_only FROM ts GROUP BY date""",
-    "mvo_identity": f"""WITH {SLEEVES}, {_momentum_sql('sleeves')}, {_SCORES}
-        SELECT date, ticker, {r('greatest(-0.3, least(0.3, score / (5 * (1 + 1e-8))))', 'weight')} FROM ts""",
     "triple_barrier": f"WITH {_TB} SELECT ticker, t0, t1, {r('ret', 'ret')}, bin FROM tb",
     "meta_labels": f"""WITH {_TB}, p AS (SELECT date, ticker, sign(adj_close / lag(adj_close, 21) OVER ({W}) - 1) AS pred
         FROM bars) SELECT p.date, p.ticker, CASE WHEN sign(pred) = sign(bin) THEN 1 ELSE 0 END AS meta
@@ -396,7 +354,8 @@ ORACLES = {
         {r('CASE WHEN s < 0 THEN -ln(2::DOUBLE) / s END', 'half_life', 5)} FROM ar""",
     "ticker_pairs": f"""WITH {SLEEVES}, {calendar_sql('sleeves')}, {_YEARS},
         {_PAIR_WINDOW.format(dates='years', n1=249, n2=252)}
-        SELECT asof_date AS date, a, b, count(*) AS n_obs FROM ab GROUP BY ALL HAVING count(*) >= 125""",
+        SELECT asof_date AS date, a, b, count(*) AS n_obs FROM ab
+        WHERE (a, b) IN (SELECT (min(ticker), max(ticker)) FROM sleeves GROUP BY sector) GROUP BY ALL HAVING count(*) >= 125""",
     "pairs_zscore": f"""WITH {SLEEVES}, {calendar_sql('sleeves')},
         {_PAIR_WINDOW.format(dates='reb', n1=125, n2=128)},
         co AS (SELECT asof_date, a, b, regr_slope(y, x) AS slope, regr_intercept(y, x) AS c, count(*) AS n_obs
@@ -421,19 +380,6 @@ ORACLES = {
     "equal_weight": f"""WITH {BARS}, {TSMOM} SELECT date, ticker,
         {r('sign(score) / nullif(count(*) FILTER (score <> 0) OVER (PARTITION BY date), 0)', 'weight', 8)} FROM ts""",
     "constrained": f"WITH {BARS}, {CONSTRAINED} SELECT date, ticker, {r('weight', 'weight', 8)} FROM cw",
-    "turnover_capped": f"""WITH RECURSIVE {BARS}, {CONSTRAINED},
-        ds AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM cw)),
-        wk AS (SELECT k, list(struct_pack(t := ticker, w := weight) ORDER BY ticker) AS l FROM cw JOIN ds USING (date) GROUP BY k),
-        f AS (SELECT 0::BIGINT AS k, []::STRUCT(t VARCHAR, w DOUBLE)[] AS l
-          UNION ALL
-          SELECT n.k, list_transform(n.d, lambda x: struct_pack(t := x.t, w := x.p + n.shrink * x.m))
-          FROM (SELECT j.k, j.d, least(1.0, 0.03 / nullif(list_sum(list_transform(j.d, lambda x: abs(x.m))), 0)) AS shrink
-            FROM (SELECT wk.k, list_transform(wk.l, lambda x: struct_pack(t := x.t,
-                p := coalesce(list_filter(f.l, lambda y: y.t = x.t)[1].w, 0.0),
-                m := x.w - coalesce(list_filter(f.l, lambda y: y.t = x.t)[1].w, 0.0))) AS d
-              FROM f JOIN wk ON wk.k = f.k + 1) j) n)
-        SELECT ds.date, u.x.t AS ticker, {r('u.x.w', 'weight', 8)}
-        FROM (SELECT k, unnest(l) AS x FROM f WHERE k > 0) u JOIN ds USING (k)""",
     "cov_pairs": f"WITH {_COV} SELECT asof_date AS date, a, b, {r('cov', 'cov')}, n_obs FROM cov",
     "corr_distance": f"""WITH {_COV}, rh AS (SELECT c.asof_date AS date, a, b,
           CASE WHEN a = b THEN 1.0::DOUBLE ELSE cov / sqrt(va.v * vb.v) END AS rho

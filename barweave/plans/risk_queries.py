@@ -63,7 +63,7 @@ def dsr_z(spark: SparkSession, d: str) -> DataFrame:
 
 
 def psr(spark: SparkSession, d: str) -> DataFrame:
-    """The probabilities themselves; SQL has no error function to check them against."""
+    """The probabilities themselves."""
     p = metrics.probabilistic_sharpe(_names(spark, d)).drop("z")
     return rounded(p.join(metrics.deflated_sharpe(_names(spark, d), N_TRIALS).drop("z"), "series_id"))
 
@@ -130,7 +130,7 @@ def kpis(spark: SparkSession, d: str) -> DataFrame:
     w = book(panel)
     turn = weights.turnover(w).withColumn("series_id", F.lit("tsmom"))
     rets = materialise(execution.portfolio_returns(w, panel))
-    return rounded(metrics.kpis(rets, N_TRIALS, turn).drop("psr", "dsr"))
+    return rounded(metrics.kpis(rets, N_TRIALS, turn))
 
 
 def factor_table(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +229,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stationary_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bootstrap.stationary_sharpe_ci(_names(spark, d), 500))
+    return rounded(bootstrap.stationary_sharpe_ci(_names(spark, d), 1000))
 
 
 QUERIES = {
@@ -285,6 +285,16 @@ def _psr_sql(benchmark: float) -> str:
     )
 
 
+def _phi(z: str) -> str:
+    """The normal distribution function as its series in odd powers; terms by logarithms."""
+    term = f"exp((2 * k + 1) * ln(abs({z})) - {z} * {z} / 2 - lgamma(2 * k + 2) + k * ln(2::DOUBLE) + lgamma(k + 1))"
+    series = f"list_sum(list_transform(range(0, 200), lambda k: {term}))"
+    return (
+        f"CASE WHEN {z} = 0 THEN 0.5 WHEN {z} > 9 THEN 1.0 WHEN {z} < -9 THEN 0.0 "
+        f"ELSE 0.5 + sign({z}) * {series} / sqrt(2 * pi()) END"
+    )
+
+
 _Z = norm_ppf(0.05)
 _CF = (
     f"({_Z!r} + ({_Z**2 - 1!r}) / 6 * skewness(r) + ({_Z**3 - 3 * _Z!r}) / 24 * kurtosis(r) "
@@ -325,6 +335,9 @@ ORACLES = {
     "moments": f"""WITH {_NAMES} SELECT series_id, {r('avg(r)', 'mean')}, {r('stddev_samp(r)', 'sd')},
         {r('skewness(r)', 'skew')}, {r('kurtosis(r)', 'kurt')} FROM nr GROUP BY series_id""",
     "psr_z": f"WITH {_NAMES} SELECT series_id, {r(_psr_sql(0.0), 'z')} FROM nr GROUP BY series_id",
+    "psr": f"""WITH {_NAMES}, z AS (SELECT series_id, {_psr_sql(0.0)} AS p,
+          {_psr_sql(metrics.expected_max_sharpe(N_TRIALS))} AS d FROM nr GROUP BY series_id)
+        SELECT series_id, {r(_phi('p'), 'psr')}, {r(_phi('d'), 'dsr')} FROM z""",
     "dsr_z": f"""WITH {_NAMES} SELECT series_id, {r(_psr_sql(metrics.expected_max_sharpe(N_TRIALS)), 'z')}
         FROM nr GROUP BY series_id""",
     **{
@@ -347,7 +360,7 @@ ORACLES = {
         a AS (SELECT *, product(1 + r) OVER (PARTITION BY series_id, name ORDER BY date) AS wealth FROM rw),
         b AS (SELECT *, max(wealth) OVER (PARTITION BY series_id, name ORDER BY date) AS peak,
           quantile_cont(r, 0.05) OVER (PARTITION BY series_id, name) AS c FROM a),
-        m AS (SELECT series_id, name, exp(sum(ln(1 + r))) - 1 AS total, avg(r) / stddev_samp(r) * sqrt(252) AS sh,
+        m AS (SELECT series_id, name, product(1 + r) - 1 AS total, avg(r) / stddev_samp(r) * sqrt(252) AS sh,
           min(wealth / peak - 1) AS mdd, -avg(r) FILTER (r <= c) AS es, count(*) AS n FROM b GROUP BY ALL)
         SELECT s.series_id, wn.name AS "window", {r('total', 'total_return', 5)}, {r('sh', 'sharpe', 5)},
           {r('mdd', 'max_drawdown', 5)}, {r('es', 'es_95', 5)}, coalesce(n, 0) AS n_obs
@@ -367,10 +380,8 @@ ORACLES = {
           {', '.join(r(f'missing_{c}', f'missing_{c}') for c in audit_op.VALUE_COLUMNS)},
           {r('zero_volume_fraction', 'zero_volume_fraction')}, {r('stale_price_fraction', 'stale_price_fraction')},
           CAST(return_spike_count AS BIGINT) AS return_spike_count, return_spike_count = 0 AND missing_close < 0.01 AS is_clean,
-          concat_ws('; ', CASE WHEN missing_adj_close > 0.01 THEN 'adj_close missingness > 1%' END,
-            CASE WHEN zero_volume_fraction > 0.05 THEN 'zero-volume bars > 5%' END,
-            CASE WHEN stale_price_fraction > 0.02 THEN 'stale-close fraction > 2% (window=5)' END,
-            CASE WHEN return_spike_count > 0 THEN return_spike_count || ' return spikes > 8.0 sigma' END) AS warnings,
+          missing_adj_close > 0.01 AS prices_missing, zero_volume_fraction > 0.05 AS volume_idle,
+          stale_price_fraction > 0.02 AS prices_stale, return_spike_count > 0 AS returns_spike,
           '' AS missing_columns FROM g""",
     "kpis": f"""WITH {BARS}, {CONSTRAINED}, {_PORT},
         ds AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM dec),
@@ -379,8 +390,8 @@ ORACLES = {
         tn AS (SELECT nm.date, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) AS t FROM nm
           LEFT JOIN cw a ON a.date = nm.date AND a.ticker = nm.ticker
           LEFT JOIN cw b ON b.date = nm.prev AND b.ticker = nm.ticker GROUP BY nm.date),
-        zs AS (SELECT {r(_psr_sql(0.0), 'psr_z')}, {r(_psr_sql(metrics.expected_max_sharpe(N_TRIALS)), 'dsr_z')} FROM port),
-        {_KPI_CORE.replace('FROM pf4', ", psr_z, dsr_z, (SELECT round(avg(t), 6) + 0.0 FROM tn) AS avg_turnover FROM pf4, zs")}""",
+        zs AS (SELECT {_psr_sql(0.0)} AS pz, {_psr_sql(metrics.expected_max_sharpe(N_TRIALS))} AS dz FROM port),
+        {_KPI_CORE.replace('FROM pf4', f", {r('pz', 'psr_z')}, {r('dz', 'dsr_z')}, {r(_phi('pz'), 'psr')}, {r(_phi('dz'), 'dsr')}, (SELECT round(avg(t), 6) + 0.0 FROM tn) AS avg_turnover FROM pf4, zs")}""",
     "per_year": f"""WITH {_NAMES} SELECT series_id, CAST(year(date) AS INTEGER) AS year,
         {r('product(1 + r) - 1', 'total_return', 5)}, {r('stddev_samp(r) * sqrt(252)', 'vol', 5)},
         {r('avg(r) / nullif(stddev_samp(r), 0) * sqrt(252)', 'sharpe', 5)} FROM nr GROUP BY ALL""",

@@ -18,11 +18,14 @@ from barweave.sources.panel import supplier_panel
 
 
 def stored_panel(spark: SparkSession, d: str) -> DataFrame:
-    """The panel written to the dataset store and read back; always recomputed here."""
-    payload = {"folder": d, "kind": "supplier"}
-    return store.DatasetStore(spark).get_or_compute(
-        "panel", payload, lambda: supplier_panel(spark, d), force=True
-    )
+    """The panel written to the dataset store, then asked for again and read from it."""
+    datasets, payload = store.DatasetStore(spark), {"folder": d, "kind": "supplier"}
+    datasets.get_or_compute("panel", payload, lambda: supplier_panel(spark, d), force=True)
+
+    def missed() -> DataFrame:
+        raise LookupError("the stored panel was not found")
+
+    return datasets.get_or_compute("panel", payload, missed)
 
 
 def run_record(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -74,10 +75,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and read it back with a short lineage.
+    """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Used where one expensive frame feeds several branches of a plan, so that the
-    branches neither recompute it nor depend on executors that may be lost.
+    Used where one expensive frame feeds several branches of a plan, so that the branches
+    neither recompute it nor depend on executors that may be lost, and read only the columns
+    they use. The files go when the driver's JVM ends.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/barweave-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

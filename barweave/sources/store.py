@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
 
@@ -33,8 +35,10 @@ def stable_key_column(df: DataFrame) -> DataFrame:
 class DatasetStore:
     """Datasets keyed by namespace and arguments, computed at most once.
 
-    The store lives in the folder the session names for shared data. A write that the format
-    refuses is tolerated: the computed frame is returned all the same.
+    The store lives in the folder the session names for shared data. Each write goes to a
+    folder of its own and is published, once whole, by an empty marker folder; only published
+    data are read, the newest first. A write that the format refuses is tolerated: the
+    computed frame is returned all the same.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
@@ -42,7 +46,20 @@ class DatasetStore:
         self.root = root or f"{shared_folder(spark)}/datasets"
 
     def path_for(self, namespace: str, payload: Mapping[str, object]) -> str:
-        return f"{self.root}/{namespace}-{stable_key(payload)}.parquet"
+        return f"{self.root}/{namespace}-{stable_key(payload)}"
+
+    def _files(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def published(self, path: str) -> str | None:
+        """The newest whole dataset below ``path``."""
+        target, fs = self._files(path)
+        if not fs.exists(target):
+            return None
+        names = [f.getPath().getName() for f in fs.listStatus(target)]
+        done = sorted(n.removeprefix("published-") for n in names if n.startswith("published-"))
+        return f"{path}/data-{done[-1]}" if done else None
 
     def get_or_compute(
         self,
@@ -52,17 +69,17 @@ class DatasetStore:
         force: bool = False,
     ) -> DataFrame:
         path = self.path_for(namespace, payload)
-        if not force:
-            try:
-                return self.spark.read.parquet(path)
-            except AnalysisException:
-                pass  # not stored yet
+        if not force and (found := self.published(path)):
+            return self.spark.read.parquet(found)
         df = compute()
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.parquet(f"{path}/data-{version}")
         except AnalysisException:
             return df
-        return self.spark.read.parquet(path)
+        marker, fs = self._files(f"{path}/published-{version}")
+        fs.mkdirs(marker)
+        return self.spark.read.parquet(f"{path}/data-{version}")
 
 
 def write_run(run_folder: str, **tables: DataFrame) -> None:

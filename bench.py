@@ -23,7 +23,7 @@ HEADLINE = (
     "log_returns", "momentum", "frac_diff", "vol_close", "vol_yang_zhang", "feature_frame",
     "cs_rank", "cs_zscore", "sector_neutral", "last_bar_asof", "triple_barrier",
     "tsmom", "xsmom", "quality", "ou", "pairs_zscore", "ic_spearman",
-    "constrained", "cov_pairs", "ledoit_wolf", "hrp", "erc",
+    "constrained", "cov_pairs", "ledoit_wolf", "risk_contrib",
     "strategy_performance", "ledger", "equity_curve",
     "performance", "drawdowns", "var_cornish_fisher", "expected_shortfall", "stress", "audit",
     "rolling_sharpe_beta", "factor_beta", "cpcv_sharpes", "bootstrap_ci",

@@ -319,17 +319,6 @@ def test_rebalance_calendars_against_pandas(make_prices):
         cal.rebalance_dates(p, "Q")
 
 
-def test_callback_sees_only_the_past(panel, wide, spark):
-    at = spark.createDataFrame([(wide.index[100],), (wide.index[200],)], "date date")
-
-    def fn(day, seen):
-        assert seen["date"].max() <= day and seen["date"].nunique() == 50
-        return {"T0": float(len(seen)), "T1": float("nan")}
-
-    rows = registry.weights_from(fn, panel.select("date", "ticker", "adj_close"), at, 50).collect()
-    assert {(r["date"], r["ticker"], r["weight"]) for r in rows} == {(wide.index[i], "T0", 250.0) for i in (100, 200)}
-
-
 def test_ml_signal_scores_after_training(panel, wide, spark):
     at = spark.createDataFrame([(wide.index[i],) for i in (290, 299)], "date date")
     b = Barriers(1.0, 1.0, 5)
@@ -338,3 +327,11 @@ def test_ml_signal_scores_after_training(panel, wide, spark):
     for _, g in s.groupby("date"):
         assert g["score"].sum() == pytest.approx(0.0, abs=1e-12)
         assert g["score"].abs().sum() == pytest.approx(1.0)
+
+
+def test_pairs_without_gates_keep_a_drifting_pair(make_prices, spark):
+    n = 300
+    p = make_prices({"A": list(np.exp(np.arange(n) ** 2 / 1e5)), "B": list(np.exp(np.arange(n) / 1e3))})
+    at = spark.createDataFrame([(days(n)[-1],)], "date date")
+    pair = spark.createDataFrame([("A", "B")], "a string, b string")
+    assert [r["n_obs"] for r in pairs.common_windows(p, at, pair, 250).collect()] == [250]

@@ -11,7 +11,7 @@ from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
 from barweave.functions import costs
-from barweave.operators import allocators as al
+from barweave.operators import registry
 from barweave.operators import covariance as cv
 from barweave.operators import execution as ex
 from barweave.operators import features as ft
@@ -49,17 +49,6 @@ def test_constraints(spark):
     assert by_name(wt.apply_constraints(small, wt.Constraints(0.9, -0.9, 0.6))) == pytest.approx({"A": 0.4, "B": 0.2, "C": 0})
 
 
-def test_turnover_cap_pulls_towards_previous(spark):
-    rows = [("r", D1, "A", 0.5), ("r", D1, "B", 0.5), ("r", D2, "A", 1.0), ("r", D2, "B", 0.0), ("r", D3, "C", 0.3)]
-    w = spark.createDataFrame(rows, "run_id string, date date, ticker string, weight double")
-    out = {(r["date"], r["ticker"]): r["weight"] for r in wt.cap_turnover(w, 0.5).collect()}
-    assert out[(D1, "A")] == pytest.approx(0.25)
-    assert out[(D2, "A")] == pytest.approx(0.25 + 0.5 * 0.75)
-    assert out[(D3, "C")] == pytest.approx(0.3)  # the exits of A and B are not counted
-    with pytest.raises(Exception, match="more than 1 names"):
-        wt.cap_turnover(w, 0.5, max_names=1).collect()
-
-
 def test_turnover_counts_exits_and_densify_fills(spark):
     w = weight_frame(spark, [(D1, "A", 0.5), (D1, "B", -0.5), (D3, "B", 0.25), (D3, "C", 0.5)])
     assert column(wt.turnover(w), "turnover") == pytest.approx([1.0, 0.5 + 0.75 + 0.5])
@@ -67,151 +56,9 @@ def test_turnover_counts_exits_and_densify_fills(spark):
     assert len(dense) == 6 and dense[(D3, "A")] == 0.0 and dense[(D1, "B")] == -0.5
 
 
-SD = np.array([0.20, 0.18, 0.30, 0.25])
-RHO = np.array([[1, 0.9, 0.1, 0.05], [0.9, 1, 0.08, 0.06], [0.1, 0.08, 1, 0.85], [0.05, 0.06, 0.85, 1]])
-CLUSTERS = RHO * np.outer(SD, SD)
-
-
-def factor_form(cov: np.ndarray) -> al.FactorCov:
-    vals, vecs = np.linalg.eigh(cov)
-    return al.FactorCov((vecs * np.sqrt(np.maximum(vals, 0))).T, 1.0, 0.0)
-
-
-def test_hrp_and_erc_on_two_clusters():
-    w = al.hrp(factor_form(CLUSTERS))
-    assert w.sum() == pytest.approx(1.0) and (w > 0).all() and w[0] + w[1] > w[2] + w[3]
-    e = al.erc(factor_form(CLUSTERS))
-    rc = e * (CLUSTERS @ e)
-    assert rc == pytest.approx(np.full(4, rc.mean()), rel=1e-6) and e.sum() == pytest.approx(1.0)
-
-
-def brute_hrp(cov: np.ndarray) -> np.ndarray:
-    """Merge the closest clusters one by one, read the leaves, then halve the list."""
-    n = len(cov)
-    sd = np.sqrt(np.diag(cov))
-    dist = np.sqrt(np.clip((1 - cov / np.outer(sd, sd)) / 2, 0, 1))
-    groups = {i: [i] for i in range(n)}
-    nxt = n
-    while len(groups) > 1:
-        gap, a, b = min(
-            (min(dist[i, j] for i in groups[a] for j in groups[b]), a, b) for a in groups for b in groups if a < b
-        )
-        groups[nxt] = groups.pop(a) + groups.pop(b)
-        nxt += 1
-    order = groups[nxt - 1]
-    w = np.ones(n)
-
-    def var(c):
-        iv = 1 / np.diag(cov)[c]
-        iv /= iv.sum()
-        return iv @ cov[np.ix_(c, c)] @ iv
-
-    def split(c):
-        if len(c) > 1:
-            left, right = c[: len(c) // 2], c[len(c) // 2 :]
-            a = 1 - var(left) / (var(left) + var(right))
-            w[left] *= a
-            w[right] *= 1 - a
-            split(left)
-            split(right)
-
-    split(order)
-    return w
-
-
-@settings(max_examples=40, deadline=None)
-@given(hs.integers(2, 9), hs.integers(0, 10_000))
-def test_allocator_properties(n, seed):
-    rng = np.random.default_rng(seed)
-    x = rng.normal(size=(40, n)) * rng.uniform(0.5, 2, n)
-    c = al.sample_cov(x, 1e-10)
-    cov = np.cov(x.T).reshape(n, n) + 1e-10 * np.eye(n)
-    np.testing.assert_allclose(c.times(np.arange(n) + 1.0), cov @ (np.arange(n) + 1.0))
-    np.testing.assert_allclose(al.hrp(c), brute_hrp(cov), atol=1e-10)
-    e = al.erc(c)
-    rc = e * (cov @ e)
-    assert np.ptp(rc) < 1e-6 * rc.sum() and (e > 0).all()
-
-
-@settings(max_examples=30, deadline=None)
-@given(hs.integers(2, 8), hs.integers(0, 10_000))
-def test_mean_variance_is_optimal(n, seed):
-    rng = np.random.default_rng(seed)
-    mu = rng.normal(0, 0.3, n)
-    cov = al.shrunk_cov(rng.normal(size=(60, n)) * rng.uniform(0.1, 1.0, n), 1e-8)
-    w = al.mean_variance(mu, cov, 5.0, -0.3, 0.3, 1.0)
-    assert np.abs(w).sum() <= 1 + 1e-9 and np.abs(w).max() <= 0.3 + 1e-12
-
-    def utility(v):
-        return v @ mu - 2.5 * v @ cov.times(v)
-
-    for _ in range(50):
-        v = al.into_bounds(w + rng.normal(0, 0.1, n), -0.3, 0.3, 1.0)
-        assert utility(v) <= utility(w) + 1e-9
-
-
-def test_shrinkage_equals_the_pair_formula():
-    rng = np.random.default_rng(1)
-    r = rng.standard_t(4, size=(50, 7)) * rng.uniform(0.5, 2, 7)
-    t, p = r.shape
-    x = r - r.mean(0)
-    s = x.T @ x / t
-    mu = np.trace(s) / p
-    delta = (s**2).sum() / p - mu**2
-    beta = ((x**2).T @ (x**2) / t - s**2).sum() / (p * t)
-    k = min(beta, delta) / delta
-    got = al.shrunk_cov(r, 0.0)
-    np.testing.assert_allclose(got.times(np.eye(p)[0]), ((1 - k) * s + k * mu * np.eye(p))[0])
-
-
-def test_black_litterman_mean_matches_dense_algebra():
-    rng = np.random.default_rng(2)
-    c = al.shrunk_cov(rng.normal(size=(40, 6)), 1e-8)
-    sigma = np.column_stack([c.times(e) for e in np.eye(6)])
-    q = rng.normal(size=6)
-    pi = 2.5 * sigma @ np.full(6, 1 / 6)
-    om = np.diag(np.maximum(0.1 * np.diag(sigma), 1e-6))
-    a, b = np.linalg.inv(0.05 * sigma), np.linalg.inv(om)
-    want = np.linalg.inv(a + b) @ (a @ pi + b @ q)
-    np.testing.assert_allclose(al.posterior_views(q, c, 2.5, 0.05, 1e-6), want, rtol=1e-8)
-
-
-@pytest.mark.parametrize("kind", ["hrp", "erc", "mvo", "black_litterman"])
-def test_allocate_over_dates(panel, wide, spark, kind):
-    at = [wide.index[20], wide.index[150], wide.index[299]]
-    scores = weight_frame(spark, [(d, t, 0.1 * (i + 1)) for d in at for i, t in enumerate(wide.columns)], "score")
-    returns = panel.withColumn("r", ft.log_ret()).select("date", "ticker", "r")
-    out = al.allocate(kind, scores, returns, 100).toPandas()
-    assert out.groupby("date").size().tolist() == [5, 5, 5]
-    r = np.log(wide / wide.shift(1)).iloc[200:300].to_numpy()
-    last = out[out["date"] == at[2]].sort_values("ticker")["weight"].to_numpy()
-    if kind == "hrp":
-        np.testing.assert_allclose(last, brute_hrp(np.cov(r.T) + 1e-10 * np.eye(5)), atol=1e-9)
-        first = out[out["date"] == at[0]]["weight"]
-        assert first.tolist() == pytest.approx([0.2] * 5)  # too few rows: equal weights
-    if kind == "erc":
-        assert last.sum() == pytest.approx(1.0)
-    if kind in ("mvo", "black_litterman"):
-        assert np.abs(last).max() <= 0.10 + 1e-12
-    with pytest.raises(Exception, match="more than 3 names"):
-        al.allocate(kind, scores, returns, 100, max_names=3).collect()
-
-
-def test_allocate_from_one_materialised_panel(panel, wide):
-    """Scores and returns may share a lineage."""
-    from barweave.session import materialise
-
-    p = materialise(panel.select("date", "ticker", "adj_close"))
-    last = F.lit(str(wide.index[-1])).cast("date")
-    scores = p.where(F.col("date") == last).select("date", "ticker", F.col("adj_close").alias("score"))
-    returns = p.withColumn("r", ft.log_ret()).select("date", "ticker", "r")
-    w = al.allocate("hrp", scores, returns, 100).toPandas()["weight"]
-    assert len(w) == 5 and w.sum() == pytest.approx(1.0)
-
-
-def test_unknown_allocator(panel):
+def test_unknown_allocator():
     with pytest.raises(ValueError):
-        al.allocate("magic", panel, panel)
+        registry.allocator("magic")
 
 
 @pytest.mark.parametrize("blocks", [1, 3])
@@ -265,7 +112,7 @@ def ledger_panel(spark):
     return spark.createDataFrame(rows, "date date, ticker string, open double, adj_close double, volume double")
 
 
-def brute_book(pdf: pd.DataFrame, w: dict, capital: float, cap: float, model: costs.CostModel):
+def brute_book(pdf: pd.DataFrame, w: dict, capital: float, cap: float, model: costs.CostModel, wait: bool):
     """Walk the calendar one date at a time, holding the state in dictionaries."""
     shares, cash, last, pending, curve = {}, capital, {}, {}, []
     for d, bars in pdf.sort_values(["date", "ticker"]).groupby("date"):
@@ -279,30 +126,34 @@ def brute_book(pdf: pd.DataFrame, w: dict, capital: float, cap: float, model: co
                 cash -= n + cost
                 shares[b.ticker] = shares.get(b.ticker, 0.0) + s
             last[b.ticker] = b.adj_close
+        if not wait:
+            pending.clear()  # no bar on the next date, no trade
         value = {t: s * last[t] for t, s in shares.items()}
         curve.append((d, cash + sum(value.values())))
         cash -= sum(-v * model.borrow_bps_annual / 1e4 / 252 for v in value.values() if v < 0)
         if d in w:
-            for t in last:
+            for t in last if wait else bars["ticker"]:
                 if t in w[d] or t in shares or t in pending:
                     pending[t] = w[d].get(t, 0.0) * capital / last[t]
     return curve
 
 
-def test_ledger_and_equity_match_a_sequential_walk(spark):
+@pytest.mark.parametrize("wait", [False, True])
+def test_ledger_and_equity_match_a_sequential_walk(spark, wait):
     p = ledger_panel(spark)
     dd = days(40)
     plan = {dd[5]: {"A": 0.5, "B": -0.4, "C": 0.1}, dd[15]: {"A": -0.2, "C": 0.6}, dd[16]: {"B": 0.3}, dd[28]: {"A": 0.1, "B": 0.1, "C": -0.5}}
     w = spark.createDataFrame([("x", d, t, v) for d, m in plan.items() for t, v in m.items()], "run_id string, date date, ticker string, weight double")
     model = costs.CostModel()
-    fills = ex.fill_orders(ex.orders(w, p, 50_000.0), model, 0.3)
+    wanted = ex.orders(w, p, 50_000.0, wait_for_bar=wait)
+    fills = ex.fill_orders(wanted, model, 0.3)
     eq = ex.mark_to_market(fills, p, 50_000.0, model)
     got = {r["date"]: r["equity"] for r in eq.collect()}
-    want = dict(brute_book(p.toPandas(), plan, 50_000.0, 0.3, model))
+    want = dict(brute_book(p.toPandas(), plan, 50_000.0, 0.3, model, wait))
     assert set(got) == set(want)
     for d, v in want.items():
         assert got[d] == pytest.approx(v, rel=1e-9)
-    flat = ex.fill_orders(ex.orders(w, p, 50_000.0), model, 0.3, flat_cost=True).first()
+    flat = ex.fill_orders(wanted, model, 0.3, flat_cost=True).first()
     assert flat["cost"] == pytest.approx(abs(flat["notional"]) * model.flat_fraction(0.3))
     rets = ex.equity_returns(eq).count()
     assert rets == len(want) - 1
@@ -323,3 +174,23 @@ def test_portfolio_returns_use_weights_from_before(make_prices, spark):
     w = spark.createDataFrame([("x", D1, "A", 1.0), ("x", D3, "B", 1.0)], "run_id string, date date, ticker string, weight double")
     out = ex.portfolio_returns(w, p).orderBy("date").collect()
     assert [(r["date"].day, round(r["r"], 9)) for r in out] == [(2, 0.1), (3, 0.1), (4, 0.0)]
+
+
+def test_portfolio_returns_keep_every_date(make_prices, spark):
+    """B trades every second day; with B alone held, the other days earn 0."""
+    p = make_prices({"A": [100.0] * 9, "B": [100, None, 110, None, 121, None, 121, None, 133.1]})
+    w = spark.createDataFrame([("x", D1, "B", 1.0)], "run_id string, date date, ticker string, weight double")
+    out = ex.portfolio_returns(w, p).orderBy("date").collect()
+    assert [(r["date"].day, round(r["r"], 9)) for r in out] == [
+        (2, 0.0), (3, 0.1), (4, 0.0), (5, 0.1), (6, 0.0), (7, 0.0), (8, 0.0), (9, 0.1),
+    ]
+
+
+def test_orders_trade_on_the_next_date_or_wait(make_prices, spark):
+    p = make_prices({"A": [100, 100, 100], "B": [50, None, 60], "C": [None, 20, 20]})
+    p = p.withColumns({"open": F.col("adj_close"), "volume": F.lit(1e6)})
+    rows = [("x", D1, t, 0.3) for t in "ABC"]
+    w = spark.createDataFrame(rows, "run_id string, date date, ticker string, weight double")
+    at = lambda **k: {r["ticker"]: r["exec_date"].day for r in ex.orders(w, p, 1000.0, **k).collect()}
+    assert at() == {"A": 2}
+    assert at(wait_for_bar=True) == {"A": 2, "B": 3}

@@ -244,9 +244,9 @@ def test_regimes_and_costs(two, spark):
 
 def test_audit_findings(panel, spark):
     clean = audit_panel(panel).first()
-    assert clean["is_clean"] and clean["n_tickers"] == 5 and clean["n_rows"] == 1500 and clean["warnings"] == ""
+    assert clean["is_clean"] and clean["n_tickers"] == 5 and clean["n_rows"] == 1500 and not clean["volume_idle"]
     w = panel.withColumn("volume", F.when(F.dayofyear("date") % 6 == 0, 0.0).otherwise(F.col("volume")))
-    assert "zero-volume" in audit_panel(w).first()["warnings"]
+    assert audit_panel(w).first()["volume_idle"]
     spike = panel.withColumn(
         "adj_close", F.when(F.col("date") == F.lit("2018-06-01").cast("date"), F.col("adj_close") * 9).otherwise(F.col("adj_close"))
     )
@@ -283,3 +283,30 @@ def test_report_tables(two):
     np.testing.assert_allclose(
         roll["roll_sharpe"].to_numpy(float), (s.rolling(60).mean() / s.rolling(60).std() * math.sqrt(252)).to_numpy(), rtol=1e-8
     )
+
+
+def test_stress_shows_a_wipe_out(make_series):
+    r = make_series({"x": [0.1, 0.2, -1.0, 0.5]})
+    row = risk.historical_stress(r, [("w", "2020-01-01", "2020-12-31")]).first()
+    assert row["total_return"] == -1.0 and row["max_drawdown"] == -1.0
+
+
+def test_rolling_figures_of_constant_returns_are_null(make_series):
+    r = make_series({"x": [0.01] * 300})
+    bench = r.select("date", F.col("r").alias("b"))
+    rows = metrics.rolling_sharpe_beta(r, bench, 252).collect()
+    assert len(rows) == 300 and all(x["roll_sharpe"] is None and x["roll_beta"] is None for x in rows)
+
+
+def test_rolling_figures_with_jumps(make_series):
+    """A move by orders of magnitude early on leaves later frames exact."""
+    rng = np.random.default_rng(5)
+    r, b = rng.normal(0, 0.01, 120), rng.normal(0, 0.01, 120)
+    r[3], b[3] = 1e6, -1e5
+    rows = metrics.rolling_sharpe_beta(
+        make_series({"x": r}), make_series({"m": b}).select("date", F.col("r").alias("b")), 20
+    ).orderBy("date").collect()
+    for i in (40, 90, 119):
+        x, y = r[i - 19 : i + 1], b[i - 19 : i + 1]
+        assert rows[i]["roll_sharpe"] == pytest.approx(x.mean() / x.std(ddof=1) * math.sqrt(252), rel=1e-6)
+        assert rows[i]["roll_beta"] == pytest.approx(np.cov(x, y)[0, 1] / y.var(ddof=1), rel=1e-6)

@@ -137,3 +137,31 @@ def test_run_log_and_artifacts(spark, tmp_path):
     assert (rec[0]["n_bars"], rec[0]["final_equity"], rec[0]["config_hash"]) == (3, 103.0, store.stable_key({"k": 1}))
     store.write_run(str(tmp_path / "run"), equity=eq)
     assert spark.read.parquet(str(tmp_path / "run" / "equity")).where("run_id = 'r1'").count() == 3
+
+
+def test_bars_aggregate_by_hash(spark):
+    t = spark.createDataFrame(
+        [("k", date(2020, 1, 1), i, i % 3, 10.0 + i, 2.0) for i in range(9)],
+        "k string, date date, seq1 long, seq2 int, amount double, quantity double",
+    )
+    bars = pn.bars_from_trades(t, "k")
+    plan = bars._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    row = bars.first()
+    assert (row["open"], row["close"]) == (5.0, 9.0)
+    with pytest.raises(Exception, match="out of range"):
+        pn.bars_from_trades(t.withColumn("seq1", F.lit(1 << 43)), "k").collect()
+
+
+def test_only_published_data_are_read(spark, tmp_path):
+    s, calls = store.DatasetStore(spark, str(tmp_path)), []
+    path = s.path_for("x", {"a": 1})
+    spark.range(7).write.parquet(f"{path}/data-0broken")  # written, never published
+
+    def compute():
+        calls.append(1)
+        return spark.range(3)
+
+    assert s.get_or_compute("x", {"a": 1}, compute).count() == 3
+    assert s.get_or_compute("x", {"a": 1}, compute).count() == 3
+    assert len(calls) == 1
