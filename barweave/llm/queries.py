@@ -104,4 +104,56 @@ QUERIES = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {}
+def _spans_sql(rule: secrets.Rule) -> str:
+    """Spans of one rule: the texts between matches give the places of the matches."""
+    p = rule.pattern.replace("'", "''")
+    part = f"regexp_extract_all(t, '{p}', {rule.group})"
+    return f"""SELECT doc_id, '{rule.kind}' AS kind, u.x.a AS a, u.x.b AS b FROM (
+      SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+        a := list_sum(list_transform(s[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0),
+        b := list_sum(list_transform(s[1:i], lambda v: length(v))) + list_sum(list_transform(m[1:i], lambda v: length(v))),
+        n := length(g[i])))) AS x
+      FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, {part} AS g, string_split_regex(t, '{p}') AS s FROM d
+        WHERE regexp_matches(t, '{p}'))) AS u WHERE u.x.n >= {rule.least}"""
+
+
+_ORDER = "CASE kind " + " ".join(f"WHEN '{r.kind}' THEN {i}" for i, r in enumerate(secrets.RULES)) + " END"
+_BASE = ", ".join(f"'{k}'" for k in secrets.BASE)
+_FLAT = r"trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+
+ORACLES: dict[str, str] = {
+    "op3_weighted_mix": rf"""WITH f AS (SELECT doc_id, source, coalesce(text, '') AS t, {_FLAT} AS flat FROM documents),
+      v AS (SELECT *, length(replace(flat, ' ', '')) AS visible, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS letters FROM f),
+      w AS (SELECT doc_id, source, CASE WHEN flat = '' THEN 0 ELSE length(flat) - visible + 1 END AS size,
+        CASE WHEN visible = 0 THEN {mixing.LEAST_QUALITY} ELSE greatest(letters / visible, {mixing.LEAST_QUALITY}) END AS q FROM v),
+      k AS (SELECT *, -ln((CAST('0x' || substr(md5('11:' || doc_id), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656) / q AS k FROM w),
+      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r
+        FROM k GROUP BY source),
+      c AS (SELECT *, ([5, 2, 1])[r % 3 + 1] AS weight FROM s),
+      o AS (SELECT *, 3 * total / weight AS ratio, (sum(total) OVER ()
+          - coalesce(sum(3 * total) OVER (ORDER BY 3 * total / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY 3 * total / weight, r
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM c),
+      l AS (SELECT arg_min(level, ROW(ratio, r)) FILTER (ratio >= level) AS level FROM o),
+      g AS (SELECT source, total, least(3.0::DOUBLE * total, weight * coalesce(l.level, 0)) AS target FROM c, l),
+      e AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE floor(target / total) END AS epochs FROM g),
+      p AS (SELECT k.*, e.total, e.target, e.epochs, e.target - e.epochs * e.total AS rest,
+          sum(size) OVER (PARTITION BY k.source ORDER BY k, doc_id) AS prefix
+        FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+      n AS (SELECT *, min(abs(prefix - rest)) OVER (PARTITION BY source) AS miss FROM p),
+      z AS (SELECT *, CASE WHEN miss < rest THEN min(CASE WHEN abs(prefix - rest) = miss THEN prefix END) OVER (PARTITION BY source)
+        ELSE 0 END AS upto FROM n)
+      SELECT doc_id, CAST(size AS BIGINT) AS size, total AS source_size, target,
+        CAST(size * (epochs + CASE WHEN prefix <= upto THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM z""",
+    "op6_trigram_secrets": f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      x AS ({" UNION ALL ".join(map(_spans_sql, secrets.RULES))}),
+      y AS (SELECT *, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) AS w, {_ORDER} AS o FROM x),
+      g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)},
+        coalesce(string_agg(w, ',' ORDER BY a, o) FILTER (kind IN ({_BASE})), '') AS base, string_agg(w, ',' ORDER BY a, o) AS spans
+        FROM y GROUP BY doc_id)
+      SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+        coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)""",
+    "op9_trie_owners": r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+      k AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+      SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN k USING (t)""",
+}
