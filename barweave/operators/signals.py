@@ -103,22 +103,30 @@ def quality(
     Kept as the reference has it: log returns compound as if simple, and a deeper
     drawdown scores higher. ``reward_low_drawdown`` turns the last sign round.
     """
-    w = trailing(lookback)
     base = panel.select("date", "ticker", "adj_close").withColumns({"_r": log_ret(), "_n": bar_number()})
-    per_bar = base.withColumns(
-        {
-            "_mean": F.avg("_r").over(w) * TRADING_DAYS,
-            "_vol": F.stddev_samp("_r").over(w) * math.sqrt(TRADING_DAYS),
-            "_path": F.collect_list("_r").over(w),
-        }
-    ).select("date", "ticker", "_n", "_mean", "_vol", "_path")
-    at = decide(per_bar, dates).where((F.col("_n") >= lookback + 1) & (F.col("_vol") > 0))
+    measures = {
+        "_mean": F.avg("_r") * TRADING_DAYS,
+        "_vol": F.stddev_samp("_r") * math.sqrt(TRADING_DAYS),
+        "_path": F.collect_list(F.struct("date", "_r")),
+    }
+    if dates is None:
+        w = trailing(lookback)
+        at = base.withColumns({k: v.over(w) for k, v in measures.items()})
+    else:
+        # Only the bars of decision windows are gathered, one array per decision and name.
+        windows = in_windows(base.select("date", "ticker", "_r", "_n"), dates, lookback)
+        at = (
+            windows.groupBy("asof", "ticker")
+            .agg(F.max("_n").alias("_n"), *[v.alias(k) for k, v in measures.items()])
+            .withColumnRenamed("asof", "date")
+        )
+    at = at.where((F.col("_n") >= lookback + 1) & (F.col("_vol") > 0))
     raw = at.select(
         "date",
         "ticker",
         (F.col("_mean") / F.col("_vol")).alias("_sharpe"),
         "_vol",
-        _path_drawdown(F.col("_path")).alias("_dd"),
+        _path_drawdown(F.transform(F.array_sort("_path"), lambda x: x["_r"])).alias("_dd"),
     )
     stats = {}
     for c in ("_sharpe", "_vol", "_dd"):

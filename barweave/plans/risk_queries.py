@@ -183,7 +183,7 @@ def walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cpcv_splits(spark: SparkSession, d: str) -> DataFrame:
-    obs = _sleeve_returns(spark, d).select("series_id", "date")
+    obs = _names(spark, d).select("series_id", "date")
     splits = validation.cpcv_splits(obs, 6, 2, 5, keep_purged=True)
     return splits.groupBy("series_id", "split_id", "role").agg(
         F.count(F.lit(1)).alias("n_obs"), F.min("obs_id").alias("first"), F.max("obs_id").alias("last")
@@ -191,11 +191,11 @@ def cpcv_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cpcv_sharpes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(validation.cpcv_sharpes(_sleeve_returns(spark, d)))
+    return rounded(validation.cpcv_sharpes(_names(spark, d)))
 
 
 def cpcv_hist(spark: SparkSession, d: str) -> DataFrame:
-    s = materialise(validation.cpcv_sharpes(_sleeve_returns(spark, d)).withColumn("sharpe", F.round("sharpe", 9)))
+    s = materialise(validation.cpcv_sharpes(_names(spark, d)).withColumn("sharpe", F.round("sharpe", 9)))
     return rounded(metrics.histogram(s, 20, "sharpe").drop("density"), 5)
 
 
@@ -221,7 +221,7 @@ def lookahead_check(spark: SparkSession, d: str) -> DataFrame:
 
 def regime_sharpe(spark: SparkSession, d: str) -> DataFrame:
     vol = ft.realized_vol(market_panel(spark, d), 21).select("date", F.round("vol", 9).alias("value"))
-    return rounded(validation.regime_sharpe(_sleeve_returns(spark, d), vol))
+    return rounded(validation.regime_sharpe(_names(spark, d), vol))
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -438,16 +438,16 @@ ORACLES = {
           UNION ALL SELECT 'expanding', i.range, 756 + i.range * 252, 0 FROM range(50) i)
         SELECT mode, CAST(fold AS INTEGER) AS fold, x.date AS train_start, y.date AS train_end, z.date AS test_start, w.date AS test_end
         FROM f JOIN c x ON x.p = a JOIN c y ON y.p = s - 1 JOIN c z ON z.p = s JOIN c w ON w.p = s + 251""",
-    "cpcv_splits": f"""WITH {_SL}, src AS (SELECT series_id, date FROM nr), {_positions_sql(6)}, {_combos_sql(6)},
+    "cpcv_splits": f"""WITH {_NAMES}, src AS (SELECT series_id, date FROM nr), {_positions_sql(6)}, {_combos_sql(6)},
         rl AS (SELECT gr.series_id, split_id, obs_id, CASE WHEN gr.g IN (a, b) THEN 'test'
           WHEN obs_id BETWEEN x.lo - 5 AND x.hi + 5 OR obs_id BETWEEN y.lo - 5 AND y.hi + 5 THEN 'purged' ELSE 'train' END AS role
           FROM gr CROSS JOIN cb JOIN bd x ON x.series_id = gr.series_id AND x.g = a JOIN bd y ON y.series_id = gr.series_id AND y.g = b)
         SELECT series_id, CAST(split_id AS INTEGER) AS split_id, role, count(*) AS n_obs, CAST(min(obs_id) AS INTEGER) AS first,
           CAST(max(obs_id) AS INTEGER) AS last FROM rl GROUP BY ALL""",
-    "cpcv_sharpes": f"""WITH {_SL}, src AS (SELECT * FROM nr), {_positions_sql(10)}, {_combos_sql(10)}
+    "cpcv_sharpes": f"""WITH {_NAMES}, src AS (SELECT * FROM nr), {_positions_sql(10)}, {_combos_sql(10)}
         SELECT series_id, CAST(split_id AS INTEGER) AS split_id, {r('avg(r) / stddev_samp(r) * sqrt(252)', 'sharpe')}, count(*) AS n_obs
         FROM gr JOIN cb ON g IN (a, b) GROUP BY ALL HAVING count(*) >= 30""",
-    "cpcv_hist": f"""WITH {_SL}, src AS (SELECT * FROM nr), {_positions_sql(10)}, {_combos_sql(10)},
+    "cpcv_hist": f"""WITH {_NAMES}, src AS (SELECT * FROM nr), {_positions_sql(10)}, {_combos_sql(10)},
         s AS (SELECT series_id, split_id, round(avg(r) / stddev_samp(r) * sqrt(252), 9) AS x FROM gr JOIN cb ON g IN (a, b)
           GROUP BY ALL HAVING count(*) >= 30),
         e AS (SELECT series_id, min(x) AS lo, (max(x) - min(x)) / 20 AS w FROM s GROUP BY 1)
@@ -464,7 +464,7 @@ ORACLES = {
           CAST(max(obs_id) AS INTEGER) AS last FROM rl GROUP BY ALL""",
     "lookahead_check": f"""WITH {BARS}, {TSMOM} SELECT count(*) AS n_same, 0::BIGINT AS n_changed FROM stat
         WHERE n >= 170 AND sd > 0 AND mom IS NOT NULL AND date <= DATE '{CUTOFF}'""",
-    "regime_sharpe": f"""WITH {_SL}, {MARKET}, ml AS (SELECT date, ticker, ln(adj_close / lag(adj_close) OVER ({W})) AS lr FROM market),
+    "regime_sharpe": f"""WITH {_NAMES}, {MARKET}, ml AS (SELECT date, ticker, ln(adj_close / lag(adj_close) OVER ({W})) AS lr FROM market),
         mv AS (SELECT date, round({gated('stddev_samp(lr)', 'lr', 21)}, 9) AS v FROM ml),
         rg AS (SELECT date, CAST(ntile(3) OVER (ORDER BY v, date) AS INTEGER) AS regime FROM mv WHERE v IS NOT NULL)
         SELECT series_id, regime, {r('avg(r) / stddev_samp(r) * sqrt(252)', 'sharpe')}, count(*) AS n_obs
