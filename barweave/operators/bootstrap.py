@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from barweave.constants import BOOTSTRAP_BLOCK, BOOTSTRAP_REPLICATES, CONFIDENCE, TRADING_DAYS
 from barweave.functions.normal import norm_ppf
+from barweave.operators import risk
 from barweave.operators.metrics import SERIES
 
 Statistic = Callable[[np.ndarray], np.ndarray]
@@ -145,3 +147,19 @@ def stationary_sharpe_ci(
 ) -> DataFrame:
     """Interval of the annual Sharpe ratio that keeps short-run dependence."""
     return bootstrap_ci(returns, sharpe_statistic, n_boot, seed, level, stationary_draws(mean_block))
+
+
+def var_with_interval(
+    returns: DataFrame,
+    methods: tuple[str, ...] = tuple(risk.VAR_METHODS),
+    n_boot: int = BOOTSTRAP_REPLICATES,
+    confidence: float = CONFIDENCE,
+) -> DataFrame:
+    """Value at risk and its bootstrap interval, one row per series and method."""
+    parts = [
+        risk.value_at_risk(returns, m, confidence)
+        .join(bootstrap_ci(returns, var_statistic(m, confidence), n_boot), SERIES, "left")
+        .withColumn("method", F.lit(m))
+        for m in methods
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -41,7 +41,7 @@ VAR_METHODS = {
 def value_at_risk(returns: DataFrame, method: str = "historical", confidence: float = CONFIDENCE) -> DataFrame:
     """Loss not exceeded with the given confidence; NULL under 30 bars.
 
-    Confidence intervals come from :func:`barweave.operators.bootstrap.bootstrap_ci`.
+    With its interval: :func:`barweave.operators.bootstrap.var_with_interval`.
     """
     if method not in VAR_METHODS:
         raise ValueError(f"unknown method: {method!r}")

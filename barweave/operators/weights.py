@@ -84,5 +84,6 @@ def densify(weights: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("date", "weight"))).alias("_w")
     )
     # One row of at most one entry per calendar date.
-    spread = own.join(F.broadcast(days)).select("ticker", "_w", F.explode("_days").alias("date"))
+    days, own = days.withColumn("_all", F.lit(1)), own.withColumn("_all", F.lit(1))
+    spread = own.join(F.broadcast(days), "_all").select("ticker", "_w", F.explode("_days").alias("date"))
     return spread.select("date", "ticker", F.coalesce(F.try_element_at("_w", F.col("date")), F.lit(0.0)).alias("weight"))

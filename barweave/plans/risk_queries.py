@@ -228,6 +228,11 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bootstrap.bootstrap_ci(_names(spark, d), bootstrap.var_statistic("historical"), 1000))
 
 
+def var_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Value at risk of every name with its interval, by each method."""
+    return rounded(bootstrap.var_with_interval(materialise(_names(spark, d))))
+
+
 def stationary_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bootstrap.stationary_sharpe_ci(_names(spark, d), 1000))
 
@@ -266,6 +271,7 @@ QUERIES = {
     "regime_sharpe": regime_sharpe,
     "bootstrap_ci": bootstrap_ci,
     "stationary_bootstrap": stationary_bootstrap,
+    "var_interval": var_interval,
 }
 
 # --- SQL twins -------------------------------------------------------------

@@ -310,3 +310,13 @@ def test_rolling_figures_with_jumps(make_series):
         x, y = r[i - 19 : i + 1], b[i - 19 : i + 1]
         assert rows[i]["roll_sharpe"] == pytest.approx(x.mean() / x.std(ddof=1) * math.sqrt(252), rel=1e-6)
         assert rows[i]["roll_beta"] == pytest.approx(np.cov(x, y)[0, 1] / y.var(ddof=1), rel=1e-6)
+
+
+def test_var_with_interval_holds_the_point(make_series):
+    rng = np.random.default_rng(3)
+    r = make_series({"x": rng.normal(0, 0.01, 250)})
+    rows = {x["method"]: x for x in bootstrap.var_with_interval(r, n_boot=200).collect()}
+    assert set(rows) == set(risk.VAR_METHODS)
+    for m, x in rows.items():
+        assert x["var"] == risk.value_at_risk(r, m).first()["var"]
+        assert x["ci_low"] <= x["var"] <= x["ci_high"] and x["n_boot"] == 200
