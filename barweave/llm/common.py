@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from barweave.session import shared_folder
 
-#: A run of these characters separates words: space, and tab to carriage return.
-BLANKS = r"[\x20\x09-\x0D]+"
-WORDS = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 8 << 20
 
 
@@ -23,6 +20,11 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def one_space(text: Column) -> Column:
+    """Each run of blanks as one space. Single spaces stay, so the regex leaves them alone."""
+    return F.regexp_replace(text, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
+
+
 def id_key(doc_id: str | Column) -> Column:
     """A join key of a nullable id: null is a value of its own."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

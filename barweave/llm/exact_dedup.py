@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import BLANKS, id_key, text_or_empty
+from barweave.llm.common import id_key, one_space, text_or_empty
 
 OWNERS = "n_bytes long, text_hash long, norm binary, text_sha256 string, keep_id long, group_size long"
 BUDGET = 48 << 20
@@ -130,7 +130,7 @@ def _merge(budget: int, in_order: bool) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def normalised(text: Column | str = "text") -> Column:
-    return F.regexp_replace(text_or_empty(text), BLANKS, " ")
+    return one_space(text_or_empty(text))
 
 
 def owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import BLANKS, stored, text_or_empty
+from barweave.llm.common import one_space, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -30,7 +30,7 @@ def word_count(text: Column | str = "text") -> Column:
 
 
 def _flat(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(text_or_empty(text), BLANKS, " "))
+    return F.trim(one_space(text_or_empty(text)))
 
 
 def _visible(flat: Column) -> Column:
@@ -79,24 +79,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 11, weight: Column | None = None
-) -> DataFrame:
-    """``docs`` with size, source_size, target and taken (words the mix takes of the row).
+def _rows(docs: DataFrame, keep: tuple[str, ...], seed: int, weight: Column | None) -> DataFrame:
+    key = sampling_key(quality() if weight is None else weight, seed)
+    return docs.select("doc_id", "source", *keep, word_count().alias("size"), key.alias("_key"))
 
-    ``taken`` is a whole number of copies of the document. A null text has no words; a null
-    source is a source of its own; documents without words are never taken. Rows repeated
-    under one doc_id share their key and are selected together. Columns of ``docs`` named
-    like the new ones are replaced; an empty table gives no rows.
-    """
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(
-        *kept, word_count().alias("size"), sampling_key(quality() if weight is None else weight, seed).alias("_key")
-    )
-    narrow = sized.select("source", "doc_id", "size", "_key")
-    position = F.least(F.floor((1 - F.exp(-F.col("_key"))) * SLICES), F.lit(SLICES - 1)).cast("int")
+
+def _slice() -> Column:
+    return F.least(F.floor((1 - F.exp(-F.col("_key"))) * SLICES), F.lit(SLICES - 1)).cast("int")
+
+
+def _plan(narrow: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """One row per source: target, epochs, and the slice, key and id at the end of its prefix."""
     slices = stored(
-        narrow.groupBy("source", position.alias("slice")).agg(F.sum("size").alias("held")), "mix-slices"
+        narrow.groupBy("source", _slice().alias("slice")).agg(F.sum("size").alias("held")), "mix-slices"
     )
     goals = targets(slices.groupBy("source").agg(F.sum("held").alias("source_size")), weights, cap)
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
@@ -108,17 +103,15 @@ def mix(
     )
     up_to = Window.partitionBy("source").orderBy("slice")
     running = slices.withColumn("before", F.sum("held").over(up_to) - F.col("held"))
-    last = running.join(goals.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).where(
-        (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest"))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    last = (
+        running.join(goals.select(F.col("source").alias("s"), "rest"), same)
+        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest")))
+        .select(F.col("source").alias("s"), F.col("slice").alias("at"), "before", "rest")
     )
-    last = last.select(F.col("source").alias("s"), F.col("slice").alias("at"), "before", "rest")
     # Peers (rows of one key and id) come in together: the frame is by range.
     prefix = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("_key", "doc_id"))
-    inside = (
-        narrow.withColumn("slice", position)
-        .join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("at")))
-        .withColumn("prefix", prefix)
-    )
+    inside = narrow.withColumn("slice", _slice()).join(last, same & (F.col("slice") == F.col("at"))).withColumn("prefix", prefix)
     # The prefix that ends nearest to the rest, the shorter one of two.
     miss = F.struct(F.abs(F.col("prefix") - F.col("rest")).alias("miss"), "prefix", (-F.col("_key")).alias("k"), "doc_id")
     ends = inside.groupBy(F.col("source").alias("s")).agg(
@@ -131,30 +124,56 @@ def mix(
         F.when(nearer, -F.col("end.k")).alias("end_key"),
         F.when(nearer, F.col("end.doc_id")).alias("end_id"),
     )
-    plan = stored(
-        goals.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
-            F.col("source").alias("_source"), "source_size", "target", "epochs", "rest", "at", "end_key", "end_id"
+    return stored(
+        goals.join(ends, same, "left").select(
+            F.col("source").alias("_source"), "source_size", "target", "epochs", "at", "end_key", "end_id"
         ),
         "mix-plan",
     )
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    cap: int = CAP,
+    seed: int = 11,
+    weight: Column | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words the mix takes) per row.
+
+    ``taken`` is a whole number of copies of the document. A null text has no words; a null
+    source is a source of its own; documents without words are never taken. Rows repeated
+    under one doc_id share their key and are selected together. ``keep`` names columns of
+    ``docs`` to return as well; without them the texts are read once. An empty table gives no
+    rows.
+    """
+    narrow = stored(_rows(docs, (), seed, weight), "mix-rows")
+    plan = _plan(narrow, weights, cap)
+    rows = _rows(docs, keep, seed, weight) if keep else narrow
     key, end = F.col("_key"), F.col("end_key")
     in_prefix = (key < end) | ((key == end) & (F.col("doc_id") <= F.col("end_id")))
     # Before the slice all are in; in it, those up to the end.
     extra = F.when(F.col("at").isNull(), F.lit(False)).otherwise(
-        (position < F.col("at")) | ((position == F.col("at")) & F.coalesce(in_prefix, F.lit(False)))
+        (_slice() < F.col("at")) | ((_slice() == F.col("at")) & F.coalesce(in_prefix, F.lit(False)))
     )
     taken = F.col("size") * (F.col("epochs") + extra.cast("long"))
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(
-        *kept, "size", "source_size", "target", taken.alias("taken")
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "doc_id", "source", *keep, "size", "source_size", "target", taken.alias("taken")
     )
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each as often as it is taken."""
     copies = F.when(F.col("taken") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
+    # Other columns go by a name of their own meanwhile: they may be called like the new ones.
+    own = {c: f"_column{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")}
+    keep = ("text", *own.values())
     return (
-        mix(docs, **options)
+        mix(docs.withColumnsRenamed(own), keep=keep, **options)
         .where("taken > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+        .select("doc_id", "source", *keep)
+        .withColumnsRenamed({v: k for k, v in own.items()})
         .select(*docs.columns)
     )

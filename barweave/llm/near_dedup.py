@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import BLANKS, as_strings, id_key, stored, text_or_empty, text_slices
+from barweave.llm.common import as_strings, id_key, one_space, stored, text_or_empty, text_slices
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -53,7 +53,7 @@ def unit(z: np.ndarray) -> np.ndarray:
 
 
 def normal_form(text: Column | str = "text") -> Column:
-    return F.trim(F.regexp_replace(F.lower(text_or_empty(text)), BLANKS, " "))
+    return F.trim(one_space(F.lower(text_or_empty(text))))
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:

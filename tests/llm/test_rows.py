@@ -62,7 +62,7 @@ def test_mix(source, request):
 def test_mix_prefers_quality_and_nearest_prefix(spark):
     rows = [(i, " ".join(["a"] * 10), "x" if i < 400 else "y", 0.9 if i % 2 else 0.1) for i in range(480)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
-    found = mixing.mix(docs, weights=(1, 1), weight=F.col("q")).where("source = 'x'").collect()
+    found = mixing.mix(docs, weights=(1, 1), weight=F.col("q"), keep=("q",)).where("source = 'x'").collect()
     goal = found[0].target
     assert abs(sum(r.taken for r in found) - goal) <= 5
     good = sum(r.taken > 0 for r in found if r.q > 0.5) / 200
@@ -74,7 +74,9 @@ def test_mix_prefers_quality_and_nearest_prefix(spark):
 
 def test_repeated_rows_follow_the_mix(documents):
     want = mixing.mix(documents).where("taken > 0").selectExpr("doc_id", "cast(taken / size as long) AS n")
-    got = mixing.repeated(documents).groupBy("doc_id").agg(F.count("*").alias("n"))
+    wide = clashing(documents, "size", "taken", "target")
+    assert mixing.repeated(wide).columns == wide.columns
+    got = mixing.repeated(wide).groupBy("doc_id").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
