@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barweave.session import shared_folder
 
 SLICE_BYTES = 8 << 20
+MARKS = b",.;:!?"
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
@@ -76,14 +77,15 @@ def as_strings(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return array.cast(pa.string()) if array.type != pa.string() else array
 
 
-def split_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Cut every text before a blank that follows a visible character.
+def split_chunks(texts: pa.Array, marks: bytes = MARKS) -> tuple[pa.Array, np.ndarray]:
+    """Cut every text before a blank that follows a visible character, and before one of
+    ``marks`` that follows an ASCII letter.
 
     Returns the chunks in order and, per text, the number of its first chunk (one more
-    entry than texts). No pre-tokenizer here matches across such a place: a match either
-    ends at the visible character or begins at the blank, so the tokens of a text are the
-    tokens of its chunks. Only places after printable ASCII or a Latin letter are used;
-    leaving others out changes nothing but the length of a chunk.
+    entry than texts). No pre-tokenizer here matches across such a place: letters, other
+    marks and blanks are matched apart, and only a blank may lead a match of another kind. So
+    the tokens of a text are the tokens of its chunks. Only places after printable ASCII or
+    a Latin letter are used; leaving others out changes nothing but the length of a chunk.
     """
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     low, high = int(offsets[0]), int(offsets[-1])
@@ -97,7 +99,11 @@ def split_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     latin = np.zeros(len(data), bool)
     latin[1:] = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC8) & (data[1:] >= 0x80)
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = blank[1:] & (printable[:-1] | latin[:-1])
+    letter = np.zeros(256, bool)
+    letter[65:91] = letter[97:123] = True
+    mark = np.zeros(256, bool)
+    mark[list(marks)] = True
+    cut[1:-1] = (blank[1:] & (printable[:-1] | latin[:-1])) | (mark[data[1:]] & letter[data[:-1]])
     cut[rows[:-1]] = True
     cut[-1] = False
     starts = np.flatnonzero(cut)
@@ -106,6 +112,11 @@ def split_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return chunks, np.searchsorted(starts, rows, side="left")
 
 
+def free_marks(added: list[str]) -> bytes:
+    """The marks that occur in no added token: a cut must not run through one."""
+    return bytes(c for c in MARKS if not any(chr(c) in token for token in added))
+
+
 def one_thread_tokenizers() -> None:
     """Spark already runs a task per core; must come before the library is imported."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -126,7 +137,7 @@ class ChunkEncoder:
     bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 700_000):
         one_thread_tokenizers()
         from tokenizers import Tokenizer
 
@@ -134,6 +145,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit = limit
+        self.marks = free_marks([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self._clear()
 
     def _clear(self) -> None:
@@ -168,7 +180,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in order, and per text the place of its first one (plus the end)."""
-        chunks, first = split_chunks(texts)
+        chunks, first = split_chunks(texts, self.marks)
         if len(chunks) == 0:
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         coded = chunks.dictionary_encode()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import as_strings, split_chunks, text_or_empty, text_slices
+from barweave.llm.common import as_strings, free_marks, split_chunks, text_or_empty, text_slices
 
 #: Fixed value: the pattern of byte-level vocabularies of this family.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,7 +38,7 @@ def byte_symbols() -> list[str]:
 class MergeCounter:
     """Counts of one vocabulary file; remembers pieces and chunks up to ``limit`` of each."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -56,6 +56,7 @@ class MergeCounter:
         # Added tokens found in a text are taken as they stand, the longest first.
         contents = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, contents))) if contents else None
+        self.marks = free_marks(contents)
         self.pattern = regex.compile(PIECES)
         self.limit = limit
         self.pieces: dict[str, int] = {}
@@ -112,7 +113,7 @@ class MergeCounter:
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; a distinct chunk is looked at once."""
-        chunks, first = split_chunks(texts)
+        chunks, first = split_chunks(texts, self.marks)
         if len(chunks) == 0:
             return np.zeros(len(texts), np.int64)
         coded = chunks.dictionary_encode()

@@ -15,7 +15,7 @@ from barweave.llm.common import ChunkEncoder, scratch_path, tokenizer_path
 from .conftest import clashing
 
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
-ODD = st.text(st.sampled_from(list(" \n\t\r\x0b 　abé́'sAI.1<|>ſ日")), max_size=40)
+ODD = st.text(st.sampled_from(list(" \n\t\r\x0b\u00a0\u3000ab\u00e9\u0301'sAI.1,!?;:<|>\u017f\u65e5")), max_size=40)
 
 
 @pytest.fixture(scope="module")
@@ -47,11 +47,15 @@ _HELD: dict = {}
 
 
 def _coder(file):
-    return _HELD.setdefault(file, ChunkEncoder(tokenizer_path(file), limit=50))
+    if file not in _HELD:
+        _HELD[file] = ChunkEncoder(tokenizer_path(file), limit=50)
+    return _HELD[file]
 
 
 def _counter():
-    return _HELD.setdefault("counter", token_counts.MergeCounter(tokenizer_path(BYTES), limit=50))
+    if "counter" not in _HELD:
+        _HELD["counter"] = token_counts.MergeCounter(tokenizer_path(BYTES), limit=50)
+    return _HELD["counter"]
 
 
 @pytest.mark.parametrize("source", ["awkward", "documents"])
