@@ -34,6 +34,7 @@ BANDS = 42  # 252 of the registers; a pair at 0.8 meets in some band but for 3 i
 FEW = 8  # buckets up to this size emit all their pairs
 MANY = 1024  # larger buckets are split by further bands
 SPLITS = 3
+SLICE_BYTES = 4 << 20  # text whose points are drawn at once
 LIKELY = 0.7  # estimate from which a pair is verified: 0.8 less four standard errors
 SURE = 0.88
 
@@ -184,7 +185,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fresh.append(i)
         batch = batch.take(pa.array(fresh, pa.int64()))
         texts = as_strings(batch.column("norm"))
-        for a, b in text_slices(texts):
+        for a, b in text_slices(texts, SLICE_BYTES):
             values, bounds = shingles(texts.slice(a, b - a))
             registers = bag_minhash(*runs(values, bounds), b - a)
             some = np.flatnonzero(np.diff(bounds) > 0)
@@ -299,7 +300,7 @@ def candidates(signatures: DataFrame) -> DataFrame:
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_strings(batch.column("norm"))
-        for a, b in text_slices(texts):
+        for a, b in text_slices(texts, SLICE_BYTES):
             values, bounds = shingles(texts.slice(a, b - a))
             yield pa.RecordBatch.from_pydict(
                 {
