@@ -10,7 +10,7 @@ Texts that are equal in this form are one item from the start; the work below is
   similarity. Points of a process come in order of time, so it ends at the first one later
   than every register.
 * Bands of six registers make buckets; pairs of a bucket are compared by signature, in
-  oversized buckets after splitting by further bands, and never all of them are emitted:
+  oversized buckets block against block, and never all of them are emitted:
   items are linked to leaders, the ones left uncertain also to their nearest items.
 * Pairs are verified on the multisets, links joined into classes by label propagation.
 """
@@ -32,8 +32,7 @@ REGISTERS = 256
 BAND_ROWS = 6
 BANDS = 42  # 252 of the registers; a pair at 0.8 meets in some band but for 3 in a million
 FEW = 8  # buckets up to this size emit all their pairs
-MANY = 1024  # larger buckets are split by further bands
-SPLITS = 3
+MANY = 1024  # larger buckets are dealt into blocks of about this size, every two of which meet
 SLICE_BYTES = 4 << 20  # text whose points are drawn at once
 LIKELY = 0.7  # estimate from which a pair is verified: 0.8 less four standard errors
 SURE = 0.88
@@ -243,6 +242,18 @@ def _bucket(table: pa.Table) -> pa.Table:
     )
 
 
+def met(rows: DataFrame, blocks: Column) -> DataFrame:
+    """``rows`` dealt by ref into ``blocks``, with a task (low, high) for every two blocks: any
+    two rows of a key share one. One or two blocks are one task."""
+    dealt = rows.withColumn("_k", blocks.cast("int")).withColumn("_in", F.pmod(F.xxhash64("ref"), F.col("_k")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: (j != F.col("_in")) | (F.col("_k") == 1))
+    return (
+        dealt.withColumn("_with", F.explode(others))
+        .withColumns({"low": F.least("_in", "_with"), "high": F.greatest("_in", "_with")})
+        .drop("_k", "_in", "_with")
+    )
+
+
 def candidates(signatures: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of items to verify."""
     rows = signatures.select("ref", F.explode("bands").alias("key"))
@@ -265,28 +276,11 @@ def candidates(signatures: DataFrame) -> DataFrame:
         .select(x.alias("a"), y.alias("b"))
     )
     full = members.where(F.col("n") > FEW).join(signatures, "ref")
-    medium = full.where(F.col("n") <= MANY).select("key", F.lit(0).alias("salt"), "ref", "short")
-    # An oversized bucket is split by the next bands; what is still too large is dealt out
-    # by hash, and its items are linked to the smallest item as well.
-    band = F.array_position("bands", F.col("key")).cast("int")
-    split = (
-        full.where(F.col("n") > MANY)
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
-        .withColumn("next", F.element_at("bands", (band + F.col("step")) % BANDS + 1))
-        .select(F.xxhash64("key", "next").alias("key"), "ref", "short")
-    )
-    inner = split.groupBy("key").agg(F.count("*").alias("n"), F.min("ref").alias("first")).where("n > 1")
-    split = split.join(inner, "key").withColumn(
-        "salt", F.pmod(F.xxhash64("ref"), F.ceil(F.col("n") / MANY)).cast("int")
-    )
-    stars = split.where((F.col("n") > MANY) & (F.col("ref") != F.col("first"))).select(
-        F.least("first", "ref").alias("a"), F.greatest("first", "ref").alias("b")
-    )
-    grouped = medium.unionByName(split.select("key", "salt", "ref", "short"))
+    grouped = met(full.select("key", "n", "ref", "short"), F.ceil(F.col("n") / MANY))
     # An item names the same leaders in many buckets: one list per item and bucket, joined
-    # before its pairs are spread. A list has a few leaders, and an item BANDS * SPLITS lists.
+    # before its pairs are spread.
     led = (
-        grouped.groupBy("key", "salt")
+        grouped.groupBy("key", "low", "high")
         .applyInArrow(_bucket, "ref long, near array<bigint>")
         .groupBy("ref")
         .agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
@@ -294,7 +288,7 @@ def candidates(signatures: DataFrame) -> DataFrame:
         .where("ref != other")
         .select(F.least("ref", "other").alias("a"), F.greatest("ref", "other").alias("b"))
     )
-    return twos.unionByName(few).unionByName(led).unionByName(stars).distinct()
+    return twos.unionByName(few).unionByName(led).distinct()
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -251,6 +251,17 @@ def test_large_groups_of_near_copies_are_whole(spark, monkeypatch):
     assert got == dict(enumerate(classes_by_hand(texts)))
 
 
+def test_every_two_items_of_a_bucket_meet(spark):
+    sizes = {1: 5, 2: 30, 3: 100}
+    rows = spark.createDataFrame([(k, i, n) for k, n in sizes.items() for i in range(n)], "key long, ref long, n long")
+    tasks = defaultdict(set)
+    for r in near_dedup.met(rows, F.ceil(F.col("n") / 16)).collect():
+        tasks[r.key, r.low, r.high].add(r.ref)
+    for key, n in sizes.items():
+        seen = {(a, b) for (k, *_), refs in tasks.items() if k == key for a in refs for b in refs if a < b}
+        assert len(seen) == n * (n - 1) // 2
+
+
 def test_signatures_estimate_weighted_similarity():
     import numpy as np
     import pyarrow as pa
