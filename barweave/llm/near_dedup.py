@@ -9,10 +9,12 @@ Texts that are equal in this form are one item from the start; the work below is
   time. Two items agree on a register with the probability of their weighted Jaccard
   similarity. Points of a process come in order of time, so it ends at the first one later
   than every register.
-* Bands of six registers make buckets; pairs of a bucket are compared by signature, in
-  oversized buckets block against block, and never all of them are emitted:
-  items are linked to leaders, the ones left uncertain also to their nearest items.
-* Pairs are verified on the multisets, links joined into classes by label propagation.
+* Bands of six registers make buckets. Pairs of small buckets are verified one by one. In
+  the others all pairs are compared by signature, in oversized buckets block against block,
+  and items join into groups: any two that share a bucket and look alike are in one group.
+* Verification is on the multisets. Within a group all pairs are verified in tasks of two
+  blocks, which give each item's number of links and its class but no pairs. Links are
+  joined into classes by label propagation.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import as_strings, id_key, one_space, stored, text_or_empty, text_slices
+from barweave.llm.common import as_strings, id_key, one_space, ragged, stored, text_or_empty, text_slices
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -35,7 +37,7 @@ FEW = 8  # buckets up to this size emit all their pairs
 MANY = 1024  # larger buckets are dealt into blocks of about this size, every two of which meet
 SLICE_BYTES = 4 << 20  # text whose points are drawn at once
 LIKELY = 0.7  # estimate from which a pair is verified: 0.8 less four standard errors
-SURE = 0.88
+BLOCK_BYTES = 8 << 20  # multisets of one block of a group
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -202,44 +204,34 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar(signatures: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Estimated similarity of each row to one signature, chance agreement removed."""
-    return ((signatures == to).mean(1) - 1 / 256) / (1 - 1 / 256)
+    return (np.count_nonzero(signatures == to, axis=1) / REGISTERS - 1 / 256) / (1 - 1 / 256)
 
 
-def bucket_links(refs: np.ndarray, signatures: np.ndarray) -> dict[int, set[int]]:
-    """Items of one bucket that each item is to be verified with: the leaders it resembles
-    and, if no leader holds it for sure, the two items nearest to it."""
-    order = np.argsort(refs, kind="stable")
-    refs, signatures = refs[order], signatures[order]
-    n = len(refs)
-    best, is_leader = np.zeros(n), np.zeros(n, bool)
-    out: dict[int, set[int]] = {}
-    for i in range(n):
-        if best[i] >= LIKELY:
-            continue
-        is_leader[i] = True
-        s = similar(signatures, signatures[i])
-        s[i] = 0
-        for j in np.flatnonzero(s >= LIKELY):
-            out.setdefault(int(refs[j]), set()).add(int(refs[i]))
-        best = np.maximum(best, s)
-    for i in np.flatnonzero((best >= LIKELY) & (best < SURE) & ~is_leader):
-        s = similar(signatures, signatures[i])
-        s[i] = 0
-        near = np.argsort(-s, kind="stable")[:2]
-        out.setdefault(int(refs[i]), set()).update(int(refs[j]) for j in near if s[j] >= LIKELY)
-    return out
+def firsts(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first item of each item's connected class; ``near(i, rest)`` says which of the
+    items ``rest`` are linked to ``i``. Items that have joined are not compared again."""
+    first, rest = np.arange(n), np.arange(n)
+    while len(rest):
+        start, rest = rest[0], rest[1:]
+        queue = [start]
+        while queue and len(rest):
+            found = near(queue.pop(), rest)
+            if found.any():
+                first[rest[found]] = start
+                queue.extend(rest[found])
+                rest = rest[~found]
+    return first
 
 
 def _bucket(table: pa.Table) -> pa.Table:
+    """Items that are not the first of their group, with that one."""
     refs = table.column("ref").to_numpy()
     signatures = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(refs), REGISTERS)
-    found = bucket_links(refs, signatures)
-    return pa.table(
-        {
-            "ref": pa.array(list(found), pa.int64()),
-            "near": pa.array([sorted(v) for v in found.values()], pa.list_(pa.int64())),
-        }
-    )
+    order = np.argsort(refs, kind="stable")
+    refs, signatures = refs[order], signatures[order]
+    first = firsts(len(refs), lambda i, rest: similar(signatures[rest], signatures[i]) >= LIKELY)
+    joined = first != np.arange(len(refs))
+    return pa.table({"ref": pa.array(refs[joined]), "near": pa.array(refs[first[joined]])})
 
 
 def met(rows: DataFrame, blocks: Column) -> DataFrame:
@@ -254,8 +246,9 @@ def met(rows: DataFrame, blocks: Column) -> DataFrame:
     )
 
 
-def candidates(signatures: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of items to verify."""
+def candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of items to verify, and groups (ref, label) all pairs of which are
+    to be verified; no pair is in both."""
     rows = signatures.select("ref", F.explode("bands").alias("key"))
     sizes = stored(
         rows.groupBy("key")
@@ -277,18 +270,24 @@ def candidates(signatures: DataFrame) -> DataFrame:
     )
     full = members.where(F.col("n") > FEW).join(signatures, "ref")
     grouped = met(full.select("key", "n", "ref", "short"), F.ceil(F.col("n") / MANY))
-    # An item names the same leaders in many buckets: one list per item and bucket, joined
-    # before its pairs are spread.
-    led = (
+    # An item may join the same one in many buckets: one list per item before it is spread.
+    near = (
         grouped.groupBy("key", "low", "high")
-        .applyInArrow(_bucket, "ref long, near array<bigint>")
+        .applyInArrow(_bucket, "ref long, near long")
         .groupBy("ref")
-        .agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        .select("ref", F.explode("near").alias("other"))
-        .where("ref != other")
-        .select(F.least("ref", "other").alias("a"), F.greatest("ref", "other").alias("b"))
+        .agg(F.collect_set("near").alias("near"))  # one per bucket task of the item at most
     )
-    return twos.unionByName(few).unionByName(led).distinct()
+    groups = components(stored(near.select(F.col("ref").alias("b"), F.explode("near").alias("a")), "near"))
+    side = [groups.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
+    pairs = (
+        twos.unionByName(few)
+        .distinct()
+        .join(side[0], "a", "left")
+        .join(side[1], "b", "left")
+        .where("label_a IS NULL OR label_b IS NULL OR label_a != label_b")
+        .select("a", "b")
+    )
+    return pairs, groups.select(F.col("node").alias("ref"), "label")
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +326,85 @@ def _verified(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every sorted multiset of ``a`` with every one of ``b``."""
+    sizes = np.array([len(x) for x in (*a, *b)], np.int64)
+    values, owner = np.concatenate([*a, *b]), np.repeat(np.arange(len(sizes)), sizes)
+    at, counts, _ = runs(values, np.append(0, np.cumsum(sizes)))
+    # The k-th copy of a shingle is an element of its own, so multisets become sets.
+    copy = ragged(np.zeros(len(at), np.int64), counts)
+    element = np.unique(values, return_inverse=True)[1].astype(np.int64) * (int(counts.max()) + 1) + copy
+    element = np.unique(element, return_inverse=True)[1]
+    mine = owner < len(a)
+    x, y, i, j = element[mine], element[~mine], owner[mine], owner[~mine] - len(a)
+    n = int(element.max()) + 1
+    in_a, in_b = np.bincount(x, minlength=n), np.bincount(y, minlength=n)
+    # Elements that many have go by matrix products, the others by lists of who has them.
+    common = in_a * in_b * 64 >= len(a) * len(b)
+    out = np.zeros((len(a), len(b)))
+    columns = np.cumsum(common) - 1
+    for start in range(0, int(common.sum()), 2048):
+        parts = []
+        for e, row, rows in ((x, i, len(a)), (y, j, len(b))):
+            some = common[e] & (columns[e] >= start) & (columns[e] < start + 2048)
+            parts.append(np.zeros((rows, 2048), np.float32))
+            parts[-1][row[some], columns[e[some]] - start] = 1
+        out += parts[0] @ parts[1].T
+    rare = ~common & (in_a > 0) & (in_b > 0)
+    x, i = x[rare[x]], i[rare[x]]
+    holders = j[np.argsort(y, kind="stable")]
+    begin = np.cumsum(in_b) - in_b
+    edges = np.searchsorted(i, np.arange(len(a) + 1))
+    for row, (p, q) in enumerate(zip(edges[:-1], edges[1:])):
+        if p < q:
+            out[row] += np.bincount(holders[ragged(begin[x[p:q]], in_b[x[p:q]])], minlength=len(b))
+    return out
+
+
+def _linked(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Of two blocks of a group, or one with itself: each item's first one of its class here,
+    and its number of links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("ref")
+        refs = table.column("ref").to_numpy()
+        bags = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("bag")]
+        sizes = np.array([len(x) for x in bags], np.float64)
+        block = table.column("block").to_numpy()
+        one, other = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("low", "high"))
+        links = np.zeros((len(refs), len(refs)), bool)
+        if len(one) and len(other):
+            both = shared([bags[i] for i in one], [bags[i] for i in other])
+            found = both / (sizes[one][:, None] + sizes[other][None, :] - both) >= similarity
+            links[np.ix_(one, other)] = found
+            links[np.ix_(other, one)] = found.T
+        np.fill_diagonal(links, False)
+        first, n = firsts(len(refs), lambda i, rest: links[i, rest]), links.sum(axis=1)
+        some = n > 0
+        return pa.table(
+            {"ref": pa.array(refs[some]), "first": pa.array(refs[first[some]]), "n": pa.array(n[some].astype(np.int64))}
+        )
+
+    return run
+
+
+def group_links(groups: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(ref, first, n): the links of the groups' items, summed up per task of two blocks."""
+    items = groups.join(bags.select("ref", F.octet_length("bag").alias("bytes")), "ref")
+    sizes = items.groupBy("label").agg(
+        F.ceil(F.greatest(F.count("*") / MANY, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("k")
+    )
+    dealt = groups.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("ref"), F.col("k")).cast("int"))
+    tasks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        "label", "ref", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")
+    )
+    return (
+        tasks.join(bags, "ref")
+        .groupBy("label", "low", "high")
+        .applyInArrow(_linked(similarity), "ref long, first long, n long")
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected class, by label propagation with
     pointer jumping. Every round is a table in the shared folder; none reaches the driver."""
@@ -355,7 +433,8 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, ref, class_ref, links): every row with its item and its class.
 
-    ``links`` is the number of verified links of the item to different texts. Null texts
+    ``links`` is the number of verified links of the item to different texts, over all pairs
+    of its group and of its buckets up to FEW. Null texts
     are empty; texts without words are one class of exact copies. Rows may repeat, null
     doc_ids are rows like others, columns beside doc_id and text are not read, and an empty
     table gives no rows. Items are told apart by a 64-bit hash of the text in normal form.
@@ -369,8 +448,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         .dropDuplicates(["ref"]),
         "signatures",
     )
-    pairs = stored(candidates(signatures), "pairs")
-    needed = pairs.select(F.col("a").alias("ref")).unionByName(pairs.select(F.col("b").alias("ref"))).distinct()
+    pairs, groups = candidates(signatures)
+    pairs = stored(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("ref")).unionByName(pairs.select(F.col("b").alias("ref")))
+    needed = needed.unionByName(groups.select("ref")).distinct()
     # One text per item: the smallest id that has it.
     owners = base.select("ref", "doc_id").groupBy("ref").agg(id_key(F.min("doc_id")).alias("key"))
     wanted = owners.join(needed, "ref", "left_semi")
@@ -388,12 +469,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         .mapInArrow(_verified(similarity), "a long, b long, similarity double"),
         "links",
     )
-    classes = components(links).select(F.col("node").alias("ref"), F.col("label").alias("class_ref"))
+    inner = stored(group_links(groups, bags, similarity), "group-links")
+    edges = links.select("a", "b").unionByName(
+        inner.where("ref != first").select(F.col("first").alias("a"), F.col("ref").alias("b"))
+    )
+    classes = components(edges).select(F.col("node").alias("ref"), F.col("label").alias("class_ref"))
+    one = F.lit(1).cast("long").alias("n")
     degree = (
-        links.select(F.col("a").alias("ref"))
-        .unionByName(links.select(F.col("b").alias("ref")))
+        links.select(F.col("a").alias("ref"), one)
+        .unionByName(links.select(F.col("b").alias("ref"), one))
+        .unionByName(inner.select("ref", "n"))
         .groupBy("ref")
-        .agg(F.count("*").alias("links"))
+        .agg(F.sum("n").alias("links"))
     )
     known = classes.join(degree, "ref")
     return (

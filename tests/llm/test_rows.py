@@ -251,6 +251,35 @@ def test_large_groups_of_near_copies_are_whole(spark, monkeypatch):
     assert got == dict(enumerate(classes_by_hand(texts)))
 
 
+def test_links_are_counted_over_all_pairs(spark, monkeypatch):
+    """Variants of one text, each linked to nearly all others, in a group of several blocks."""
+    monkeypatch.setattr(near_dedup, "MANY", 32)
+    rng = random.Random(8)
+    base = prose(rng, 200).split(" ")
+    texts = []
+    for _ in range(100):
+        words = list(base)
+        words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    found, want = bags(texts), Counter()
+    for i in range(len(texts)):
+        for j in range(i):
+            if sum((found[i] & found[j]).values()) >= 0.8 * sum((found[i] | found[j]).values()):
+                want.update((i, j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.links for r in near_dedup.duplicate_classes(docs).collect()} == dict(want)
+
+
+def test_shared_counts_copies():
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = [[rng.randrange(1 + 9 * k) for _ in range(rng.randrange(1, 80))] for k in range(60)]
+    a, b = ([np.array(sorted(t), np.uint64) for t in x] for x in (texts[:25], texts[25:]))
+    want = [[sum((Counter(x) & Counter(y)).values()) for y in texts[25:]] for x in texts[:25]]
+    assert near_dedup.shared(a, b).tolist() == want
+
+
 def test_every_two_items_of_a_bucket_meet(spark):
     sizes = {1: 5, 2: 30, 3: 100}
     rows = spark.createDataFrame([(k, i, n) for k, n in sizes.items() for i in range(n)], "key long, ref long, n long")
