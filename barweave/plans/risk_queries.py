@@ -18,7 +18,6 @@ from barweave.sources import reference_data
 from barweave.sources.panel import (
     market_panel,
     read_table,
-    sleeve_panel,
     supplier_panel,
     supplier_sectors,
 )
@@ -42,10 +41,6 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return _series(supplier_panel(spark, d))
 
 
-def _sleeve_returns(spark: SparkSession, d: str) -> DataFrame:
-    return _series(sleeve_panel(spark, d))
-
-
 def performance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.performance(_names(spark, d)), 5)
 
@@ -162,7 +157,7 @@ def factor_beta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fama_french(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(attribution.fama_french_betas(_sleeve_returns(spark, d), materialise(factor_table(spark, d))))
+    return rounded(attribution.fama_french_betas(_names(spark, d), materialise(factor_table(spark, d))))
 
 
 def macro_series(spark: SparkSession, d: str) -> DataFrame:

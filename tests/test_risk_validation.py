@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barweave.functions.normal import norm_cdf, norm_ppf
 from barweave.operators import attribution, bootstrap, metrics, risk, validation
 from barweave.operators.audit import audit_panel
+from barweave.plans import risk_queries
 from conftest import days
 
 RNG = np.random.default_rng(12)
@@ -181,6 +182,23 @@ def test_hac_regression(make_series, spark):
     assert set(excess) == {"alpha", "Mkt-RF", "SMB", "HML"} and excess["alpha"]["n_obs"] == n
 
 
+def test_fama_french_covers_every_supplier(spark):
+    folder = "/root/testdata/sf0.001"
+    returns = risk_queries._names(spark, folder).toPandas()
+    factors = risk_queries.factor_table(spark, folder).toPandas()
+    got = risk_queries.fama_french(spark, folder).toPandas()
+    joined = returns.merge(factors, on="date").dropna()
+    assert set(got["series_id"]) == set(joined["series_id"]) and len(set(got["series_id"])) > 1
+    names = ["Mkt-RF", "SMB", "HML"]
+    for series, rows_ in joined.groupby("series_id"):
+        mine = got[got["series_id"] == series].set_index("factor")
+        assert set(mine["n_obs"]) == {len(rows_)}
+        if len(rows_) >= 20:
+            x = np.column_stack([np.ones(len(rows_)), rows_[names].to_numpy(float)])
+            beta = np.linalg.lstsq(x, (rows_["r"] - rows_["RF"]).to_numpy(float), rcond=None)[0]
+            assert mine.loc[["alpha", *names], "beta"].to_numpy(float) == pytest.approx(beta, rel=1e-6, abs=1e-5)
+
+
 def test_cpcv_roles_match_brute_force(make_series):
     n = 103
     obs = make_series({"a": [0.0] * n}).drop("r")
