@@ -170,12 +170,17 @@ def cov_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(covariance.pair_cov(_complete(spark, d)).withColumnRenamed("asof", "date"))
 
 
+def sector_pairs(p: DataFrame) -> DataFrame:
+    """Every two names (a < b) of a sector."""
+    names = p.select("sector", F.col("ticker").alias("a")).distinct()
+    return names.join(names.withColumnRenamed("a", "b"), "sector").where("a < b").select("a", "b")
+
+
 def ticker_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Common history of the two line statuses of each region, a list of pairs that the data give."""
+    """Common history of the line statuses of each region, a list of pairs that the data give."""
     p = _sleeves(spark, d)
     years = cal.trading_dates(p).groupBy(F.year("date")).agg(F.max("date").alias("date")).select("date")
-    sides = p.groupBy("sector").agg(F.min("ticker").alias("a"), F.max("ticker").alias("b")).where("a < b")
-    return pairs.common_windows(p, years, sides, 250)
+    return pairs.common_windows(p, years, sector_pairs(p), 250)
 
 
 def corr_distance(spark: SparkSession, d: str) -> DataFrame:

@@ -335,3 +335,11 @@ def test_pairs_without_gates_keep_a_drifting_pair(make_prices, spark):
     at = spark.createDataFrame([(days(n)[-1],)], "date date")
     pair = spark.createDataFrame([("A", "B")], "a string, b string")
     assert [r["n_obs"] for r in pairs.common_windows(p, at, pair, 250).collect()] == [250]
+
+
+def test_sector_pairs_have_every_name(spark):
+    from barweave.plans.research_queries import sector_pairs
+
+    p = spark.createDataFrame([("A", f"A:{x}") for x in "FMOF"] + [("B", "B:F")], "sector string, ticker string")
+    got = {(r.a, r.b) for r in sector_pairs(p).collect()}
+    assert got == {("A:F", "A:M"), ("A:F", "A:O"), ("A:M", "A:O")}
