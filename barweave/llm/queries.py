@@ -12,6 +12,9 @@ from barweave.llm import (
     mixing,
     near_dedup,
     packing,
+    pii,
+    prefix_trie,
+    resampling,
     secrets,
     sharding,
     token_counts,
@@ -88,6 +91,26 @@ def op10_merge_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_sparse_table_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op12_bracketed_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_deobfuscated_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.scan(table(spark, folder, "documents"))
+    base = F.filter("found", lambda s: ~s["added"])
+    n = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select(
+        "doc_id",
+        *map(n, range(len(pii.KINDS))),
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(F.col("found")).alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,6 +124,9 @@ QUERIES = {
         op8_counterfactual_toxicity,
         op9_trie_owners,
         op10_merge_counts,
+        op11_sparse_table_trie,
+        op12_bracketed_resampling,
+        op13_deobfuscated_pii,
     )
 } | {"pipeline": corpus_pipeline.run}
 
