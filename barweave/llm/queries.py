@@ -143,6 +143,14 @@ def _spans_sql(rule: secrets.Rule) -> str:
         WHERE regexp_matches(t, '{p}'))) AS u WHERE u.x.n >= {rule.least}"""
 
 
+def _crc32_sql(numbers: str) -> str:
+    """Unsigned crc32 of a list of byte values, bit by bit."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}), lambda c, b: {step}), 4294967295)"
+
+
+_BYTES = "list_transform(range(0, length(hex({0})) // 2), lambda i: CAST('0x' || substr(hex({0}), 2 * i + 1, 2) AS BIGINT))"
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _ORDER = "CASE kind " + " ".join(f"WHEN '{r.kind}' THEN {i}" for i, r in enumerate(secrets.RULES)) + " END"
 _BASE = ", ".join(f"'{k}'" for k in secrets.BASE)
 _FLAT = r"trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
@@ -182,4 +190,43 @@ ORACLES: dict[str, str] = {
     "op9_trie_owners": r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
       k AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
       SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN k USING (t)""",
+    "op11_sparse_table_trie": rf"""WITH o AS (
+        SELECT conv_id, list(md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+            ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns,
+          list(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))
+            ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS words
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+      h AS (SELECT *, {_crc32_sql(_BYTES.format("CAST(conv_id AS VARCHAR)"))} % 4 AS n FROM o),
+      c AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.n], h.turns[h.n + 1:]) AS turns,
+          list_concat(coalesce(b.words, [])[1:h.n], h.words[h.n + 1:]) AS words
+        FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+      p AS (SELECT conv_id, d, array_to_string(turns[1:d], '') AS path, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words,
+          d = len(turns) AS whole FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM c)),
+      g AS MATERIALIZED (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+          sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (whole), '')) AS ends
+        FROM p GROUP BY path, d),
+      k AS MATERIALIZED (SELECT g.path, count(x.path) AS n_children FROM g LEFT JOIN g x ON x.d = g.d + 1 AND x.path[1:32 * g.d] = g.path GROUP BY g.path),
+      b AS (SELECT g.path, a.d AS up, n_children, saved FROM g JOIN k USING (path), LATERAL (SELECT unnest(range(0, g.d + 1)) AS d) a),
+      t AS (SELECT path[1:32 * up] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM b GROUP BY 1)
+      SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, g.n_convs, k.n_children, t.n_leaves,
+        CAST(t.saved_tokens AS BIGINT) AS saved_tokens, g.ends AS ends_sha256
+      FROM g JOIN k USING (path) JOIN t USING (path) LEFT JOIN g u ON g.d > 0 AND u.path = g.path[1:32 * (g.d - 1)] AND u.d = g.d - 1""",
+    "op12_bracketed_resampling": rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS f FROM documents),
+      b AS MATERIALIZED (SELECT {_WORDS} AS f FROM benchmark),
+      v AS MATERIALIZED (SELECT w, {_crc32_sql(_BYTES.format("w"))} % {resampling.BUCKETS} AS bucket
+        FROM (SELECT unnest(f) AS w FROM d UNION SELECT unnest(f) FROM b)),
+      x AS MATERIALIZED (SELECT r, bucket FROM (SELECT r, unnest(f) AS w FROM d) JOIN v USING (w)),
+      s AS (SELECT bucket, count(*) AS s FROM x GROUP BY bucket),
+      t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(f) AS w FROM b) JOIN v USING (w) GROUP BY bucket),
+      n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS n, (SELECT coalesce(sum(t), 0) FROM t) AS m),
+      g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (n + {resampling.BUCKETS})::DOUBLE
+          / ((s + 1)::DOUBLE * (m + {resampling.BUCKETS})::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), n),
+      w AS (SELECT r, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM x JOIN g USING (bucket) GROUP BY r),
+      z AS (SELECT r, doc_id, CAST(len(f) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+          (CAST('0x' || substr(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+          / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (r)),
+      e AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS n
+        FROM z WHERE n_features >= {resampling.LEAST_WORDS})
+      SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {resampling.PERCENT} * n // 100 THEN rank END AS rank
+      FROM z LEFT JOIN e USING (r)""",
 }
