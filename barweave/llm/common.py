@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,58 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` does not have in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+#: What a Python worker remembers from task to task, by operator.
+WORKER_MEMORY: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    return WORKER_MEMORY.setdefault(operator, {})
+
+
+def forget_others(keeps: str) -> None:
+    for name in [n for n in WORKER_MEMORY if n != keeps]:
+        del WORKER_MEMORY[name]
+
+
+def give_back() -> None:
+    """Free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it likes
+        pass
+
+
+def lean(run: Task, keeps: str = "") -> Task:
+    """``run`` as a task that leaves little behind in its reused Python worker: first, what the
+    worker remembers for operators other than ``keeps`` is dropped."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -133,11 +187,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """Token ids of whole texts from the tokenizers library, each distinct chunk encoded once.
 
-    The memory holds at most about ``limit`` chunks and starts anew beyond that; this
-    bounds memory and changes no result.
+    The memory holds about ``limit`` bytes and starts anew beyond that; this bounds memory and
+    changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    ENTRY = 180  # bytes of a remembered chunk beside its text and ids
+
+    def __init__(self, path: str, limit: int = 96 << 20):
         one_thread_tokenizers()
         from tokenizers import Tokenizer
 
@@ -150,6 +206,7 @@ class ChunkEncoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.ids = np.empty(1 << 16, np.int32)
         self.used = 0
         self.starts = np.empty(1 << 14, np.int64)
@@ -176,6 +233,7 @@ class ChunkEncoder:
                 (i for ids in found for i in ids), np.int32, int(sizes.sum())
             )
             self.used += int(sizes.sum())
+            self.held += sum(map(len, some)) + 4 * int(sizes.sum()) + self.ENTRY * len(some)
             self.known.update(zip(some, range(n, n + len(some))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +243,7 @@ class ChunkEncoder:
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         coded = chunks.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > self.limit:
+        if self.held > self.limit:
             self._clear()
         self._learn([w for w in words if w not in self.known])
         place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
@@ -194,11 +252,9 @@ class ChunkEncoder:
         return self.ids[ragged(self.starts[place], lengths)], ends[first]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The one of this Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    held = remembered("encoder")
+    if path not in held:
+        held[path] = ChunkEncoder(path)
+    return held[path]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import as_strings, encoder, stored, text_or_empty, text_slices
+from barweave.llm.common import as_strings, encoder, lean, stored, text_or_empty, text_slices
 
 SEQUENCE = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -96,7 +96,7 @@ def minimum_slack(counts: dict[int, int], size: int = SEQUENCE) -> Plan:
     return Plan(*columns, sequences)
 
 
-def _pieces(path: str, end_id: int, size: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str, end_id: int, size: int, form: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -108,36 +108,40 @@ def _pieces(path: str, end_id: int, size: int, with_ids: bool) -> Callable[[Iter
             for a, b in text_slices(texts):
                 ids, ends = coder.encode(texts.slice(a, b - a))
                 rows: list[tuple] = []
-                tokens: list[np.ndarray] = []
+                tokens: list = []
                 for k in range(b - a):
                     own = np.append(ids[ends[k] : ends[k + 1]], end_id).astype("<u4")
                     for piece, start in enumerate(range(0, len(own), size)):
                         some = own[start : start + size]
-                        rows.append((keys[a + k], piece, start, len(some), zlib.crc32(some.tobytes()), part, int(seen[len(some)])))
+                        crc = 0 if form == "bytes" else zlib.crc32(some.tobytes())
+                        rows.append((keys[a + k], piece, start, len(some), crc, part, int(seen[len(some)])))
                         seen[len(some)] += 1
-                        if with_ids:
-                            tokens.append(some.astype(np.int32))
+                        if form:
+                            tokens.append(some.tobytes() if form == "bytes" else some.astype(np.int32))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-                if with_ids:
-                    columns.append(pa.array(tokens, pa.list_(pa.int32())))
+                if form:
+                    columns.append(pa.array(tokens, pa.binary() if form == "bytes" else pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SEQUENCE, with_ids: bool | str = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    Documents longer than ``size`` tokens (with the end id) are cut into pieces of that many;
-    a null text is empty and has the end id alone. Repeated rows are packed as often as they
-    occur, null doc_ids are kept, other columns are not read; no rows, no pieces.
+    ``with_ids``: the tokens as an array, or, by "bytes", as little-endian unsigned 32-bit
+    numbers. Documents longer than ``size`` tokens (with the end id) are cut into pieces of
+    that many; a null text is empty and has the end id alone. Repeated rows are packed as often
+    as they occur, null doc_ids are kept, other columns are not read; no rows, no pieces.
     """
+    form = "bytes" if with_ids == "bytes" else "array" if with_ids else ""
+    kind = {"": "", "array": ", ids array<int>", "bytes": ", ids binary"}[form]
     found = stored(
         docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
-            _pieces(path, end_id, size, with_ids), PIECES + (", ids array<int>" if with_ids else "")
+            lean(_pieces(path, end_id, size, form), "encoder"), PIECES + kind
         ),
         "pieces",
     )
@@ -161,10 +165,13 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SEQUENCE, with
                 [*kept.columns, pa.array(sequence), pa.array(offset)], names=[*kept.schema.names, "sequence_id", "offset"]
             )
 
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if form else [])]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.select(*columns).schema)
+    # With bytes the digest is that of the tokens as they lie in their sequence.
+    digest = F.crc32("ids") if form == "bytes" else F.col("ids_crc32")
     return (
         found.join(cells.select("length", "part", "base"), ["length", "part"])
         .select(*columns, (F.col("base") + F.col("nth")).alias("rank"))
         .mapInArrow(placed, f"{schema}, sequence_id long, offset long")
+        .withColumn("ids_crc32", digest)
     )

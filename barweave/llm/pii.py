@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import as_strings, text_or_empty, text_slices
+from barweave.llm.common import as_strings, lean, text_or_empty, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind's number, end
@@ -277,7 +277,7 @@ def scan(docs: DataFrame) -> DataFrame:
     be null; other columns are not read; an empty table gives no rows. No shuffle.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
-        _scanned, "doc_id long, found array<struct<start:int,kind:int,end:int,added:boolean>>"
+        lean(_scanned), "doc_id long, found array<struct<start:int,kind:int,end:int,added:boolean>>"
     )
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import ragged, stored, text_or_empty
+from barweave.llm.common import lean, ragged, stored, text_or_empty
 from barweave.llm.mixing import word_count
 
 FAMILY = 20  # conversations of one multiple share their first turns
@@ -300,7 +300,7 @@ def prefix_trie(conversations: DataFrame, block_rows: int = BLOCK_ROWS, block_by
     order = ["path", "conv_id"]
     sequences = stored(rebuilt(conversations), "rebuilt")
     found = stored(
-        sequences.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(block_rows, block_bytes), PARTIAL),
+        sequences.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(_blocks(block_rows, block_bytes)), PARTIAL),
         "prefixes",
     )
     # A number per non-empty partition of the range shuffle.

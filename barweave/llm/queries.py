@@ -43,7 +43,11 @@ def op4_bag_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_minimum_slack(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+    """Digests of the tokens that the written sequences hold."""
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids="bytes")
+    packed.drop("ids_crc32").write.parquet(out := scratch_path(spark, "sequences"))
+    schema = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+    return spark.read.schema(schema).parquet(out).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op6_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,8 +63,8 @@ def op6_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
-    docs, out = table(spark, folder, "documents").select("doc_id", "text"), scratch_path(spark, "shards")
-    sharding.write_shards(docs, out, shards=40)
+    docs, out = table(spark, folder, "documents"), scratch_path(spark, "shards")
+    sharding.write_shards(docs, out, shards=40)  # whole records; only these columns are read back
     return sharding.read_shards(spark, out, "doc_id long, text string, size long, slot long, shard int").select(
         "doc_id",
         "size",

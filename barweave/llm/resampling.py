@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import as_strings, stored, text_or_empty, text_slices
+from barweave.llm.common import as_strings, lean, stored, text_or_empty, text_slices
 
 BUCKETS = 10_000
 LONGEST = 1  # words of the longest feature
@@ -103,7 +103,7 @@ def _hashed(longest: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
 def hashed(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_features, n_words and the buckets of all features, per row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.mapInArrow(_hashed(longest, buckets), FEATURES)
+    return texts.mapInArrow(lean(_hashed(longest, buckets)), FEATURES)
 
 
 def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -122,7 +122,7 @@ def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def bucket_counts(found: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Features per bucket over all rows: ``buckets`` numbers, whatever the table's size."""
-    rows = found.select("buckets").mapInArrow(_counted(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = found.select("buckets").mapInArrow(lean(_counted(buckets)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets, np.int64)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -213,7 +213,7 @@ def resample(
     goal = hashed(target.select(F.lit(0).alias("doc_id"), "text"), longest, buckets)
     gain = gains(bucket_counts(found, buckets), bucket_counts(goal, buckets))
     scored = stored(
-        found.mapInArrow(_scored(gain, seed), "doc_id long, n_features long, n_words long, weight long, score long").withColumn(
+        found.mapInArrow(lean(_scored(gain, seed)), "doc_id long, n_features long, n_words long, weight long, score long").withColumn(
             "row", F.monotonically_increasing_id()
         ),
         "scores",

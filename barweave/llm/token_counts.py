@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import as_strings, free_marks, split_chunks, text_or_empty, text_slices
+from barweave.llm.common import as_strings, free_marks, lean, remembered, split_chunks, text_or_empty, text_slices
 
 #: Fixed value: the pattern of byte-level vocabularies of this family.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,7 +38,7 @@ def byte_symbols() -> list[str]:
 class MergeCounter:
     """Counts of one vocabulary file; remembers pieces and chunks up to ``limit`` of each."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -130,14 +130,12 @@ class MergeCounter:
         return ends[first[1:]] - ends[first[:-1]]
 
 
-_COUNTERS: dict[str, MergeCounter] = {}
-
-
 def _counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _COUNTERS:
-            _COUNTERS[path] = MergeCounter(path)
-        counter = _COUNTERS[path]
+        held = remembered("counter")
+        if path not in held:
+            held[path] = MergeCounter(path)
+        counter = held[path]
         for batch in batches:
             texts = as_strings(batch.column("text"))
             for a, b in text_slices(texts):
@@ -161,6 +159,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     text = text_or_empty()
     return (
         docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-        .mapInArrow(_counting(path), "doc_id long, n_bytes long, n_tokens long")
+        .mapInArrow(lean(_counting(path), "counter"), "doc_id long, n_bytes long, n_tokens long")
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )

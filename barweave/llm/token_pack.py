@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import as_strings, encoder, text_or_empty, text_slices
+from barweave.llm.common import as_strings, encoder, lean, text_or_empty, text_slices
 
 BLOCKS = (
     "shard int, block int, first_token long, n_tokens long, bits int, "
@@ -134,7 +134,7 @@ def write_packed(docs: DataFrame, folder: str, path: str, end_id: int, block_tok
         docs.select("doc_id", text_or_empty().alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(_writer(path, end_id, block_tokens), BLOCKS)
+        .mapInArrow(lean(_writer(path, end_id, block_tokens), "encoder"), BLOCKS)
         .write.parquet(folder, compression="zstd")
     )
 
