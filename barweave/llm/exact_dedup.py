@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import id_key, one_space, text_or_empty
+from barweave.llm.common import fresh, id_key, lean, one_space, stored, text_or_empty, text_slices
 
 OWNERS = "n_bytes long, text_hash long, norm binary, text_sha256 string, keep_id long, group_size long"
 BUDGET = 48 << 20
+PLACES = 10_000  # a group with more than one in so many rows is dealt over several tasks
 
 
 class Node:
@@ -118,12 +119,13 @@ def _merge(budget: int, in_order: bool) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, prefix = Patricia(), None
         for batch in batches:
-            for n, h, text, sha, doc_id, rows in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                now = trie_key(n, h)
-                if trie.held > budget and now != prefix:
-                    yield from _batches(trie.spill(now if in_order else None))
-                prefix = now
-                trie.add(now + text, doc_id, rows, sha)
+            for a, b in text_slices(batch.column("norm")):
+                for n, h, text, sha, doc_id, rows in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns)):
+                    now = trie_key(n, h)
+                    if trie.held > budget and now != prefix:
+                        yield from _batches(trie.spill(now if in_order else None))
+                    prefix = now
+                    trie.add(now + text, doc_id, rows, sha)
         yield from _batches(trie.spill(None))
 
     return run
@@ -145,36 +147,66 @@ def owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
         F.lit(1).cast("long").alias("group_size"),
     )
     return (
-        rows.mapInArrow(_merge(budget, False), OWNERS)
+        rows.mapInArrow(lean(_merge(budget, False)), OWNERS)
         .repartition("n_bytes", "text_hash")
         .sortWithinPartitions("n_bytes", "text_hash")
-        .mapInArrow(_merge(budget, True), OWNERS)
+        .mapInArrow(lean(_merge(budget, True)), OWNERS)
         .select("text_sha256", "keep_id", "group_size")
     )
 
 
+def met(rows: DataFrame, groups: DataFrame, total: int, key: str = "text_sha256", size: str = "group_size") -> DataFrame:
+    """``rows`` joined with ``groups`` on ``key``, large groups dealt over many places.
+
+    A group with more than one in PLACES of all rows gets a place for each such part, its own
+    row goes to all of them. There are fewer than PLACES such groups, so their list is
+    broadcast whatever the table's size; ``row`` deals the rows out.
+    """
+    places = (F.col(size) * PLACES / max(total, 1)).cast("int")
+    large = groups.where(places > 0).select(key, places.alias("places"))
+    salted = rows.join(F.broadcast(large), key, "left").withColumn(
+        "place", F.pmod(F.xxhash64("row"), F.coalesce("places", F.lit(0)) + 1).cast("int")
+    )
+    spread = groups.withColumn("place", F.explode(F.sequence(F.lit(0), places)))
+    return salted.drop("places").join(spread, [key, "place"]).drop("place")
+
+
 def exact_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
 
     A null text is empty. Of equal texts the smallest doc_id stays, null ids last; of rows
     that repeat that id, one. Other columns are not read; no rows, no result rows.
     """
-    rows = docs.select("doc_id", F.sha2(F.encode(normalised(), "UTF-8"), 256).alias("text_sha256"))
-    one = Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id")
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(one) == 1)
-    return rows.join(owners(docs, budget), "text_sha256").select(
-        "doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256"
+    # Rows are numbered once, in a table, so that one of several equal rows can be named.
+    rows = stored(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.sha2(F.encode(normalised(), "UTF-8"), 256).alias("text_sha256"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "text-rows",
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    one = rows.groupBy("text_sha256").agg(first.alias("one")).select("text_sha256", F.col("one.row").alias("keep_row"))
+    groups = stored(owners(docs, budget).join(one, "text_sha256"), "text-owners")
+    return met(rows, groups, rows.count()).select(
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
 
 
 def keep_first(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keyed = docs.withColumns({"_sha": F.sha2(F.encode(normalised(), "UTF-8"), 256), "_key": id_key("doc_id")})
-    stays = owners(docs, budget).select(F.col("text_sha256").alias("_sha"), id_key("keep_id").alias("_key"))
-    one = Window.partitionBy("_sha", "_key").orderBy("_sha")
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called.
+
+    As in :func:`exact_duplicates`: a null text is empty, the smallest doc_id stays, null last,
+    and one of the rows that repeat it.
+    """
+    sha, key, row = fresh(docs, "sha", "key", "row")
+    keyed = docs.withColumns({sha: F.sha2(F.encode(normalised(), "UTF-8"), 256), key: id_key("doc_id")})
+    stays = owners(docs, budget).select(F.col("text_sha256").alias(sha), id_key("keep_id").alias(key))
+    one = Window.partitionBy(sha, key).orderBy(sha)
     return (
-        keyed.join(stays, ["_sha", "_key"], "left_semi")
-        .withColumn("_row", F.row_number().over(one))
-        .where("_row = 1")
-        .select(*docs.columns)
+        keyed.join(stays, [sha, key], "left_semi")
+        .withColumn(row, F.row_number().over(one))
+        .where(F.col(row) == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import as_strings, id_key, one_space, ragged, stored, text_or_empty, text_slices
+from barweave.llm.exact_dedup import met as dealt
+from barweave.llm.common import as_strings, fresh, id_key, lean, one_space, ragged, stored, text_or_empty, text_slices
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -444,7 +445,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     signatures = stored(
         base.select("ref", "norm")
         .where("norm != ''")
-        .mapInArrow(_signatures, "ref long, bands array<bigint>, short binary")
+        .mapInArrow(lean(_signatures), "ref long, bands array<bigint>, short binary")
         .dropDuplicates(["ref"]),
         "signatures",
     )
@@ -459,14 +460,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         base.withColumn("key", id_key("doc_id"))
         .join(wanted, ["ref", "key"], "left_semi")
         .select("ref", "norm")
-        .mapInArrow(_multisets, "ref long, bag binary")
+        .mapInArrow(lean(_multisets), "ref long, bag binary")
         .dropDuplicates(["ref"]),
         "bags",
     )
     links = stored(
         pairs.join(bags.select(F.col("ref").alias("a"), F.col("bag").alias("bag_a")), "a")
         .join(bags.select(F.col("ref").alias("b"), F.col("bag").alias("bag_b")), "b")
-        .mapInArrow(_verified(similarity), "a long, b long, similarity double"),
+        .mapInArrow(lean(_verified(similarity)), "a long, b long, similarity double"),
         "links",
     )
     inner = stored(group_links(groups, bags, similarity), "group-links")
@@ -493,24 +494,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size, links per row of ``docs``."""
     rows = stored(near_duplicates(docs, similarity), "near-duplicates")
-    sizes = rows.groupBy("class_ref").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(sizes, "class_ref").select("doc_id", "class_id", "class_size", "links")
+    sizes = stored(rows.groupBy("class_ref").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "class-sizes")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    return dealt(numbered, sizes, rows.count(), "class_ref", "class_size").select("doc_id", "class_id", "class_size", "links")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, one of each class: that with the smallest doc_id (null last)."""
+    """The rows of ``docs``, one of each class: that with the smallest doc_id (null last).
+
+    All columns stay as they are, whatever they are called; rows are read as in
+    :func:`near_duplicates`.
+    """
     found = near_duplicates(docs, similarity).select("doc_id", "class_ref", "ref")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref"))
+    ref, key, row = fresh(docs, "ref", "key", "row")
     stays = (
         found.groupBy("class_ref")
         .agg(first.alias("o"))
-        .select(F.col("o.ref").alias("_ref"), id_key("o.doc_id").alias("_key"))
+        .select(F.col("o.ref").alias(ref), id_key("o.doc_id").alias(key))
     )
-    keyed = docs.withColumns({"_ref": F.xxhash64(normal_form()), "_key": id_key("doc_id")})
-    one = Window.partitionBy("_ref", "_key").orderBy("_ref")
+    keyed = docs.withColumns({ref: F.xxhash64(normal_form()), key: id_key("doc_id")})
+    one = Window.partitionBy(ref, key).orderBy(ref)
     return (
-        keyed.join(stays, ["_ref", "_key"], "left_semi")
-        .withColumn("_row", F.row_number().over(one))
-        .where("_row = 1")
-        .select(*docs.columns)
+        keyed.join(stays, [ref, key], "left_semi")
+        .withColumn(row, F.row_number().over(one))
+        .where(F.col(row) == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -95,6 +95,36 @@ def test_shards(spark, source, request):
     assert max(n) - min(n) <= 1 and sum(n) == docs.count()
 
 
+INTERNAL = ("_row", "_key", "_sha", "_ref", "_bucket", "_hash", "_at", "_base", "_deal", "_place", "row", "key", "sha", "ref", "bucket", "Hash", "at", "base", "deal", "place", "n")
+
+
+@pytest.mark.parametrize("source", SOURCES)
+def test_user_columns_stay_whole(source, request):
+    """Columns called like the operators' own ones come back as they were."""
+    docs = clashing(request.getfixturevalue(source), *INTERNAL)
+    rows = Counter(map(tuple, docs.collect()))
+    for keep in (exact_dedup.keep_first, near_dedup.keep_one):
+        out = keep(docs)
+        assert out.columns == docs.columns
+        assert not Counter(map(tuple, out.collect())) - rows
+    out = sharding.shuffled(docs, shards=7)
+    assert out.columns == [*docs.columns, "size", "shard", "slot"]
+    assert Counter(map(tuple, out.select(*docs.columns).collect())) == rows
+
+
+def test_large_groups_of_copies_are_dealt_out(spark):
+    """A third of all rows are one text: its rows meet their owner in many places."""
+    rows = [(i % 2900, "copy  me" if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = exact_dedup.exact_duplicates(docs)
+    assert found.count() == 3000 and found.where("text_sha256 = sha2('copy me', 256) AND group_size = 1000").count() == 1000
+    assert found.where("kept").count() == 2001 == found.where("kept").select("text_sha256").distinct().count()
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("text_sha256", F.sha2("text", 256))
+    groups = numbered.groupBy("text_sha256").agg(F.count("*").alias("group_size"))
+    spread = exact_dedup.met(numbered, groups, 3000)
+    assert spread.count() == 3000
+
+
 def test_shuffle_leaves_no_order(documents):
     rows = sorted(sharding.shuffled(documents, shards=1).select("doc_id", "slot").collect(), key=lambda r: r.slot)
     ids = [r.doc_id for r in rows]
