@@ -9,32 +9,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barweave.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from barweave.llm.common import stored, table, tokenizer_path
+from barweave.llm.common import fresh, stored, table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject, with their columns as they were.
+
+    Null and empty texts have the score of the bias alone; repeated rows share their fate.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_score").where("_score < 0.5").select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text: that of the smallest doc_id, a null id last. Null texts are empty,
+    and empty ones equal each other."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates, chosen likewise; texts without words are one class."""
     return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; one without words is never taken, a null
+    source is a source of its own."""
     return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    """The pieces of the sequences with their tokens (``ids``, little-endian unsigned 32-bit); a
+    null or empty text has the end id alone."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids="bytes")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
