@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barweave.constants import TRADING_DAYS
 from barweave.functions.columns import clip, positive, ratio
 from barweave.functions.rolling import cumulative, lag, ordered, rolling, trailing
+from barweave.operators.sliding import sliding
 
 VOL_METHODS = ("close_to_close", "parkinson", "garman_klass", "yang_zhang")
 LN2 = math.log(2.0)
@@ -194,7 +195,10 @@ def signed_dollar_volume(panel: DataFrame, ret: str = "ret") -> DataFrame:
 
 def dist_high(panel: DataFrame, window: int = TRADING_DAYS, out: str = "dist_high") -> DataFrame:
     """Price relative to its rolling high, minus one."""
-    return panel.withColumn(out, ratio(F.col("adj_close"), rolling(F.max, window, F.col("adj_close"))) - 1)
+    price = F.col("adj_close")
+    found = sliding(panel, window, moments={"_h": price}, maxima={"_high": price})
+    full = F.when(F.col("_h_n") == window, F.col("_high"))
+    return found.select(*[c for c in panel.columns if c != out], (ratio(price, full) - 1).alias(out))
 
 
 FEATURES = (

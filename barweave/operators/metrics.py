@@ -14,6 +14,7 @@ from barweave.functions import stats as st
 from barweave.functions.columns import ratio
 from barweave.functions.normal import norm_cdf_column, norm_ppf
 from barweave.functions.rolling import cumulative, ordered, trailing
+from barweave.operators.sliding import sliding
 
 SERIES = "series_id"
 EULER_GAMMA = 0.5772156649
@@ -118,27 +119,15 @@ def rolling_sharpe_beta(returns: DataFrame, benchmark: DataFrame, window: int =
     """
     r, b = F.col("r"), F.col("b")
     df = returns.where("r IS NOT NULL").join(benchmark.select("date", "b"), "date", "left")
-    w = trailing(window, SERIES)
-    both = F.when(b.isNotNull(), r)
-    df = df.withColumns(
-        {
-            "_n": F.count(r).over(w),
-            "_mean": F.avg(r).over(w),
-            "_sd": F.stddev_samp(r).over(w),
-            "_nb": F.count(b).over(w),
-            "_cov": F.covar_samp(both, b).over(w),
-            "_var": F.var_samp(b).over(w),
-            "_mb": F.avg(b).over(w),
-        }
-    )
+    df = sliding(df, window, SERIES, moments={"_r": r, "_b": b}, pairs={"_rb": (r, b)})
+    sd, var = F.sqrt(F.col("_r_m2") / (window - 1)), F.col("_b_m2") / (window - 1)
     noise = lambda mean: F.greatest(F.lit(1e-15), F.abs(F.col(mean)) * 1e-12)
-    steady = F.col("_sd") >= noise("_mean")
-    moving = F.sqrt("_var") >= noise("_mb")
+    steady, moving = sd >= noise("_r_mean"), F.sqrt(var) >= noise("_b_mean")
     return df.select(
         SERIES,
         "date",
-        F.when((F.col("_n") == window) & steady, ratio(F.col("_mean"), F.col("_sd")) * math.sqrt(TRADING_DAYS)).alias("roll_sharpe"),
-        F.when((F.col("_nb") == window) & moving, ratio(F.col("_cov"), F.col("_var"))).alias("roll_beta"),
+        F.when((F.col("_r_n") == window) & steady, ratio(F.col("_r_mean"), sd) * math.sqrt(TRADING_DAYS)).alias("roll_sharpe"),
+        F.when((F.col("_b_n") == window) & moving, ratio(F.col("_rb_co") / (window - 1), var)).alias("roll_beta"),
     )
 
 
