@@ -79,6 +79,53 @@ def select_panel(
     return df
 
 
+#: Folders of a laid-out panel: tickers dealt by hash, so that no folder follows one busy
+#: name, and years.
+LAYOUT = ("bucket", "year")
+
+
+def write_panel(panel: DataFrame, path: str, buckets: int = 64) -> None:
+    """Store a panel for reading by ticker and date.
+
+    One file per bucket and year, sorted by ticker and date so that row groups have narrow
+    ranges of both, with a Bloom filter on ticker for names between.
+    """
+    laid = panel.withColumns({"bucket": _bucket(F.col("ticker"), buckets), "year": F.year("date")})
+    (
+        laid.repartition(*LAYOUT)
+        .sortWithinPartitions(*LAYOUT, "ticker", "date")
+        .write.partitionBy(*LAYOUT)
+        .option("parquet.bloom.filter.enabled#ticker", "true")
+        .parquet(path)
+    )
+
+
+def _bucket(ticker: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(ticker), F.lit(buckets)).cast("int")
+
+
+def scan_laid_out(
+    spark: SparkSession,
+    path: str,
+    tickers: Sequence[str] | None = None,
+    start: str | None = None,
+    end: str | None = None,
+    buckets: int = 64,
+) -> DataFrame:
+    """Read back what :func:`write_panel` stored: only the folders that can hold the tickers and
+    ``start <= date < end`` are listed for reading. ``buckets`` is what the panel was written with."""
+    folders = T.StructType([*PANEL_SCHEMA.fields, T.StructField("bucket", T.IntegerType()), T.StructField("year", T.IntegerType())])
+    df = spark.read.schema(folders).parquet(path)
+    if tickers is not None:
+        # Constant folding turns the hashes of the names into literals.
+        df = df.where(F.col("bucket").isin(*[_bucket(F.lit(t), buckets) for t in dict.fromkeys(tickers)]) if tickers else F.lit(False))
+    if start is not None:
+        df = df.where(F.col("year") >= F.year(F.lit(start).cast("date")))
+    if end is not None:
+        df = df.where(F.col("year") <= F.year(F.lit(end).cast("date")))
+    return select_panel(df, tickers, start, end).select(*PANEL_COLUMNS)
+
+
 def normalise_vendor(df: DataFrame, ticker: str) -> DataFrame:
     """Rename a vendor frame's fields, drop unknown ones, add the ticker."""
     known = [(src, dst) for src, dst in VENDOR_FIELDS.items() if src in df.columns]
