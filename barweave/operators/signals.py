@@ -105,8 +105,8 @@ def quality(
     """
     base = panel.select("date", "ticker", "adj_close").withColumns({"_r": log_ret(), "_n": bar_number()})
     measures = {
-        "_mean": F.avg("_r") * TRADING_DAYS,
-        "_vol": F.stddev_samp("_r") * math.sqrt(TRADING_DAYS),
+        "_mean": F.avg("_r"),
+        "_vol": F.stddev_samp("_r"),
         "_path": F.collect_list(F.struct("date", "_r")),
     }
     if dates is None:
@@ -120,7 +120,8 @@ def quality(
             .agg(F.max("_n").alias("_n"), *[v.alias(k) for k, v in measures.items()])
             .withColumnRenamed("asof", "date")
         )
-    at = at.where((F.col("_n") >= lookback + 1) & (F.col("_vol") > 0))
+    yearly = {"_mean": F.col("_mean") * TRADING_DAYS, "_vol": F.col("_vol") * math.sqrt(TRADING_DAYS)}
+    at = at.withColumns(yearly).where((F.col("_n") >= lookback + 1) & (F.col("_vol") > 0))
     raw = at.select(
         "date",
         "ticker",
@@ -139,7 +140,9 @@ def quality(
     w1, w2, w3 = weights
     dd_sign = 1.0 if reward_low_drawdown else -1.0
     blend = w1 * z("_sharpe") - w2 * z("_vol") + dd_sign * w3 * z("_dd")
-    return to_gross(withstats.select("date", "ticker", F.coalesce(blend, F.lit(0.0)).alias("score")))
+    # Of two names the three parts may cancel: what is left is rounding, not a score.
+    score = F.when(F.abs(blend) >= 1e-12, blend).otherwise(F.lit(0.0))
+    return to_gross(withstats.select("date", "ticker", score.alias("score")))
 
 
 def _path_drawdown(returns: Column) -> Column:
