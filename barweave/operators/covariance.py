@@ -173,3 +173,30 @@ def risk_contributions(weights: DataFrame, cov: DataFrame) -> DataFrame:
     return with_group(each, ["asof"], {"_all": F.sum("risk")}).withColumn(
         "share", ratio(F.col("risk"), F.col("_all"))
     ).drop("_all")
+
+
+def contributions_from_returns(weights: DataFrame, returns: DataFrame, bars: DataFrame) -> DataFrame:
+    """Risk contributions w_i cov(r_i, r_p) without any pair of names.
+
+    ``weights`` is (asof, ticker, weight), ``returns`` (asof, date, ticker, r) and ``bars`` (asof,
+    n_bars); a bar that a name lacks is a return of zero, so the sums over its own rows are those
+    over all bars. Cost and result grow with the names, not with their square.
+    """
+    held = returns.join(weights, ["asof", "ticker"])
+    portfolio = held.groupBy("asof", "date").agg(F.sum(F.col("weight") * F.col("r")).alias("_p"))
+    means = portfolio.join(bars, "asof").groupBy("asof", "n_bars").agg((F.sum("_p") / F.col("n_bars")).alias("_pm"))
+    met = held.join(portfolio, ["asof", "date"])
+    sums = met.groupBy("asof", "ticker", "weight").agg(F.sum(F.col("r") * F.col("_p")).alias("_rp"), F.sum("r").alias("_s"))
+    risk = F.col("weight") * (F.col("_rp") - F.col("_s") * F.col("_pm")) / (F.col("n_bars") - 1)
+    each = sums.join(means, "asof").select("asof", "ticker", "weight", risk.alias("risk"))
+    return with_group(each, ["asof"], {"_all": F.sum("risk")}).withColumn("share", ratio(F.col("risk"), F.col("_all"))).drop("_all")
+
+
+def inverse_variance_from_returns(returns: DataFrame, bars: DataFrame) -> DataFrame:
+    """(asof, ticker, weight) by 1 / variance over all bars, a lacking one being zero; names
+    without variance take no part."""
+    own = returns.groupBy("asof", "ticker").agg(F.sum(F.col("r") * F.col("r")).alias("_q"), F.sum("r").alias("_s"))
+    n = F.col("n_bars")
+    var = (F.col("_q") - F.col("_s") * F.col("_s") / n) / (n - 1)
+    each = own.join(bars, "asof").withColumn("_v", var).where("_v > 0").select("asof", "ticker", (1 / F.col("_v")).alias("_w"))
+    return with_group(each, ["asof"], {"_all": F.sum("_w")}).select("asof", "ticker", (F.col("_w") / F.col("_all")).alias("weight"))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,12 @@ from barweave.operators.cross_section import with_group
 
 @dataclass(frozen=True)
 class Constraints:
-    """Per-name bounds, gross exposure and an optional cap on turnover per decision."""
+    """What weights must keep to at each decision.
+
+    ``min_weight`` to ``max_weight`` bound every name, ``gross_leverage`` is the sum of absolute
+    weights aimed at, and ``turnover_cap`` the most that weights may change in all from prior
+    ones, where these are given.
+    """
 
     max_weight: float = 0.10
     min_weight: float = -0.10
@@ -37,9 +40,26 @@ def equal_weight(scores: DataFrame, mode: str = "signed", gross_leverage: float
     return n.select("date", "ticker", weight.alias("weight"))
 
 
-def apply_constraints(weights: DataFrame, c: Constraints = Constraints()) -> DataFrame:
+def pull_toward(weights: DataFrame, prior: DataFrame, cap: float) -> DataFrame:
+    """Move ``weights`` back toward ``prior`` (date, ticker, weight) where they change by more than
+    ``cap`` in all: one blend factor per decision.
+
+    A name that ``prior`` lacks was at zero; names that only ``prior`` has are not counted and
+    not returned, so every new name meets its old weight by key.
+    """
+    old = prior.groupBy("date", "ticker").agg(F.sum("weight").alias("_prior"))
+    both = weights.join(old, ["date", "ticker"], "left").withColumn("_prior", F.coalesce("_prior", F.lit(0.0)))
+    change = F.coalesce("weight", F.lit(0.0)) - F.col("_prior")
+    moved = with_group(both.withColumn("_change", change), ["date"], {"_turnover": F.sum(F.abs("_change"))})
+    factor = F.when(F.col("_turnover") > cap, F.lit(cap) / F.col("_turnover")).otherwise(F.lit(1.0))
+    return moved.withColumn("weight", F.col("_prior") + factor * F.col("_change")).select(*weights.columns)
+
+
+def apply_constraints(weights: DataFrame, c: Constraints = Constraints(), prior: DataFrame | None = None) -> DataFrame:
     """Clip, scale the gross to its target, clip again; caps win over the gross target.
 
+    With ``prior`` weights and a turnover cap the result is then pulled toward them; a cap
+    without prior weights has nothing to act on.
     """
     w0 = clip(F.coalesce("weight", F.lit(0.0)), c.min_weight, c.max_weight)
     clipped = weights.withColumn("weight", w0)
@@ -48,7 +68,8 @@ def apply_constraints(weights: DataFrame, c: Constraints = Constraints()) -> Dat
         (F.col("_gross") > 0) & (F.col("_gross") < c.gross_leverage)
     )
     scaled = clip(F.col("weight") * (c.gross_leverage / F.col("_gross")), c.min_weight, c.max_weight)
-    return gross.withColumn("weight", F.when(off, scaled).otherwise(F.col("weight"))).drop("_gross")
+    out = gross.withColumn("weight", F.when(off, scaled).otherwise(F.col("weight"))).drop("_gross")
+    return out if prior is None or c.turnover_cap is None else pull_toward(out, prior, c.turnover_cap)
 
 
 def turnover(weights: DataFrame, dates: DataFrame | None = None) -> DataFrame:
