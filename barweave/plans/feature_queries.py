@@ -9,6 +9,7 @@ from barweave.operators import calendar as cal
 from barweave.operators import cross_section as cs
 from barweave.operators import features as ft
 from barweave.plans.common import BARS, SECTORS, SLEEVES, W, asof_sql, calendar_sql, gated, r, roll, rounded
+from barweave.session import materialise
 from barweave.sources.membership import members_on
 from barweave.sources.panel import (
     read_table,
@@ -19,7 +20,6 @@ from barweave.sources.panel import (
 )
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-SLEEVE_TICKERS = tuple(f"{region}:{s}" for region in REGIONS for s in ("F", "O"))
 ASOF_DATES = tuple(f"{y}-06-30" for y in range(1995, 2002))
 DELISTED_BEFORE = "2001-10-25"
 
@@ -29,12 +29,14 @@ def _returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def panel_ohlcv(spark: SparkSession, d: str) -> DataFrame:
-    return select_panel(supplier_panel(spark, d), start="1995-01-01", end="2002-01-01")
+    return select_panel(supplier_panel(spark, d))
 
 
 def wide_prices(spark: SparkSession, d: str) -> DataFrame:
-    wide = sleeve_panel(spark, d).groupBy("date").pivot("ticker", list(SLEEVE_TICKERS)).agg(F.first("adj_close"))
-    return wide.select("date", *[F.col(f"`{t}`").alias(_plain(t)) for t in SLEEVE_TICKERS])
+    sleeves = materialise(sleeve_panel(spark, d).select("date", "ticker", "adj_close"))
+    names = sorted(r["ticker"] for r in sleeves.select("ticker").distinct().collect())  # the result's columns
+    wide = sleeves.groupBy("date").pivot("ticker", names).agg(F.first("adj_close"))
+    return wide.select("date", *[F.col(f"`{t}`").alias(_plain(t)) for t in names])
 
 
 def _plain(ticker: str) -> str:
@@ -143,7 +145,7 @@ def frac_diff_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_frame(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ft.feature_frame(supplier_panel(spark, d), thresh=1e-2), amihud_21=10)
+    return rounded(ft.feature_frame(supplier_panel(spark, d)), amihud_21=10)
 
 
 QUERIES = {
@@ -199,12 +201,11 @@ _FD = " ".join(
     for k, w in enumerate(ft.ffd_weights(0.4, 1e-2))
 )
 _LONG = ft.ffd_weights(0.4, 1e-4)
-_WIDE = ", ".join(f"max(adj_close) FILTER (ticker = '{t}') AS {_plain(t)}" for t in SLEEVE_TICKERS)
 
 ORACLES = {
-    "panel_ohlcv": f"""WITH {BARS} SELECT date, ticker, open, high, low, close, adj_close, volume FROM bars
-        WHERE date >= DATE '1995-01-01' AND date < DATE '2002-01-01'""",
-    "wide_prices": f"WITH {SLEEVES} SELECT date, {_WIDE} FROM sleeves GROUP BY date",
+    "panel_ohlcv": f"""WITH {BARS} SELECT date, ticker, open, high, low, close, adj_close, volume FROM bars""",
+    "wide_prices": f"""PIVOT (WITH {SLEEVES} SELECT date, 'px_' || lower(replace(replace(ticker, ' ', '_'), ':', '_')) AS name, adj_close
+        FROM sleeves) ON name USING max(adj_close) GROUP BY date""",
     "members_asof": f"""WITH {BARS}, m AS (SELECT ticker, min(date) AS s, max(date) AS e FROM bars GROUP BY ticker),
         a AS (SELECT unnest([{', '.join(f"DATE '{x}'" for x in ASOF_DATES)}]) AS asof_date)
         SELECT asof_date, ticker FROM a, m
@@ -263,10 +264,11 @@ ORACLES = {
         {r('adj_close / (' + gated('max(adj_close)', 'adj_close', 252) + ') - 1', 'dist_high')} FROM bars""",
     "feature_frame": f"""WITH {BARS}, {_RET}, x AS (SELECT *, ln(adj_close) AS lp,
           abs(coalesce(ret, 0)) / nullif(adj_close * volume, 0) AS il,
+          list(ln(adj_close)) OVER {roll(len(_LONG))} AS l,
           count(*) OVER (PARTITION BY ticker) AS n FROM rets)
         SELECT date, ticker, {', '.join(r(f'adj_close / lag(adj_close, {n}) OVER ({W}) - 1', f'mom_{n}') for n in (5, 21, 63, 252))},
           {', '.join(r(gated('stddev_samp(lr)', 'lr', n), f'vol_{n}') for n in (21, 63))},
-          {r(_FD, 'fd_lp')}, {r(gated('avg(il)', 'il', 21), 'amihud_21', 10)},
+          {r(f"CASE WHEN len(l) = {len(_LONG)} THEN list_inner_product(l, {_LONG[::-1]}::DOUBLE[]) END", 'fd_lp')}, {r(gated('avg(il)', 'il', 21), 'amihud_21', 10)},
           {r('adj_close / (' + gated('max(adj_close)', 'adj_close', 252) + ') - 1', 'dist_52w_high')}
         FROM x WHERE n >= 260""",
 }

@@ -14,6 +14,7 @@ BLOCKS = (
     "portfolio_queries",
     "risk_queries",
     "store_queries",
+    "scale_queries",
 )
 
 

@@ -346,7 +346,8 @@ ORACLES = {
           - 0.25 * (vol - avg(vol) OVER d) / nullif(stddev_pop(vol) OVER d, 0)
           - 0.25 * (dd - avg(dd) OVER d) / nullif(stddev_pop(dd) OVER d, 0), 0) AS s
           FROM st WINDOW d AS (PARTITION BY date)),
-        g AS (SELECT *, sum(abs(s)) OVER (PARTITION BY date) AS gross FROM z)
+        g AS (SELECT *, sum(abs(s)) OVER (PARTITION BY date) AS gross FROM
+          (SELECT date, ticker, CASE WHEN abs(s) >= 1e-12 THEN s ELSE 0 END AS s FROM z))
         SELECT date, ticker, {r('CASE WHEN gross > 0 THEN s / gross ELSE s END', 'score')} FROM g""",
     "ou": f"""WITH {_OU}, z AS (SELECT date, ticker, (last - mu) / (sigma / sqrt(2 * theta)) AS z FROM fit
           WHERE theta > 0 AND ln(2::DOUBLE) / theta <= 30 AND sigma > 0),
@@ -360,7 +361,7 @@ ORACLES = {
     "ticker_pairs": f"""WITH {SLEEVES}, {calendar_sql('sleeves')}, {_YEARS},
         {_PAIR_WINDOW.format(dates='years', n1=249, n2=252)}
         SELECT asof_date AS date, a, b, count(*) AS n_obs FROM ab
-        WHERE (a, b) IN (SELECT (min(ticker), max(ticker)) FROM sleeves GROUP BY sector) GROUP BY ALL HAVING count(*) >= 125""",
+        WHERE (a, b) IN (SELECT (x.ticker, y.ticker) FROM sleeves x JOIN sleeves y ON x.sector = y.sector AND x.ticker < y.ticker) GROUP BY ALL HAVING count(*) >= 125""",
     "pairs_zscore": f"""WITH {SLEEVES}, {calendar_sql('sleeves')},
         {_PAIR_WINDOW.format(dates='reb', n1=125, n2=128)},
         co AS (SELECT asof_date, a, b, regr_slope(y, x) AS slope, regr_intercept(y, x) AS c, count(*) AS n_obs

@@ -161,13 +161,15 @@ def fama_french(spark: SparkSession, d: str) -> DataFrame:
 
 
 def macro_series(spark: SparkSession, d: str) -> DataFrame:
-    ev = read_table(spark, d, "events")
+    """One column per event type, over all days of the table."""
+    ev = read_table(spark, d, "events").where("event_type IS NOT NULL AND ts IS NOT NULL")
     day = F.to_date("ts").alias("date")
-    tables = {
-        t: ev.where(F.col("event_type") == t).groupBy(day).agg(F.avg("value").alias("value"))
-        for t in ("view", "click", "purchase")
-    }
-    return rounded(reference_data.macro_series(tables, list(tables), "2024-01-03", "2024-01-28"))
+    kinds = sorted(r["event_type"] for r in ev.select("event_type").distinct().collect())  # the result's columns
+    ends = ev.agg(F.min("ts"), F.max("ts")).first()
+    tables = {t: ev.where(F.col("event_type") == t).groupBy(day).agg(F.avg("value").alias("value")) for t in kinds}
+    if not tables:
+        return ev.select(day)
+    return rounded(reference_data.macro_series(tables, kinds, str(ends[0].date()), str(ends[1].date())))
 
 
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
@@ -430,9 +432,8 @@ ORACLES = {
           CAST(lag_ AS INTEGER) AS lag FROM vv
         UNION ALL SELECT series_id, 'mkt', {r('be', 'beta')}, {r('be / sqrt(vb)', 't_stat')}, {r('r2', 'r_squared')}, n,
           CAST(lag_ AS INTEGER) FROM vv""",
-    "macro_series": f"""WITH v AS (SELECT CAST(ts AS DATE) AS date, event_type AS t, avg(value) AS value FROM events GROUP BY ALL)
-        SELECT date, {', '.join(r(f"max(value) FILTER (t = '{t}')", t) for t in ('view', 'click', 'purchase'))} FROM v
-        WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-28' AND t IN ('view', 'click', 'purchase') GROUP BY date""",
+    "macro_series": """PIVOT (SELECT CAST(ts AS DATE) AS date, event_type, round(CAST(avg(value) AS DOUBLE), 6) + 0.0 AS value FROM events
+        WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL) ON event_type USING max(value) GROUP BY date""",
     "walk_forward": f"""WITH {BARS}, c AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p, count(*) OVER () AS n
           FROM (SELECT DISTINCT date FROM bars)),
         f AS (SELECT 'rolling' AS mode, i.range AS fold, 504 + i.range * 252 AS s, i.range * 252 AS a FROM range(50) i
