@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +25,43 @@ def norm_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
+# Wichura's rational approximations of the normal quantile (AS 241, PPND16), numerator and
+# denominator by falling powers, for the middle (in 0.180625 - q^2), the tails and the far tails.
+PPND_MIDDLE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457,
+     13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+    (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867,
+     5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
+)
+PPND_TAIL = (
+    (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258,
+     3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459,
+     0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0),
+)
+PPND_FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.2426609473880784386e-3, 0.026532189526576123093,
+     0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
+    (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4,
+     0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0),
+)
+
+
+def _rational(table: tuple[tuple[float, ...], tuple[float, ...]], x: Column) -> Column:
+    top, below = (reduce(lambda acc, c: acc * x + F.lit(c), cs[1:], F.lit(cs[0])) for cs in table)
+    return top / below
+
+
+def norm_ppf_column(p: Column) -> Column:
+    """Quantile of each row's probability, an expression; the ends are infinite, outside is NULL."""
+    q = p - 0.5
+    middle = _rational(PPND_MIDDLE, 0.180625 - q * q) * q
+    root = F.sqrt(-F.ln(F.when(F.least(p, 1 - p) > 0, F.least(p, 1 - p))))
+    tail = F.signum(q) * F.when(root <= 5, _rational(PPND_TAIL, root - 1.6)).otherwise(_rational(PPND_FAR, root - 5.0))
+    ends = F.when(p == 0, F.lit(-math.inf)).when(p == 1, F.lit(math.inf))
+    return F.when(F.abs(q) <= 0.425, middle).when((p > 0) & (p < 1), tail).otherwise(ends)
+
+
 @F.pandas_udf(T.DoubleType())
 def norm_cdf_column(z: pd.Series) -> pd.Series:
     """Spark has no erf; one value per series or run passes through here."""

@@ -70,14 +70,24 @@ def kelly(r: Column, fraction: float = 0.25, periods: int = TRADING_DAYS) -> Col
     return F.when((F.count(r) >= 30) & (var > 0), ratio(fraction * mu, var))
 
 
+def _psr_spread(r: Column, raw_kurtosis: bool) -> Column:
+    sr = sharpe(r, periods=1)
+    k = kurt_unbiased(r) + (3.0 if raw_kurtosis else 0.0)
+    return 1 - skew_unbiased(r) * sr + (k - 1) / 4 * sr * sr
+
+
 def psr_z(r: Column, benchmark_sr: float = 0.0, periods: int = TRADING_DAYS, raw_kurtosis: bool = False) -> Column:
     """z of the probabilistic Sharpe ratio.
 
     The kurtosis term is the excess one, as in the reference; ``raw_kurtosis`` gives the
     published form.
     """
-    sr = sharpe(r, periods=1)
-    k = kurt_unbiased(r) + (3.0 if raw_kurtosis else 0.0)
-    spread = 1 - skew_unbiased(r) * sr + (k - 1) / 4 * sr * sr
-    lead = (sr - benchmark_sr / math.sqrt(periods)) * F.sqrt(F.count(r).cast("double") - 1)
-    return F.when((F.count(r) >= 4) & (spread > 0), lead / F.sqrt(F.when(spread > 0, spread)))
+    lead = sharpe(r, periods=1) - benchmark_sr / math.sqrt(periods)
+    return lead * math.sqrt(periods) * psr_slope(r, periods, raw_kurtosis)
+
+
+def psr_slope(r: Column, periods: int = TRADING_DAYS, raw_kurtosis: bool = False) -> Column:
+    """What :func:`psr_z` loses for each unit of the annual benchmark Sharpe ratio."""
+    spread = _psr_spread(r, raw_kurtosis)
+    scale = F.sqrt(F.count(r).cast("double") - 1) / math.sqrt(periods)
+    return F.when((F.count(r) >= 4) & (spread > 0), scale / F.sqrt(F.when(spread > 0, spread)))

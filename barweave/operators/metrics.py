@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from barweave.constants import TRADING_DAYS
 from barweave.functions import stats as st
-from barweave.functions.columns import ratio
-from barweave.functions.normal import norm_cdf_column, norm_ppf
+from barweave.functions.columns import finite, ratio
+from barweave.functions.normal import norm_cdf_column, norm_ppf, norm_ppf_column
 from barweave.functions.rolling import cumulative, ordered, trailing
+from barweave.operators.prefix import rebased, worst_drawdowns
 from barweave.operators.sliding import sliding
 
 SERIES = "series_id"
@@ -54,16 +55,11 @@ def performance(returns: DataFrame, periods: int = TRADING_DAYS) -> DataFrame:
 
 
 def drawdowns(returns: DataFrame) -> DataFrame:
-    """Worst drawdown, bars under water and bars from the trough to recovery (0 if none)."""
-    by = Window.partitionBy(SERIES)
-    dd = with_wealth(returns).withColumn("_pos", F.row_number().over(ordered(SERIES)))
-    dd = dd.withColumn("_trough", F.min_by("_pos", F.struct("drawdown", "_pos")).over(by))
-    back = F.min(F.when((F.col("_pos") >= F.col("_trough")) & (F.col("drawdown") >= -1e-9), F.col("_pos")))
-    return dd.groupBy(SERIES).agg(
-        F.min("drawdown").alias("max_drawdown"),
-        F.max("underwater").cast("long").alias("time_underwater"),
-        F.coalesce(back - F.first("_trough"), F.lit(0)).cast("long").alias("recovery_time"),
-    )
+    """Worst drawdown, bars under water and bars from the trough to recovery (0 if none).
+
+    Through the prefix scan, so that a single long series spreads over many tasks.
+    """
+    return worst_drawdowns(returns, SERIES)
 
 
 def moments(returns: DataFrame) -> DataFrame:
@@ -103,6 +99,39 @@ def deflated_sharpe(
     return out.withColumnRenamed("psr", "dsr")
 
 
+def expected_max_from_log(log: DataFrame) -> DataFrame:
+    """One row (n_trials, expected_max): :func:`expected_max_sharpe` over a run log's ``sharpe``.
+
+    Count and deviation are moments that merge before the shuffle, so the log may be of any
+    length. Runs without a Sharpe ratio count as trials but not for the deviation; an empty log
+    counts as one trial. One trial has nothing to deflate: its maximum is minus infinity.
+    """
+    n = F.greatest(F.col("n_trials"), F.lit(1)).cast("double")
+    sd = F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
+    z_max = (1 - EULER_GAMMA) * norm_ppf_column(1 - 1 / n) + EULER_GAMMA * norm_ppf_column(1 - 1 / (n * math.e))
+    sharpe = F.when(finite(F.col("sharpe")), F.col("sharpe"))
+    stats = log.agg(F.count(F.lit(1)).alias("n_trials"), F.stddev_samp(sharpe).alias("_sd"))
+    return stats.select(
+        n.cast("long").alias("n_trials"), F.when(n > 1, sd * z_max).otherwise(F.lit(-math.inf)).alias("expected_max")
+    )
+
+
+def deflated_sharpe_from_log(returns: DataFrame, log: DataFrame, raw_kurtosis: bool = False) -> DataFrame:
+    """(series_id, n_trials, expected_max, z, dsr) with the trials taken from a run log.
+
+    With one recorded trial z is infinite and the probability 1. A series with too few bars
+    has neither.
+    """
+    r = F.col("r")
+    stats = returns.groupBy(SERIES).agg(
+        st.psr_z(r, 0.0, raw_kurtosis=raw_kurtosis).alias("_z0"),
+        st.psr_slope(r, raw_kurtosis=raw_kurtosis).alias("_slope"),
+    )
+    out = stats.join(F.broadcast(expected_max_from_log(log)), how="inner")  # one row
+    z = F.when(F.col("_z0").isNotNull(), F.col("_z0") - F.col("expected_max") * F.col("_slope"))
+    return out.select(SERIES, "n_trials", "expected_max", z.alias("z")).withColumn("dsr", norm_cdf_column("z"))
+
+
 def per_year(returns: DataFrame) -> DataFrame:
     r = F.col("r")
     return returns.where(r.isNotNull()).groupBy(SERIES, F.year("date").alias("year")).agg(
@@ -182,9 +211,7 @@ def normalised_equity(equity: DataFrame) -> DataFrame:
 
 def benchmark_curve(panel: DataFrame, ticker: str, base: float = 1_000_000.0) -> DataFrame:
     """One ticker's price rebased to ``base`` at its first bar."""
-    w = cumulative()
-    one = panel.where(F.col("ticker") == ticker)
-    return one.select("date", "ticker", (F.col("adj_close") / F.first("adj_close").over(w) * base).alias("equity"))
+    return rebased(panel, ticker, base)
 
 
 def kpis(returns: DataFrame, n_trials: int = 1, turnover: DataFrame | None = None) -> DataFrame:

@@ -235,24 +235,28 @@ QUERIES = {
 # --- SQL twins -------------------------------------------------------------
 
 _LR = f"lrs AS (SELECT *, ln(adj_close / lag(adj_close) OVER ({W})) AS lr, row_number() OVER ({W}) AS n FROM bars)"
-_TB = f"""{BARS}, {_LR},
+def barrier_sql(b: labels.Barriers) -> str:
+    return f"""{BARS}, {_LR},
   v AS (SELECT date, ticker, n, ln(adj_close) AS lp, {gated('stddev_samp(lr)', 'lr', 21)} AS vol FROM lrs),
   ahead AS (SELECT a.ticker, a.date AS t0, a.vol, b.date AS d, b.n - a.n AS k, b.lp - a.lp AS m
-    FROM v a JOIN v b ON a.ticker = b.ticker AND b.n BETWEEN a.n + 1 AND a.n + {BARRIERS.vertical}
+    FROM v a JOIN v b ON a.ticker = b.ticker AND b.n BETWEEN a.n + 1 AND a.n + {b.vertical}
     WHERE a.vol IS NOT NULL),
   hits AS (SELECT ticker, t0,
-      min(k) FILTER (m >= {BARRIERS.pt} * vol) AS up, min(k) FILTER (m <= -{BARRIERS.sl} * vol) AS dn, max(k) AS last
+      min(k) FILTER (m >= {b.pt} * vol) AS up, min(k) FILTER (m <= -{b.sl} * vol) AS dn, max(k) AS last
     FROM ahead GROUP BY ALL),
   touch AS (SELECT *, CASE WHEN coalesce(up, 999) < coalesce(dn, 999) THEN up
       WHEN coalesce(dn, 999) < coalesce(up, 999) THEN dn ELSE last END AS k,
       CASE WHEN coalesce(up, 999) < coalesce(dn, 999) THEN 1
       WHEN coalesce(dn, 999) < coalesce(up, 999) THEN -1 ELSE 0 END AS side FROM hits),
   tb AS (SELECT v.ticker, v.date AS t0, coalesce(h.d, v.date) AS t1, coalesce(h.m, 0) AS ret,
-      CASE WHEN abs(coalesce(h.m, 0)) < {BARRIERS.min_ret} THEN 0 ELSE coalesce(t.side, 0) END AS bin
+      CASE WHEN abs(coalesce(h.m, 0)) < {b.min_ret} THEN 0 ELSE coalesce(t.side, 0) END AS bin
     FROM v LEFT JOIN touch t ON v.ticker = t.ticker AND v.date = t.t0
       LEFT JOIN ahead h ON h.ticker = t.ticker AND h.t0 = t.t0 AND h.k = t.k
     WHERE v.vol IS NOT NULL)"""
 
+
+_TB = barrier_sql(BARRIERS)
+
 _MOM = f"lag(adj_close, {SKIP}) OVER ({W}) / lag(adj_close, {SKIP + LOOKBACK}) OVER ({W}) - 1"
 
 

@@ -281,9 +281,9 @@ _S = "PARTITION BY series_id ORDER BY date"
 _SR1 = "(avg(r) / stddev_samp(r))"
 
 
-def _psr_sql(benchmark: float) -> str:
+def _psr_sql(benchmark: float | str) -> str:
     return (
-        f"({_SR1} - {benchmark!r} / sqrt(252)) * sqrt(count(r) - 1) / "
+        f"({_SR1} - {benchmark} / sqrt(252)) * sqrt(count(r) - 1) / "
         f"sqrt(1 - skewness(r) * {_SR1} + (kurtosis(r) - 1) / 4 * {_SR1} * {_SR1})"
     )
 

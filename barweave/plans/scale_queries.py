@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.operators import calendar as cal
-from barweave.operators import covariance, quantiles, signals, weights
+from barweave.functions import normal
+from barweave.operators import covariance, expanding, labels, metrics, prefix, quantiles, signals, weights
 from barweave.operators import features as ft
 from barweave.plans.common import BARS, W, r, rounded
-from barweave.plans.research_queries import _LR, CAPS, CONSTRAINED, _prices, constrained_weights
-from barweave.plans.risk_queries import _NAMES, _names
+from barweave.plans.research_queries import _LR, CAPS, CONSTRAINED, _prices, barrier_sql, constrained_weights
+from barweave.plans.risk_queries import _DD, _NAMES, _names, _phi, _psr_sql
 from barweave.session import materialise, shared_folder
+from barweave.sources import store
 from barweave.sources.panel import read_table, scan_laid_out, supplier_panel, write_panel
 from barweave.streaming import bars as stream
 
 SLICE = ("1997-03-01", "1999-02-01")
 TURNOVER_CAP = 0.25
+YEAR_AHEAD = labels.Barriers(pt=2.5, sl=2.5, vertical=252)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -94,6 +97,43 @@ def risk_names(spark: SparkSession, d: str) -> DataFrame:
     return rounded(covariance.contributions_from_returns(held, rows, bars), 8)
 
 
+def drawdown_path(spark: SparkSession, d: str) -> DataFrame:
+    """Wealth, peak and drawdown of every name at every bar, by the scan over blocks of days."""
+    return rounded(prefix.wealth_path(_names(spark, d)).drop("r"))
+
+
+def triple_barrier_year(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with a horizon of a year, by descent over blocks."""
+    return rounded(labels.triple_barrier(ft.realized_vol(_prices(spark, d), 21), barriers=YEAR_AHEAD))
+
+
+def expanding_median(spark: SparkSession, d: str) -> DataFrame:
+    """Each name's return on bars of rising volume, gaps filled by its median so far."""
+    bars = materialise(supplier_panel(spark, d).select("date", "ticker", "adj_close", "volume"))
+    rising = F.col("volume") > F.lag("volume").over(ft.ordered())
+    rows = materialise(bars.select("date", "ticker", F.when(rising, ft.log_ret()).alias("x")))
+    return rounded(expanding.fill_expanding_median(rows, {"x": "filled"}).select("date", "ticker", "x", "filled"))
+
+
+def dsr_from_log(spark: SparkSession, d: str) -> DataFrame:
+    """Deflated Sharpe of every name, with all names logged as trials and read back."""
+    names, log = materialise(_names(spark, d)), _scratch(spark, "trials")
+    store.log_trials(log, "names", {"table": "lineitem"}, names)
+    return rounded(metrics.deflated_sharpe_from_log(names, store.read_log(spark, log)))
+
+
+def _ppf_sql(p: str) -> str:
+    """The normal quantile in SQL, from the published coefficients."""
+
+    def rational(table: tuple, x: str) -> str:
+        top, below = (" + ".join(f"{c!r}::DOUBLE * power({x}, {7 - i})" for i, c in enumerate(cs)) for cs in table)
+        return f"({top}) / ({below})"
+
+    q, root = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    tail = f"CASE WHEN {root} <= 5 THEN {rational(normal.PPND_TAIL, f'({root} - 1.6)')} ELSE {rational(normal.PPND_FAR, f'({root} - 5)')} END"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {rational(normal.PPND_MIDDLE, f'(0.180625 - {q} * {q})')} ELSE sign({q}) * {tail} END"
+
+
 QUERIES = {
     "stream_bars": stream_bars,
     "var_pooled": var_pooled,
@@ -102,6 +142,10 @@ QUERIES = {
     "quality_bars": quality_bars,
     "turnover_pull": turnover_pull,
     "risk_names": risk_names,
+    "drawdown_path": drawdown_path,
+    "triple_barrier_year": triple_barrier_year,
+    "expanding_median": expanding_median,
+    "dsr_from_log": dsr_from_log,
 }
 
 ORACLES = {
@@ -144,4 +188,17 @@ ORACLES = {
         p AS (SELECT y, date, sum(x * weight) AS p FROM dense JOIN w USING (y, ticker) GROUP BY y, date),
         k AS (SELECT y, ticker, weight, weight * covar_samp(x, p) AS risk FROM dense JOIN w USING (y, ticker) JOIN p USING (y, date) GROUP BY y, ticker, weight)
         SELECT y AS "asof", ticker, {r('weight', 'weight', 8)}, {r('risk', 'risk', 8)}, {r('risk / sum(risk) OVER (PARTITION BY y)', 'share', 8)} FROM k""",
+    "drawdown_path": f"""WITH {_NAMES}, {_DD} SELECT series_id, date, {r('wealth', 'wealth')}, {r('peak', 'peak')}, {r('dd', 'drawdown')},
+        uw AS underwater, k AS position FROM w3""",
+    "triple_barrier_year": f"WITH {barrier_sql(YEAR_AHEAD)} SELECT ticker, t0, t1, {r('ret', 'ret')}, bin FROM tb",
+    "expanding_median": f"""WITH {BARS}, x AS (SELECT date, ticker,
+          CASE WHEN volume > lag(volume) OVER ({W}) THEN ln(adj_close / lag(adj_close) OVER ({W})) END AS x FROM bars)
+        SELECT date, ticker, {r('x', 'x')},
+          {r(f'coalesce(x, median(x) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))', 'filled')} FROM x""",
+    "dsr_from_log": f"""WITH {_NAMES}, t AS (SELECT series_id, avg(r) / stddev_samp(r) * sqrt(252) AS sr FROM nr GROUP BY 1),
+        n AS (SELECT count(*) AS n, stddev_samp(sr) AS sd FROM t),
+        m AS (SELECT n, sd * ((1 - {metrics.EULER_GAMMA}) * {_ppf_sql('(1 - 1.0::DOUBLE / n)')}
+          + {metrics.EULER_GAMMA} * {_ppf_sql('(1 - 1.0::DOUBLE / (n * exp(1)))')}) AS top FROM n),
+        z AS (SELECT series_id, any_value(n) AS n_trials, any_value(top) AS top, {_psr_sql('any_value(top)')} AS z FROM nr, m GROUP BY series_id)
+        SELECT series_id, n_trials, {r('top', 'expected_max')}, {r('z', 'z')}, {r(_phi('z'), 'dsr')} FROM z""",
 }

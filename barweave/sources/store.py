@@ -13,10 +13,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barweave.functions import stats as st
 from barweave.session import shared_folder
 
 LOG_SCHEMA = (
-    "run_id string, config_name string, config_hash string, ts timestamp, n_bars long, final_equity double"
+    "run_id string, config_name string, config_hash string, ts timestamp, n_bars long, final_equity double, sharpe double"
 )
 
 
@@ -103,6 +104,19 @@ def log_run(spark: SparkSession, log_path: str, run_id: str, name: str, config:
     record.write.mode("append").json(log_path)
 
 
+def log_trials(log_path: str, name: str, config: Mapping[str, object], returns: DataFrame) -> None:
+    """Append one record for every series of (series_id, date, r), with its annual Sharpe ratio."""
+    records = returns.groupBy("series_id").agg(F.count("r").alias("n_bars"), st.sharpe(F.col("r")).alias("sharpe"))
+    records.select(
+        F.col("series_id").alias("run_id"),
+        F.lit(name).alias("config_name"),
+        F.lit(stable_key(config)).alias("config_hash"),
+        F.lit(datetime.now(UTC)).cast("timestamp").alias("ts"),
+        "n_bars",
+        "sharpe",
+    ).write.mode("append").json(log_path)
+
+
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).json(log_path)
 
