@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from barweave.operators import features as ft
 from barweave.plans.common import BARS, W, r, rounded
 from barweave.plans.research_queries import _LR, CAPS, CONSTRAINED, _prices, barrier_sql, constrained_weights
 from barweave.plans.risk_queries import _DD, _NAMES, _names, _phi, _psr_sql
-from barweave.session import materialise, shared_folder
+from barweave.session import materialise, scratch_path
 from barweave.sources import store
 from barweave.sources.panel import read_table, scan_laid_out, supplier_panel, write_panel
 from barweave.streaming import bars as stream
@@ -24,20 +22,13 @@ TURNOVER_CAP = 0.25
 YEAR_AHEAD = labels.Barriers(pt=2.5, sl=2.5, vertical=252)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark).rstrip('/')}/barweave-{name}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     """Daily bars of each event type, built by a stream over the events' files."""
     schema = read_table(spark, d, "events").schema
     ticks = stream.read_ticks(spark, f"{d}/events.parquet", schema).select(
         F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size")
     )
-    home = _scratch(spark, "stream")
+    home = scratch_path(spark, "stream")
     stream.write_bars(stream.daily_bars(ticks), f"{home}/bars", f"{home}/checkpoint")
     return rounded(stream.read_bars(spark, f"{home}/bars").withColumnRenamed("key", "event_type"))
 
@@ -59,7 +50,7 @@ def name_quartiles(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_slice(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth name between two dates, from a panel laid out by bucket and year."""
-    path = _scratch(spark, "panel")
+    path = scratch_path(spark, "panel")
     panel = supplier_panel(spark, d)
     write_panel(panel, path, buckets=8)
     names = read_table(spark, d, "supplier").where("s_suppkey % 5 = 0").select(
@@ -117,7 +108,7 @@ def expanding_median(spark: SparkSession, d: str) -> DataFrame:
 
 def dsr_from_log(spark: SparkSession, d: str) -> DataFrame:
     """Deflated Sharpe of every name, with all names logged as trials and read back."""
-    names, log = materialise(_names(spark, d)), _scratch(spark, "trials")
+    names, log = materialise(_names(spark, d)), scratch_path(spark, "trials")
     store.log_trials(log, "names", {"table": "lineitem"}, names)
     return rounded(metrics.deflated_sharpe_from_log(names, store.read_log(spark, log)))
 

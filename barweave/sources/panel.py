@@ -126,14 +126,17 @@ def scan_laid_out(
     return select_panel(df, tickers, start, end).select(*PANEL_COLUMNS)
 
 
-def normalise_vendor(df: DataFrame, ticker: str) -> DataFrame:
-    """Rename a vendor frame's fields, drop unknown ones, add the ticker."""
+def normalise_vendor(df: DataFrame, ticker: str | Column) -> DataFrame:
+    """Rename a vendor frame's fields, drop unknown ones, add the ticker.
+
+    A column as ``ticker`` takes a table of many names at once.
+    """
     known = [(src, dst) for src, dst in VENDOR_FIELDS.items() if src in df.columns]
     cols = [
         F.to_date(F.col(f"`{src}`")).alias(dst) if dst == "date" else F.col(f"`{src}`").cast("double").alias(dst)
         for src, dst in known
     ]
-    out = nan_to_null(df.select(*cols, F.lit(ticker).alias("ticker")))
+    out = nan_to_null(df.select(*cols, (F.lit(ticker) if isinstance(ticker, str) else ticker).alias("ticker")))
     return out.select("date", "ticker", *[dst for _, dst in known if dst != "date"])
 
 

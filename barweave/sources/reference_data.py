@@ -15,6 +15,8 @@ MODELS = {
     "FF5+MOM": ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "RF"),
 }
 
+FREQUENCIES = {"daily": "yyyy-MM-dd", "monthly": "yyyyMM"}
+
 
 def factor_returns(factors: DataFrame, model: str = "FF5+MOM", mom: DataFrame | None = None) -> DataFrame:
     """Percent factor tables to decimals; momentum joins on common dates."""
@@ -29,13 +31,33 @@ def factor_returns(factors: DataFrame, model: str = "FF5+MOM", mom: DataFrame |
     return df.select("date", *[(F.col(f"`{c}`") / 100.0).alias(c) for c in df.columns if c != "date"])
 
 
-def scan_factors(spark: SparkSession, path: str, model: str = "FF5+MOM", mom_path: str | None = None) -> DataFrame:
-    """Factor returns from CSV files with a date column and percent values."""
+def scan_factors(
+    spark: SparkSession, path: str, model: str = "FF5+MOM", mom_path: str | None = None, frequency: str = "daily"
+) -> DataFrame:
+    """Factor returns from CSV files with a date column and percent values.
+
+    Monthly files name months as ``yyyyMM``; they become the month's first day.
+    """
     if model not in MODELS:
         raise ValueError(f"unsupported model: {model!r}")
-    cols = ", ".join(["date date", *[f"`{c}` double" for c in MODELS[model]]])
-    mom = spark.read.schema("date date, MOM double").csv(mom_path, header=True) if mom_path else None
-    return factor_returns(spark.read.schema(cols).csv(path, header=True), model, mom)
+    if frequency not in FREQUENCIES:
+        raise ValueError(f"unsupported frequency: {frequency!r}")
+    tables = []
+    for file, names in ((path, MODELS[model]), (mom_path, ("MOM",))):
+        if file is None:
+            tables.append(None)
+            continue
+        schema = ", ".join(["date string", *[f"`{c}` double" for c in names]])
+        df = spark.read.schema(schema).csv(file, header=True)
+        tables.append(df.withColumn("date", F.to_date("date", FREQUENCIES[frequency])))
+    return factor_returns(tables[0], model, tables[1])
+
+
+def compound_monthly(factors: DataFrame) -> DataFrame:
+    """Monthly returns of daily ones, by the month's first day; a month without values is NULL."""
+    names = [c for c in factors.columns if c != "date"]
+    month = F.trunc("date", "month").alias("date")
+    return factors.groupBy(month).agg(*[(F.product(1 + F.col(f"`{c}`")) - 1).alias(c) for c in names])
 
 
 def macro_series(sources: dict[str, DataFrame], ids: Sequence[str], start: str, end: str) -> DataFrame:
