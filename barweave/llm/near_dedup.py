@@ -224,15 +224,19 @@ def firsts(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     return first
 
 
-def _bucket(table: pa.Table) -> pa.Table:
+def _bucket(likely: float) -> Callable[[pa.Table], pa.Table]:
     """Items that are not the first of their group, with that one."""
-    refs = table.column("ref").to_numpy()
-    signatures = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(refs), REGISTERS)
-    order = np.argsort(refs, kind="stable")
-    refs, signatures = refs[order], signatures[order]
-    first = firsts(len(refs), lambda i, rest: similar(signatures[rest], signatures[i]) >= LIKELY)
-    joined = first != np.arange(len(refs))
-    return pa.table({"ref": pa.array(refs[joined]), "near": pa.array(refs[first[joined]])})
+
+    def run(table: pa.Table) -> pa.Table:
+        refs = table.column("ref").to_numpy()
+        signatures = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(refs), REGISTERS)
+        order = np.argsort(refs, kind="stable")
+        refs, signatures = refs[order], signatures[order]
+        first = firsts(len(refs), lambda i, rest: similar(signatures[rest], signatures[i]) >= likely)
+        joined = first != np.arange(len(refs))
+        return pa.table({"ref": pa.array(refs[joined]), "near": pa.array(refs[first[joined]])})
+
+    return run
 
 
 def met(rows: DataFrame, blocks: Column) -> DataFrame:
@@ -247,7 +251,7 @@ def met(rows: DataFrame, blocks: Column) -> DataFrame:
     )
 
 
-def candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(signatures: DataFrame, likely: float = LIKELY) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a < b) of items to verify, and groups (ref, label) all pairs of which are
     to be verified; no pair is in both."""
     rows = signatures.select("ref", F.explode("bands").alias("key"))
@@ -274,7 +278,7 @@ def candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     # An item may join the same one in many buckets: one list per item before it is spread.
     near = (
         grouped.groupBy("key", "low", "high")
-        .applyInArrow(_bucket, "ref long, near long")
+        .applyInArrow(_bucket(likely), "ref long, near long")
         .groupBy("ref")
         .agg(F.collect_set("near").alias("near"))  # one per bucket task of the item at most
     )
@@ -431,9 +435,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, likely: float = LIKELY) -> DataFrame:
     """(doc_id, ref, class_ref, links): every row with its item and its class.
 
+    ``likely`` is the estimate from which two items of a large bucket come into one group. At 0
+    all items of a bucket do, so every pair that shares a band is verified on its multisets and
+    no estimate decides anything; the cost is the square of the largest group.
+
     ``links`` is the number of verified links of the item to different texts, over all pairs
     of its group and of its buckets up to FEW. Null texts
     are empty; texts without words are one class of exact copies. Rows may repeat, null
@@ -449,7 +457,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         .dropDuplicates(["ref"]),
         "signatures",
     )
-    pairs, groups = candidates(signatures)
+    pairs, groups = candidates(signatures, likely)
     pairs = stored(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("ref")).unionByName(pairs.select(F.col("b").alias("ref")))
     needed = needed.unionByName(groups.select("ref")).distinct()
@@ -491,21 +499,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
 
 
-def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, likely: float = LIKELY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size, links per row of ``docs``."""
-    rows = stored(near_duplicates(docs, similarity), "near-duplicates")
+    rows = stored(near_duplicates(docs, similarity, likely), "near-duplicates")
     sizes = stored(rows.groupBy("class_ref").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "class-sizes")
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     return dealt(numbered, sizes, rows.count(), "class_ref", "class_size").select("doc_id", "class_id", "class_size", "links")
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, likely: float = LIKELY) -> DataFrame:
     """The rows of ``docs``, one of each class: that with the smallest doc_id (null last).
 
     All columns stay as they are, whatever they are called; rows are read as in
     :func:`near_duplicates`.
     """
-    found = near_duplicates(docs, similarity).select("doc_id", "class_ref", "ref")
+    found = near_duplicates(docs, similarity, likely).select("doc_id", "class_ref", "ref")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref"))
     ref, key, row = fresh(docs, "ref", "key", "row")
     stays = (

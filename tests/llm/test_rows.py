@@ -310,6 +310,33 @@ def test_shared_counts_copies():
     assert near_dedup.shared(a, b).tolist() == want
 
 
+def test_no_estimate_decides_when_asked(spark, monkeypatch):
+    """Large buckets of pairs near the limit: an estimate that is asked too much of loses links,
+    without one all pairs that meet are verified."""
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    rng = random.Random(21)
+    base = prose(rng, 240).split(" ")
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [prose(rng, 40) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found, want = bags(texts), Counter()
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sum((found[i] & found[j]).values())
+            if both / ((found[i] | found[j]).total() or 1) >= 0.8:
+                want.update((i, j))
+    rows = near_dedup.duplicate_classes(docs, likely=0.0).collect()
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(classes_by_hand(texts)))
+    assert {r.doc_id: r.links for r in rows if r.links} == dict(want)
+    strict = near_dedup.duplicate_classes(docs, likely=0.999).collect()
+    assert sum(r.links for r in strict) < sum(want.values())
+
+
 def test_every_two_items_of_a_bucket_meet(spark):
     sizes = {1: 5, 2: 30, 3: 100}
     rows = spark.createDataFrame([(k, i, n) for k, n in sizes.items() for i in range(n)], "key long, ref long, n long")
