@@ -10,11 +10,14 @@ Texts that are equal in this form are one item from the start; the work below is
   similarity. Points of a process come in order of time, so it ends at the first one later
   than every register.
 * Bands of six registers make buckets. Pairs of small buckets are verified one by one. In
-  the others all pairs are compared by signature, in oversized buckets block against block,
-  and items join into groups: any two that share a bucket and look alike are in one group.
-* Verification is on the multisets. Within a group all pairs are verified in tasks of two
-  blocks, which give each item's number of links and its class but no pairs. Links are
-  joined into classes by label propagation.
+  the others items are compared by signature and join into groups: any two that share a
+  bucket and look alike are in one group.
+* Verification is on the multisets, within a group down to its classes. Links are joined
+  into classes by label propagation.
+* Large buckets and groups are taken apart in two rounds (:func:`linked_in`): blocks of bounded
+  size, each with a few items of the whole; then only items outside the largest class so far
+  against all. A look-alike group of n items costs n comparisons times the block's size, not
+  n^2, and no pair that could join two classes is left out.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ MANY = 1024  # larger buckets are dealt into blocks of about this size, every tw
 SLICE_BYTES = 4 << 20  # text whose points are drawn at once
 LIKELY = 0.7  # estimate from which a pair is verified: 0.8 less four standard errors
 BLOCK_BYTES = 8 << 20  # multisets of one block of a group
+BLOCK = 256  # items of one block of a group
+HEADS = 16  # items of a key, on average, that all its blocks see
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,8 +235,8 @@ def _bucket(likely: float) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         refs = table.column("ref").to_numpy()
         signatures = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(refs), REGISTERS)
-        order = np.argsort(refs, kind="stable")
-        refs, signatures = refs[order], signatures[order]
+        refs, order = np.unique(refs, return_index=True)
+        signatures = signatures[order]
         first = firsts(len(refs), lambda i, rest: similar(signatures[rest], signatures[i]) >= likely)
         joined = first != np.arange(len(refs))
         return pa.table({"ref": pa.array(refs[joined]), "near": pa.array(refs[first[joined]])})
@@ -251,6 +256,80 @@ def met(rows: DataFrame, blocks: Column) -> DataFrame:
     )
 
 
+def linked_in(items: DataFrame, run: Callable[[pa.Table], pa.Table], payload: DataFrame) -> DataFrame:
+    """(ref, near): edges that join the items of each key as all their links would.
+
+    ``items`` (key, ref, n, k) are the members of keys of n items in k blocks, ``payload`` has
+    by ref what ``run`` compares. ``run`` gets a table with the flags ``one`` and ``other``; it links
+    items of the one kind with those of the other and gives joined items with the first of
+    their class. First every block by itself, with some HEADS items of its key. If
+    classes are left beside a key's largest, their items then meet all items of the key:
+    two items that never met are in one class already.
+    """
+    total = F.col("k") - 1
+    own = stored(
+        items.select("key", "ref", "n", F.col("k").cast("int").alias("k")).withColumn(
+            "block", F.pmod(F.xxhash64("ref"), F.col("k")).cast("int")
+        ),
+        "blocks",
+    )
+    head = F.pmod(F.xxhash64("ref", F.lit(1)), F.ceil(F.col("n") / HEADS)) == 0
+    heads = own.where((F.col("k") > 1) & head).withColumn("at", F.explode(F.sequence(F.lit(0), total)))
+    yes = F.lit(True)
+    tasks = (
+        own.withColumn("at", F.col("block"))
+        .unionByName(heads.where(F.col("at") != F.col("block")))
+        .select("key", F.lit(0).alias("part"), "at", "ref", yes.alias("one"), yes.alias("other"))
+    )
+
+    def compared(tasks: DataFrame) -> DataFrame:
+        return stored(
+            tasks.join(payload, "ref").groupBy("key", "part", "at").applyInArrow(run, "ref long, near long"), "joined"
+        )
+
+    edges = compared(tasks)
+    large = own.where("k > 1")
+    if large.isEmpty():
+        return edges
+    labels = components(edges.select(F.col("near").alias("a"), F.col("ref").alias("b")))
+    labelled = stored(
+        large.join(labels, F.col("ref") == F.col("node"), "left").select(
+            *own.columns, F.coalesce("label", "ref").alias("label")
+        ),
+        "block-labels",
+    )
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("m"), F.first("k").alias("k"))
+    # One row per block of a key, so that a large key's items meet it in many places.
+    main = (
+        counts.groupBy("key")
+        .agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"), F.first("k").alias("k"))
+        .where(F.col("all") > F.col("top.m"))
+        .select(
+            "key",
+            F.col("top.label").alias("main"),
+            F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("parts"),
+            F.explode(F.sequence(F.lit(0), total)).alias("block"),
+        )
+    )
+    open_ = stored(labelled.join(main, ["key", "block"]), "open-blocks")
+    if open_.isEmpty():
+        return edges
+    part = F.pmod(F.xxhash64("ref", F.lit(2)), F.col("parts")).cast("int")
+    no = F.lit(False)
+    rest = open_.where("label != main").select(
+        "key", part.alias("part"), F.explode(F.sequence(F.lit(0), total)).alias("at"), "ref", yes.alias("one"), no.alias("other")
+    )
+    met_by = open_.select(
+        "key",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.col("block").alias("at"),
+        "ref",
+        no.alias("one"),
+        yes.alias("other"),
+    )
+    return edges.unionByName(compared(rest.unionByName(met_by)))
+
+
 def candidates(signatures: DataFrame, likely: float = LIKELY) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a < b) of items to verify, and groups (ref, label) all pairs of which are
     to be verified; no pair is in both."""
@@ -273,12 +352,10 @@ def candidates(signatures: DataFrame, likely: float = LIKELY) -> tuple[DataFrame
         .where(x < y)
         .select(x.alias("a"), y.alias("b"))
     )
-    full = members.where(F.col("n") > FEW).join(signatures, "ref")
-    grouped = met(full.select("key", "n", "ref", "short"), F.ceil(F.col("n") / MANY))
+    full = members.where(F.col("n") > FEW).withColumn("k", F.ceil(F.col("n") / MANY))
     # An item may join the same one in many buckets: one list per item before it is spread.
     near = (
-        grouped.groupBy("key", "low", "high")
-        .applyInArrow(_bucket(likely), "ref long, near long")
+        linked_in(full, _bucket(likely), signatures.select("ref", "short"))
         .groupBy("ref")
         .agg(F.collect_set("near").alias("near"))  # one per bucket task of the item at most
     )
@@ -393,8 +470,45 @@ def _linked(similarity: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _joined(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Items of a block that are not the first of their class in it, with that one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        refs, at = np.unique(table.column("ref").to_numpy(), return_inverse=True)
+        bags: list[np.ndarray] = [np.empty(0, np.uint64)] * len(refs)
+        for i, x in zip(at, table.column("bag").combine_chunks()):
+            bags[i] = np.frombuffer(x.as_buffer(), np.uint64)
+        sizes = np.array([len(x) for x in bags], np.float64)
+        one, other = (np.unique(at[table.column(c).to_numpy()]) for c in ("one", "other"))
+        links = np.zeros((len(refs), len(refs)), bool)
+        if len(one) and len(other):
+            both = shared([bags[i] for i in one], [bags[i] for i in other])
+            found = both / (sizes[one][:, None] + sizes[other][None, :] - both) >= similarity
+            links[np.ix_(one, other)] = found
+            links[np.ix_(other, one)] |= found.T
+        first = firsts(len(refs), lambda i, rest: links[i, rest])
+        joined = first != np.arange(len(refs))
+        return pa.table({"ref": pa.array(refs[joined]), "near": pa.array(refs[first[joined]])})
+
+    return run
+
+
+def group_classes(groups: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(ref, near): edges that join the groups' items into their classes."""
+    items = groups.join(bags.select("ref", F.octet_length("bag").alias("bytes")), "ref")
+    sizes = stored(
+        items.groupBy("label").agg(
+            F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("k")
+        ),
+        "group-sizes",
+    )
+    spread = dealt(groups.withColumn("row", F.col("ref")), sizes, groups.count(), "label", "n")
+    return linked_in(spread.withColumnRenamed("label", "key"), _joined(similarity), bags)
+
+
 def group_links(groups: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """(ref, first, n): the links of the groups' items, summed up per task of two blocks."""
+    """(ref, first, n): the links of the groups' items, summed up per task of two blocks. All
+    pairs of a group are compared, as their number is what is asked for."""
     items = groups.join(bags.select("ref", F.octet_length("bag").alias("bytes")), "ref")
     sizes = items.groupBy("label").agg(
         F.ceil(F.greatest(F.count("*") / MANY, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("k")
@@ -435,16 +549,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, likely: float = LIKELY) -> DataFrame:
-    """(doc_id, ref, class_ref, links): every row with its item and its class.
+def near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, likely: float = LIKELY, count_links: bool = False
+) -> DataFrame:
+    """(doc_id, ref, class_ref): every row with its item and its class.
 
     ``likely`` is the estimate from which two items of a large bucket come into one group. At 0
     all items of a bucket do, so every pair that shares a band is verified on its multisets and
     no estimate decides anything; the cost is the square of the largest group.
 
-    ``links`` is the number of verified links of the item to different texts, over all pairs
-    of its group and of its buckets up to FEW. Null texts
-    are empty; texts without words are one class of exact copies. Rows may repeat, null
+    ``count_links`` adds ``links``, the number of verified links of the item to different texts,
+    over all pairs of its group and of its buckets up to FEW; this costs the square of the
+    largest group, classes alone do not. Null texts are empty; texts without words are one class of exact copies. Rows may repeat, null
     doc_ids are rows like others, columns beside doc_id and text are not read, and an empty
     table gives no rows. Items are told apart by a 64-bit hash of the text in normal form.
     """
@@ -478,33 +594,42 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, likely: flo
         .mapInArrow(lean(_verified(similarity)), "a long, b long, similarity double"),
         "links",
     )
-    inner = stored(group_links(groups, bags, similarity), "group-links")
+    found = group_links(groups, bags, similarity) if count_links else group_classes(groups, bags, similarity)
+    inner = stored(found.withColumnRenamed("first", "near"), "group-links")
     edges = links.select("a", "b").unionByName(
-        inner.where("ref != first").select(F.col("first").alias("a"), F.col("ref").alias("b"))
+        inner.where("ref != near").select(F.col("near").alias("a"), F.col("ref").alias("b"))
     )
     classes = components(edges).select(F.col("node").alias("ref"), F.col("label").alias("class_ref"))
-    one = F.lit(1).cast("long").alias("n")
-    degree = (
-        links.select(F.col("a").alias("ref"), one)
-        .unionByName(links.select(F.col("b").alias("ref"), one))
-        .unionByName(inner.select("ref", "n"))
-        .groupBy("ref")
-        .agg(F.sum("n").alias("links"))
-    )
-    known = classes.join(degree, "ref")
-    return (
-        base.select("doc_id", "ref")
-        .join(known, "ref", "left")
-        .select("doc_id", "ref", F.coalesce("class_ref", "ref").alias("class_ref"), F.coalesce("links", F.lit(0)).alias("links"))
+    known, extra = classes, []
+    if count_links:
+        one = F.lit(1).cast("long").alias("n")
+        degree = (
+            links.select(F.col("a").alias("ref"), one)
+            .unionByName(links.select(F.col("b").alias("ref"), one))
+            .unionByName(inner.select("ref", "n"))
+            .groupBy("ref")
+            .agg(F.sum("n").alias("links"))
+        )
+        known, extra = classes.join(degree, "ref"), [F.coalesce("links", F.lit(0)).alias("links")]
+    # An item's rows may be many: they meet its class in many places.
+    rows = stored(base.select("doc_id", "ref").withColumn("row", F.monotonically_increasing_id()), "item-rows")
+    copies = rows.groupBy("ref").agg(F.count("*").alias("copies"))
+    items = stored(copies.join(known, "ref", "left"), "items")
+    return dealt(rows, items, rows.count(), "ref", "copies").select(
+        "doc_id", "ref", F.coalesce("class_ref", "ref").alias("class_ref"), *extra
     )
 
 
-def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, likely: float = LIKELY) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_size, links per row of ``docs``."""
-    rows = stored(near_duplicates(docs, similarity, likely), "near-duplicates")
+def duplicate_classes(
+    docs: DataFrame, similarity: float = SIMILARITY, likely: float = LIKELY, count_links: bool = False
+) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_size per row of ``docs``; ``links``
+    too where asked for."""
+    rows = stored(near_duplicates(docs, similarity, likely, count_links), "near-duplicates")
     sizes = stored(rows.groupBy("class_ref").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "class-sizes")
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    return dealt(numbered, sizes, rows.count(), "class_ref", "class_size").select("doc_id", "class_id", "class_size", "links")
+    columns = ["doc_id", "class_id", "class_size", *(["links"] if count_links else [])]
+    return dealt(numbered, sizes, rows.count(), "class_ref", "class_size").select(*columns)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, likely: float = LIKELY) -> DataFrame:

@@ -266,6 +266,7 @@ def test_large_groups_of_near_copies_are_whole(spark, monkeypatch):
     """Buckets beyond both limits: split, dealt out, and still one class."""
     monkeypatch.setattr(near_dedup, "FEW", 3)
     monkeypatch.setattr(near_dedup, "MANY", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
     rng = random.Random(5)
     base = prose(rng, 150).split(" ")
     texts = []
@@ -297,7 +298,51 @@ def test_links_are_counted_over_all_pairs(spark, monkeypatch):
             if sum((found[i] & found[j]).values()) >= 0.8 * sum((found[i] | found[j]).values()):
                 want.update((i, j))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert {r.doc_id: r.links for r in near_dedup.duplicate_classes(docs).collect()} == dict(want)
+    assert {r.doc_id: r.links for r in near_dedup.duplicate_classes(docs, count_links=True).collect()} == dict(want)
+
+
+def test_classes_across_blocks(spark, monkeypatch):
+    """A group of several blocks with classes beside the largest, some in chains that run
+    through single pairs: each class is whole, whichever blocks its items are in."""
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    monkeypatch.setattr(near_dedup, "MANY", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "HEADS", 2)
+    rng = random.Random(13)
+    base, texts = prose(rng, 200).split(" "), []
+    for _ in range(60):
+        words = list(base)
+        words[rng.randrange(200)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    for start in (0, 60, 110):  # chains that leave the base step by step
+        words = list(base)
+        for step in range(16):
+            words[(start + step * 7) % 200] = f"c{start}x{step}"
+            if step > 3:
+                texts.append(" ".join(words))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = dict(enumerate(classes_by_hand(texts)))
+    assert {r.doc_id: r.class_id for r in near_dedup.duplicate_classes(docs, likely=0.0).collect()} == want
+    assert {r.doc_id: r.class_id for r in near_dedup.duplicate_classes(docs, likely=0.0, count_links=True).collect()} == want
+
+
+def test_a_large_group_costs_no_square(spark, monkeypatch):
+    """Rows that reach the block tasks grow with the group, and with what is outside its class."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "HEADS", 4)
+    items = spark.range(4000).selectExpr("1L AS key", "id AS ref", "4000L AS n", "63 AS k")
+    payload = spark.range(4000).selectExpr("id AS ref", "id % 1000 = 0 AS odd")
+
+    def run(table: pa.Table) -> pa.Table:
+        refs = [r for r, odd in zip(table.column("ref").to_pylist(), table.column("odd").to_pylist()) if not odd]
+        return pa.table({"ref": pa.array(refs[1:], pa.int64()), "near": pa.array(refs[:1] * len(refs[1:]), pa.int64())})
+
+    edges = near_dedup.linked_in(items, run, payload)
+    assert edges.count() < 4 * 4000
+    labels = near_dedup.components(edges.selectExpr("near AS a", "ref AS b"))
+    assert labels.count() == 3996 and labels.select("label").distinct().count() == 1
 
 
 def test_shared_counts_copies():
@@ -330,10 +375,10 @@ def test_no_estimate_decides_when_asked(spark, monkeypatch):
             both = sum((found[i] & found[j]).values())
             if both / ((found[i] | found[j]).total() or 1) >= 0.8:
                 want.update((i, j))
-    rows = near_dedup.duplicate_classes(docs, likely=0.0).collect()
+    rows = near_dedup.duplicate_classes(docs, likely=0.0, count_links=True).collect()
     assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(classes_by_hand(texts)))
     assert {r.doc_id: r.links for r in rows if r.links} == dict(want)
-    strict = near_dedup.duplicate_classes(docs, likely=0.999).collect()
+    strict = near_dedup.duplicate_classes(docs, likely=0.999, count_links=True).collect()
     assert sum(r.links for r in strict) < sum(want.values())
 
 
