@@ -283,9 +283,8 @@ def linked_in(items: DataFrame, run: Callable[[pa.Table], pa.Table], payload: Da
     )
 
     def compared(tasks: DataFrame) -> DataFrame:
-        return stored(
-            tasks.join(payload, "ref").groupBy("key", "part", "at").applyInArrow(run, "ref long, near long"), "joined"
-        )
+        found = tasks.join(payload, "ref").groupBy("key", "part", "at").applyInArrow(run, "ref long, near long")
+        return stored(found.distinct(), "joined")  # an item may join the same one under many keys
 
     edges = compared(tasks)
     large = own.where("k > 1")
@@ -353,13 +352,8 @@ def candidates(signatures: DataFrame, likely: float = LIKELY) -> tuple[DataFrame
         .select(x.alias("a"), y.alias("b"))
     )
     full = members.where(F.col("n") > FEW).withColumn("k", F.ceil(F.col("n") / MANY))
-    # An item may join the same one in many buckets: one list per item before it is spread.
-    near = (
-        linked_in(full, _bucket(likely), signatures.select("ref", "short"))
-        .groupBy("ref")
-        .agg(F.collect_set("near").alias("near"))  # one per bucket task of the item at most
-    )
-    groups = components(stored(near.select(F.col("ref").alias("b"), F.explode("near").alias("a")), "near"))
+    near = linked_in(full, _bucket(likely), signatures.select("ref", "short"))
+    groups = components(near.select(F.col("near").alias("a"), F.col("ref").alias("b")))
     side = [groups.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
     pairs = (
         twos.unionByName(few)
