@@ -42,7 +42,7 @@ MANY = 1024  # larger buckets are dealt into blocks of about this size, every tw
 SLICE_BYTES = 4 << 20  # text whose points are drawn at once
 LIKELY = 0.7  # estimate from which a pair is verified: 0.8 less four standard errors
 BLOCK_BYTES = 8 << 20  # multisets of one block of a group
-BLOCK = 256  # items of one block of a group
+BLOCK = 128  # items of one block of a group
 HEADS = 16  # items of a key, on average, that all its blocks see
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
