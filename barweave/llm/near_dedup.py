@@ -256,6 +256,14 @@ def met(rows: DataFrame, blocks: Column) -> DataFrame:
     )
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """The same classes by fewer edges, for an item that joined others under many keys: it keeps
+    the smallest, and that one takes the others, once for all items that have them."""
+    low = edges.groupBy("ref").agg(F.min("near").alias("low"))
+    others = edges.join(low, "ref").where("near != low").select(F.col("near").alias("ref"), F.col("low").alias("near"))
+    return stored(low.select("ref", F.col("low").alias("near")).unionByName(others.distinct()), "contracted")
+
+
 def linked_in(items: DataFrame, run: Callable[[pa.Table], pa.Table], payload: DataFrame) -> DataFrame:
     """(ref, near): edges that join the items of each key as all their links would.
 
@@ -284,7 +292,7 @@ def linked_in(items: DataFrame, run: Callable[[pa.Table], pa.Table], payload: Da
 
     def compared(tasks: DataFrame) -> DataFrame:
         found = tasks.join(payload, "ref").groupBy("key", "part", "at").applyInArrow(run, "ref long, near long")
-        return stored(found.distinct(), "joined")  # an item may join the same one under many keys
+        return contracted(stored(found.distinct(), "joined"))
 
     edges = compared(tasks)
     large = own.where("k > 1")

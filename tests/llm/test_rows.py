@@ -345,6 +345,18 @@ def test_a_large_group_costs_no_square(spark, monkeypatch):
     assert labels.count() == 3996 and labels.select("label").distinct().count() == 1
 
 
+def test_contracted_edges_join_the_same(spark):
+    rng = random.Random(6)
+    rows = list({(b, a) for a, b in (sorted(rng.sample(range(90), 2)) for _ in range(70))})
+    rows += [(200 + i, 100 + j) for i in range(50) for j in range(20)]
+    edges = spark.createDataFrame(rows, "ref long, near long")
+    few = near_dedup.contracted(edges)
+    want, got = (
+        sorted(map(tuple, near_dedup.components(e.selectExpr("near AS a", "ref AS b")).collect())) for e in (edges, few)
+    )
+    assert got == want and few.where("ref >= 100").count() == 50 + 19
+
+
 def test_shared_counts_copies():
     import numpy as np
 
