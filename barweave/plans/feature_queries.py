@@ -17,6 +17,7 @@ from barweave.sources.panel import (
     sleeve_panel,
     supplier_panel,
     supplier_sectors,
+    supplier_series,
 )
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -25,7 +26,7 @@ DELISTED_BEFORE = "2001-10-25"
 
 
 def _returns(spark: SparkSession, d: str) -> DataFrame:
-    return ft.simple_returns(supplier_panel(spark, d))
+    return ft.simple_returns(supplier_series(spark, d))
 
 
 def panel_ohlcv(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +72,7 @@ def last_bar_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_returns(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ft.log_returns(supplier_panel(spark, d)).select("date", "ticker", "log_ret"))
+    return rounded(ft.log_returns(supplier_series(spark, d)).select("date", "ticker", "log_ret"))
 
 
 def simple_returns(spark: SparkSession, d: str) -> DataFrame:
@@ -83,22 +84,22 @@ def cumulative_returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rebuilt_prices(spark: SparkSession, d: str) -> DataFrame:
-    p = ft.log_returns(supplier_panel(spark, d))
+    p = ft.log_returns(supplier_series(spark, d))
     return rounded(ft.rebuild_prices(p, base=100.0).select("date", "ticker", "rebuilt"))
 
 
 def frac_diff(spark: SparkSession, d: str) -> DataFrame:
-    p = supplier_panel(spark, d).withColumn("lp", F.ln("adj_close"))
+    p = supplier_series(spark, d).withColumn("lp", F.ln("adj_close"))
     return rounded(ft.frac_diff(p, "lp", 0.4, 1e-2).select("date", "ticker", "frac_diff"))
 
 
 def momentum(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ft.momentum(supplier_panel(spark, d), 252, 21).select("date", "ticker", "mom"))
+    return rounded(ft.momentum(supplier_series(spark, d), 252, 21).select("date", "ticker", "mom"))
 
 
 def _vol(method: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        v = ft.realized_vol(supplier_panel(spark, d), 21, method)
+        v = ft.realized_vol(supplier_series(spark, d), 21, method)
         return rounded(v.select("date", "ticker", "vol", ft.annualise_vol(F.col("vol")).alias("vol_annual")))
 
     return query
@@ -126,7 +127,7 @@ def amihud(spark: SparkSession, d: str) -> DataFrame:
 
 
 def roll_spread(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ft.roll_spread(supplier_panel(spark, d)).select("date", "ticker", "spread"), 4)
+    return rounded(ft.roll_spread(supplier_series(spark, d)).select("date", "ticker", "spread"), 4)
 
 
 def kyle_lambda(spark: SparkSession, d: str) -> DataFrame:
@@ -135,17 +136,17 @@ def kyle_lambda(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dist_high(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ft.dist_high(supplier_panel(spark, d)).select("date", "ticker", "dist_high"))
+    return rounded(ft.dist_high(supplier_series(spark, d)).select("date", "ticker", "dist_high"))
 
 
 def frac_diff_long(spark: SparkSession, d: str) -> DataFrame:
     """The filter of a model frame: some 280 weights."""
-    p = supplier_panel(spark, d).select("date", "ticker", F.ln("adj_close").alias("lp"))
+    p = supplier_series(spark, d).select("date", "ticker", F.ln("adj_close").alias("lp"))
     return rounded(ft.frac_diff(p, "lp", 0.4, 1e-4).select("date", "ticker", "frac_diff"))
 
 
 def feature_frame(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ft.feature_frame(supplier_panel(spark, d)), amihud_21=10)
+    return rounded(ft.feature_frame(supplier_series(spark, d)), amihud_21=10)
 
 
 QUERIES = {
