@@ -20,6 +20,7 @@ from barweave.sources.panel import (
     read_table,
     supplier_panel,
     supplier_sectors,
+    supplier_series,
 )
 
 # The reference's crisis windows moved into the years these tables cover, one of them empty.
@@ -38,7 +39,7 @@ def _series(panel: DataFrame) -> DataFrame:
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
-    return _series(supplier_panel(spark, d))
+    return _series(supplier_series(spark, d))
 
 
 def performance(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +96,7 @@ def stress(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(audit_op.audit_panel(supplier_panel(spark, d)))
+    return rounded(audit_op.audit_panel(supplier_series(spark, d)))
 
 
 def per_year(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +117,7 @@ def normal_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def equity_table(spark: SparkSession, d: str) -> DataFrame:
-    curve = supplier_panel(spark, d).select(F.col("ticker").alias("series_id"), "date", F.col("adj_close").alias("equity"))
+    curve = supplier_series(spark, d).select(F.col("ticker").alias("series_id"), "date", F.col("adj_close").alias("equity"))
     return rounded(metrics.normalised_equity(curve))
 
 
@@ -197,7 +198,7 @@ def cpcv_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def purged_kfold(spark: SparkSession, d: str) -> DataFrame:
-    p = supplier_panel(spark, d).select("ticker", "date").withColumn("_n", ft.bar_number())
+    p = supplier_series(spark, d).select("ticker", "date").withColumn("_n", ft.bar_number())
     size = F.max("_n").over(ft.Window.partitionBy("ticker"))
     spans = p.select(
         F.col("ticker").alias("series_id"), "date", F.least(F.col("_n") + 9, size - 1).alias("end_pos")

@@ -11,7 +11,7 @@ import __spark_entry__ as entry_module
 from barweave import session
 
 FOLDER = "/root/testdata/sf0.001"
-DEALT = ("feature_frame", "dist_high")
+DEALT = ("feature_frame", "dist_high", "rolling_sharpe_beta")
 
 
 def test_deal_follows_the_size_of_the_files(spark, tmp_path, monkeypatch):
