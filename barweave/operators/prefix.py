@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.functions.columns import ratio
-from barweave.session import materialise
+from barweave.session import deal, materialise
 
 BLOCK_DAYS = 365
 
@@ -53,7 +53,7 @@ def wealth_path(returns: DataFrame, by: str = "series_id", order: str = "date",
     start = start.withColumns({"_product": F.coalesce("_product", F.lit(1.0)), "_before": F.coalesce("_before", F.lit(0))})
     best = F.col("_product") * F.when(F.col("_product") >= 0, F.col("_top")).otherwise(F.col("_low"))
     start = _carried(start.withColumn("_best", best), by, {"_peak": F.max("_best")})
-    path = rows.join(start.select(by, "_block", "_product", "_before", "_peak"), [by, "_block"])
+    path = deal(rows, by, "_block").join(start.select(by, "_block", "_product", "_before", "_peak"), [by, "_block"])
     reach = F.col("_product") * F.when(F.col("_product") >= 0, F.col("_hi")).otherwise(F.col("_lo"))
     path = path.withColumns(
         {
