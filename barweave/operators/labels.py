@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.functions.rolling import ordered
+from barweave.session import deal
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,7 @@ def _beyond(high: Column, low: Column, x: Column) -> Column:
 def meta_labels(predictions: DataFrame, labels: DataFrame, pred: str = "pred") -> DataFrame:
     """1 where the prediction's sign equals the label's sign, on the common rows."""
     lab = labels.select("ticker", F.col("t0").alias("date"), "bin").where("bin IS NOT NULL")
-    joined = predictions.where(F.col(pred).isNotNull()).join(lab, ["date", "ticker"])
+    joined = deal(predictions.where(F.col(pred).isNotNull()), "date", "ticker").join(lab, ["date", "ticker"])
     same = F.signum(F.col(pred).cast("double")) == F.signum(F.col("bin").cast("double"))
     return joined.withColumn("meta", same.cast("int"))
 

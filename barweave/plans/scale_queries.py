@@ -10,9 +10,9 @@ from barweave.functions import normal
 from barweave.operators import covariance, expanding, labels, metrics, prefix, quantiles, signals, weights
 from barweave.operators import features as ft
 from barweave.plans.common import BARS, W, r, rounded
-from barweave.plans.research_queries import _LR, CAPS, CONSTRAINED, _prices, barrier_sql, constrained_weights
+from barweave.plans.research_queries import _LR, CAPS, CONSTRAINED, _prices, _series, barrier_sql, constrained_weights
 from barweave.plans.risk_queries import _DD, _NAMES, _names, _phi, _psr_sql
-from barweave.session import materialise, scratch_path
+from barweave.session import deal, materialise, scratch_path
 from barweave.sources import store
 from barweave.sources.panel import read_table, scan_laid_out, supplier_panel, write_panel
 from barweave.streaming import bars as stream
@@ -77,7 +77,7 @@ def _years(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = _prices(spark, d)
     asof = F.year("date").alias("asof")
     bars = cal.trading_dates(p).groupBy(asof).agg(F.count(F.lit(1)).alias("n_bars"))
-    rows = p.withColumn("r", ft.simple_ret()).where("r IS NOT NULL").select(asof, "date", "ticker", "r")
+    rows = deal(p, "ticker").withColumn("r", ft.simple_ret()).where("r IS NOT NULL").select(asof, "date", "ticker", "r")
     return materialise(rows), materialise(bars)
 
 
@@ -95,14 +95,14 @@ def drawdown_path(spark: SparkSession, d: str) -> DataFrame:
 
 def triple_barrier_year(spark: SparkSession, d: str) -> DataFrame:
     """Labels with a horizon of a year, by descent over blocks."""
-    return rounded(labels.triple_barrier(ft.realized_vol(_prices(spark, d), 21), barriers=YEAR_AHEAD))
+    return rounded(labels.triple_barrier(ft.realized_vol(_series(spark, d), 21), barriers=YEAR_AHEAD))
 
 
 def expanding_median(spark: SparkSession, d: str) -> DataFrame:
     """Each name's return on bars of rising volume, gaps filled by its median so far."""
     bars = materialise(supplier_panel(spark, d).select("date", "ticker", "adj_close", "volume"))
     rising = F.col("volume") > F.lag("volume").over(ft.ordered())
-    rows = materialise(bars.select("date", "ticker", F.when(rising, ft.log_ret()).alias("x")))
+    rows = materialise(deal(bars, "ticker").select("date", "ticker", F.when(rising, ft.log_ret()).alias("x")))
     return rounded(expanding.fill_expanding_median(rows, {"x": "filled"}).select("date", "ticker", "x", "filled"))
 
 
