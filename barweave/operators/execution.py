@@ -15,6 +15,7 @@ from barweave.functions.costs import CostModel
 from barweave.functions.rolling import cumulative, ordered
 from barweave.operators.calendar import asof_last, held_since, next_dates, trading_dates
 from barweave.operators.features import simple_ret
+from barweave.session import deal
 
 RUN = "run_id"
 
@@ -28,10 +29,10 @@ def portfolio_returns(weights: DataFrame, panel: DataFrame, run: str = RUN) -> D
     """
     calendar = trading_dates(panel)
     spans = held_since(calendar, weights.select("date").distinct())
-    rets = panel.select("date", "ticker", "adj_close").withColumn("r", simple_ret()).where("r IS NOT NULL")
+    rets = deal(panel.select("date", "ticker", "adj_close"), "ticker").withColumn("r", simple_ret()).where("r IS NOT NULL")
     w = weights.where(finite(F.col("weight"))).select(F.col("date").alias("decided"), "ticker", run, "weight")
     earned = (
-        rets.join(spans, "date")
+        deal(rets.join(spans, "date"), "decided", "ticker")
         .join(w, ["decided", "ticker"])
         .groupBy(run, "date")
         .agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
@@ -58,7 +59,7 @@ def orders(
     ``hold_missing``. When two decisions meet on one bar the later one counts.
     """
     w = ordered()
-    bars = panel.select(
+    bars = deal(panel, "ticker").select(
         "date",
         "ticker",
         F.col("adj_close").alias("_p"),
@@ -77,8 +78,7 @@ def orders(
         members = weights.select(RUN, "ticker").distinct()
         decisions = weights.select(RUN, "date").distinct()
         placed = (
-            at.join(members, "ticker")
-            .join(decisions, [RUN, "date"])
+            deal(at.join(members, "ticker").join(decisions, [RUN, "date"]), RUN, "date", "ticker")
             .join(wanted, [RUN, "date", "ticker"], "left")
             .withColumn("weight", F.coalesce("weight", F.lit(0.0)))
         )
@@ -154,7 +154,7 @@ def mark_to_market(
     bars = panel.select("date", "ticker", "adj_close").join(members, "ticker")
     trades = fills.select(RUN, "date", "ticker", "shares", (F.col("notional") + F.col("cost")).alias("paid"))
     keys = (RUN, "ticker")
-    held = bars.join(trades, [RUN, "date", "ticker"], "left")
+    held = deal(deal(bars, RUN, "date", "ticker").join(trades, [RUN, "date", "ticker"], "left"), *keys)
     held = held.withColumn("pos", F.coalesce(F.sum("shares").over(cumulative(keys)), F.lit(0.0)))
     held = held.withColumn("value", F.col("pos") * F.col("adj_close"))
     short = F.when(F.col("value") < 0, F.col("value")).otherwise(F.lit(0.0))
