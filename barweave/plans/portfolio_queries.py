@@ -12,7 +12,7 @@ from barweave.operators import calendar as cal
 from barweave.plans.common import BARS, MARKET, W, r, rounded
 from barweave.plans.research_queries import CONSTRAINED, constrained_weights
 from barweave.session import materialise
-from barweave.sources.panel import market_panel, supplier_panel
+from barweave.sources.panel import market_panel, supplier_panel, supplier_series
 
 MODEL = costs.CostModel()
 CAPITAL = 10_000_000.0
@@ -35,7 +35,7 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
 def _wishes(spark: SparkSession, d: str) -> DataFrame:
     """A share wish per bar, traded at the next open: a fixed fraction of the day's volume."""
     w = ordered()
-    p = supplier_panel(spark, d).select(
+    p = supplier_series(spark, d).select(
         "date",
         "ticker",
         F.lead("open").over(w).alias("next_open"),

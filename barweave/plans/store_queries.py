@@ -18,7 +18,7 @@ from barweave.operators import execution
 from barweave.session import materialise, scratch_path, shared_folder
 from barweave.sources import membership as members
 from barweave.sources import reference_data, store
-from barweave.sources.panel import VENDOR_FIELDS, normalise_vendor, supplier_panel, supplier_sectors
+from barweave.sources.panel import VENDOR_FIELDS, normalise_vendor, supplier_panel, supplier_sectors, supplier_series
 
 
 def stored_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def _factor_files(spark: SparkSession, d: str) -> tuple[str, str]:
 
     Unit prices jump by orders of magnitude, so log returns are taken as the percent figures.
     """
-    prices = supplier_panel(spark, d).select("date", "ticker", "adj_close")
+    prices = supplier_series(spark, d).select("date", "ticker", "adj_close")
     returns = prices.withColumn("r", ft.log_ret()).where("r IS NOT NULL").join(supplier_sectors(spark, d), "ticker")
     mean = lambda region: F.avg(F.when(F.col("sector") == region, F.col("r")))
     table = materialise(

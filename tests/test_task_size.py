@@ -11,7 +11,10 @@ import __spark_entry__ as entry_module
 from barweave import session
 
 FOLDER = "/root/testdata/sf0.001"
-DEALT = ("feature_frame", "dist_high", "rolling_sharpe_beta")
+DEALT = (
+    "feature_frame", "dist_high", "rolling_sharpe_beta", "portfolio_returns", "triple_barrier", "meta_labels", "drawdown_path", "ledger",
+    "equity_curve", "ledger_waiting",
+)
 
 
 def test_deal_follows_the_size_of_the_files(spark, tmp_path, monkeypatch):
