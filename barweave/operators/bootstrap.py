@@ -1,29 +1,31 @@
 """Resampling intervals.
 
-A series holds at most one value per calendar date. Its values are copied to a few
-replicate groups, each drawing its share of the replicates with numpy; the groups of one
-series run in parallel and only one number per replicate is shuffled. Draws depend on
-the seed, the series and the group alone, so a rerun task repeats them.
+A series holds at most one value per calendar date. Its values, as one array, are copied to a
+few replicate groups, each drawing its share of the replicates with numpy; the groups of one
+series run in parallel and leave one array of numbers per statistic. Draws depend on the seed,
+the series and the group alone, so a rerun task repeats them and all statistics share them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barweave.constants import BOOTSTRAP_BLOCK, BOOTSTRAP_REPLICATES, CONFIDENCE, TRADING_DAYS
 from barweave.functions.normal import norm_ppf
 from barweave.operators import risk
 from barweave.operators.metrics import SERIES
+from barweave.session import deal, materialise
 
 Statistic = Callable[[np.ndarray], np.ndarray]
 PER_GROUP = 250
+CHUNK = 200  # arrays of replicates held at once
 MIN_OBS = 30
 
 
@@ -58,8 +60,9 @@ def var_statistic(method: str, confidence: float = CONFIDENCE) -> Statistic:
         n = x.shape[1]
         c = x - x.mean(axis=1, keepdims=True)
         m2 = (c**2).mean(axis=1)
-        s = np.sqrt(n * (n - 1)) / (n - 2) * (c**3).mean(axis=1) / m2**1.5
-        k = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((c**4).mean(axis=1) / m2**2 - 3) + 6)
+        c2 = c * c  # numpy's general powers cost many times a product
+        s = np.sqrt(n * (n - 1)) / (n - 2) * (c2 * c).mean(axis=1) / m2**1.5
+        k = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((c2 * c2).mean(axis=1) / m2**2 - 3) + 6)
         bent = z + (z**2 - 1) / 6 * s + (z**3 - 3 * z) / 24 * k - (2 * z**3 - 5 * z) / 36 * s**2
         return -(x.mean(axis=1) + _sd(x) * bent)
 
@@ -87,6 +90,41 @@ def stationary_draws(mean_block: float) -> Callable[[np.random.Generator, int, i
     return draw
 
 
+def _resampled(
+    returns: DataFrame,
+    statistics: dict[str, Statistic],
+    n_boot: int,
+    seed: int,
+    draws: Callable[[np.random.Generator, int, int], np.ndarray],
+) -> DataFrame:
+    """(series_id, group, one array per statistic) for every series with enough bars."""
+    groups = -(-n_boot // PER_GROUP)
+    paths = (
+        deal(returns.where("r IS NOT NULL").select(SERIES, "date", "r"), SERIES)
+        .groupBy(SERIES)
+        .agg(F.array_sort(F.collect_list(F.struct("date", "r"))).alias("_path"))
+        .where(F.size("_path") >= MIN_OBS)
+        .select(SERIES, F.transform("_path", lambda x: x["r"]).alias("_r"))
+    )
+    spread = paths.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[at : at + CHUNK]
+                out = {name: [] for name in statistics}
+                for series, values, group in zip(part[SERIES], part["_r"], part["group"]):
+                    x = np.asarray(values, dtype=float)
+                    rng = np.random.default_rng([seed, zlib.crc32(str(series).encode()), int(group)])
+                    drawn = x[draws(rng, len(x), min(PER_GROUP, n_boot - group * PER_GROUP))]
+                    for name, statistic in statistics.items():
+                        out[name].append(statistic(drawn))
+                yield pd.DataFrame({SERIES: part[SERIES].to_numpy(), "group": part["group"].to_numpy(), **out})
+
+    arrays = ", ".join(f"{name} array<double>" for name in statistics)
+    return deal(spread, SERIES, "group").mapInPandas(resample, f"{SERIES} string, group int, {arrays}")
+
+
 def replicates(
     returns: DataFrame,
     statistic: Statistic,
@@ -95,26 +133,44 @@ def replicates(
     draws: Callable[[np.random.Generator, int, int], np.ndarray] = independent_draws,
 ) -> DataFrame:
     """(series_id, replicate, stat) for every resample of every series with enough bars."""
-    groups = -(-n_boot // PER_GROUP)
-    spread = (
-        returns.where("r IS NOT NULL")
-        .select(SERIES, "date", "r")
-        .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found = _resampled(returns, {"stat": statistic}, n_boot, seed, draws)
+    each = found.select(SERIES, "group", F.posexplode("stat").alias("_k", "_x"))
+    return each.select(
+        SERIES, (F.col("group") * PER_GROUP + F.col("_k")).cast("long").alias("replicate"), F.when(~F.isnan("_x"), F.col("_x")).alias("stat")
     )
 
-    def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        series, group = key
-        x = pdf.sort_values("date")["r"].to_numpy()
-        rows = min(PER_GROUP, n_boot - group * PER_GROUP)
-        if len(x) < MIN_OBS:
-            return pd.DataFrame(columns=[SERIES, "replicate", "stat"])
-        rng = np.random.default_rng([seed, zlib.crc32(str(series).encode()), int(group)])
-        stat = statistic(x[draws(rng, len(x), rows)])
-        ids = group * PER_GROUP + np.arange(rows)
-        return pd.DataFrame({SERIES: series, "replicate": ids, "stat": stat})
 
-    schema = f"{SERIES} string, replicate long, stat double"
-    return spread.groupBy(SERIES, "group").applyInPandas(resample, schema)
+def _intervals(
+    returns: DataFrame,
+    statistics: dict[str, Statistic],
+    n_boot: int,
+    seed: int,
+    level: float,
+    draws: Callable[[np.random.Generator, int, int], np.ndarray],
+) -> DataFrame:
+    """(series_id, one struct of ``ci_low``, ``ci_high`` and ``n_boot`` per statistic).
+
+    Linear between ranks, from the sorted array of a series' replicates; undefined ones (NaN) are
+    not counted.
+    """
+    found = deal(_resampled(returns, statistics, n_boot, seed, draws), SERIES)
+    tail = (1 - level) / 2
+    known = {m: F.filter(F.flatten(F.collect_list(m)), lambda x: ~F.isnan(x)) for m in statistics}
+    sets = found.groupBy(SERIES).agg(*[F.array_sort(x).alias(m) for m, x in known.items()])
+
+    def quantile(m: str, q: float) -> Column:
+        at = (F.size(m) - 1) * F.lit(q)
+        low, high = F.floor(at), F.ceil(at)
+        a, b = F.get(m, low.cast("int")), F.get(m, high.cast("int"))
+        return F.when((low == high) | (a == b), a).otherwise((high - at) * a + (at - low) * b)
+
+    return sets.select(
+        SERIES,
+        *[
+            F.struct(quantile(m, tail).alias("ci_low"), quantile(m, 1 - tail).alias("ci_high"), F.size(m).cast("long").alias("n_boot")).alias(m)
+            for m in statistics
+        ],
+    )
 
 
 def bootstrap_ci(
@@ -126,16 +182,7 @@ def bootstrap_ci(
     draws: Callable[[np.random.Generator, int, int], np.ndarray] = independent_draws,
 ) -> DataFrame:
     """Percentile interval of a statistic per series."""
-    tail = (1 - level) / 2
-    return (
-        replicates(returns, statistic, n_boot, seed, draws)
-        .groupBy(SERIES)
-        .agg(
-            F.percentile("stat", F.lit(tail)).alias("ci_low"),
-            F.percentile("stat", F.lit(1 - tail)).alias("ci_high"),
-            F.count("stat").alias("n_boot"),
-        )
-    )
+    return _intervals(returns, {"stat": statistic}, n_boot, seed, level, draws).select(SERIES, "stat.*")
 
 
 def stationary_sharpe_ci(
@@ -156,9 +203,11 @@ def var_with_interval(
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
     """Value at risk and its bootstrap interval, one row per series and method."""
+    statistics = {m: var_statistic(m, confidence) for m in methods}
+    found = materialise(_intervals(returns, statistics, n_boot, 0, 0.95, independent_draws))
     parts = [
         risk.value_at_risk(returns, m, confidence)
-        .join(bootstrap_ci(returns, var_statistic(m, confidence), n_boot), SERIES, "left")
+        .join(found.select(SERIES, f"{m}.*"), SERIES, "left")
         .withColumn("method", F.lit(m))
         for m in methods
     ]

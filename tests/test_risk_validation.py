@@ -338,3 +338,17 @@ def test_var_with_interval_holds_the_point(make_series):
     for m, x in rows.items():
         assert x["var"] == risk.value_at_risk(r, m).first()["var"]
         assert x["ci_low"] <= x["var"] <= x["ci_high"] and x["n_boot"] == 200
+
+
+def test_methods_share_their_draws(two):
+    """All statistics of a series come from one set of resamples, as arrays instead of a row per replicate."""
+    methods = {m: bootstrap.var_statistic(m) for m in risk.VAR_METHODS}
+    both = bootstrap._intervals(two, methods, 300, 0, 0.95, bootstrap.independent_draws)
+    got = {x["series_id"]: x for x in both.collect()}
+    for m, statistic in methods.items():
+        for one in bootstrap.bootstrap_ci(two, statistic, 300).collect():
+            assert got[one["series_id"]][m].asDict() == {k: one[k] for k in ("ci_low", "ci_high", "n_boot")}
+    stats = bootstrap.replicates(two, methods["historical"], 300).toPandas().groupby("series_id")["stat"]
+    assert {k: float(np.percentile(x, 2.5)) for k, x in stats} == pytest.approx({k: x["historical"]["ci_low"] for k, x in got.items()})
+    plan = bootstrap.var_with_interval(two, n_boot=300)._jdf.queryExecution().toString()
+    assert "InPandas" not in plan  # the three branches read one stored result
