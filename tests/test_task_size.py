@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from barweave import session
+from barweave.operators import signals
 
 FOLDER = "/root/testdata/sf0.001"
 DEALT = (
@@ -36,3 +37,11 @@ def test_deal_follows_the_size_of_the_files(spark, tmp_path, monkeypatch):
 def test_histories_are_dealt_by_the_size_of_the_input(spark, name):
     plan = entry_module.queries()[name](spark, FOLDER)._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
+def test_quality_deals_before_bars_are_copied(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(signals, "materialise", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    entry_module.queries()["quality"](spark, FOLDER)
+    assert "REPARTITION_BY_NUM" in plans[0]
