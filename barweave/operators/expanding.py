@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.functions.rolling import cumulative, ordered
-from barweave.session import materialise
+from barweave.session import deal, materialise
 
 RADIX = 16
 
@@ -33,7 +33,7 @@ def expanding_quantile(
     if radix < 2:
         raise ValueError("radix must be at least 2")
     x = F.col(value).cast("double")
-    rows = df.select(F.col(by).alias("_s"), F.col(order).alias("_o"), F.when(~F.isnan(x), x + 0.0).alias("_x"))
+    rows = deal(df, by).select(F.col(by).alias("_s"), F.col(order).alias("_o"), F.when(~F.isnan(x), x + 0.0).alias("_x"))
     place = (cumulative("_s", "_o"), Window.partitionBy("_s").orderBy("_x"))
     rows = rows.withColumns(
         {
@@ -86,7 +86,7 @@ def _descend(asked: DataFrame, values: DataFrame, radix: int, level: int) -> Dat
     so_far = (
         Window.partitionBy("_s", "_bucket").orderBy("_at", F.col("_k").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    both = data.unionByName(queries)
+    both = deal(data.unionByName(queries), "_s", "_bucket")
     both = both.withColumns({f"_c{d}": F.count(F.when(F.col("_digit") == d, 1)).over(so_far) for d in range(radix)})
     upto = [F.lit(0).cast("long")]
     for d in range(radix):
