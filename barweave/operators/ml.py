@@ -1,30 +1,30 @@
-"""Gradient-boosted classifier on the feature frame, trained and scored by Spark ML."""
+"""Gradient-boosted classifier on the feature frame."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barweave.operators import boosting
 from barweave.operators.calendar import asof_last
 from barweave.operators.cross_section import to_gross, with_group
 from barweave.operators.features import FEATURES, feature_frame, realized_vol
 from barweave.operators.labels import Barriers, triple_barrier
-from barweave.session import materialise, shared_folder
+from barweave.session import materialise
 
 
-def training_frame(panel: DataFrame, barriers: Barriers = Barriers(), thresh: float = 1e-4) -> DataFrame:
-    """Complete feature rows with target 1 when the upper barrier is touched first.
+def training_frame(features: DataFrame, past: DataFrame, barriers: Barriers = Barriers(), min_bars: int = 260) -> DataFrame:
+    """Complete feature rows with target 1 when the upper barrier is touched first within ``past``.
 
+    Features look back only, so those of all bars serve; a ticker needs ``min_bars`` bars in ``past``.
     Labels need a 21-bar volatility. The bars before it exists also lack the yearly
     features, so no look-ahead fill is required.
     """
-    labels = triple_barrier(realized_vol(panel, 21), barriers=barriers)
+    size = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
+    bars = past.select("date", "ticker", "adj_close").withColumn("_bars", size).where(F.col("_bars") >= min_bars)
+    labels = triple_barrier(realized_vol(bars, 21), barriers=barriers)
     labels = labels.select(F.col("t0").alias("date"), "ticker", (F.col("bin") > 0).cast("int").alias("target"))
-    return feature_frame(panel, thresh).join(labels, ["date", "ticker"]).dropna("any")
+    return features.join(labels, ["date", "ticker"]).dropna("any")
 
 
 def fit(
@@ -33,26 +33,18 @@ def fit(
     max_depth: int = 3,
     learning_rate: float = 0.05,
     seed: int = 1729,
-) -> PipelineModel | None:
-    """The fitted model, or None when the targets are all alike."""
-    shared_folder(train.sparkSession)
+) -> boosting.Model | None:
+    """The fitted model, or None when the targets are all alike.
+
+    Nothing is drawn at random, so ``seed`` has no effect.
+    """
     classes = train.agg(F.min("target").alias("lo"), F.max("target").alias("hi")).first()
     if classes is None or classes["lo"] is None or classes["lo"] == classes["hi"]:
         return None
-    trees = GBTClassifier(
-        labelCol="target",
-        featuresCol="features",
-        maxIter=n_estimators,
-        maxDepth=max_depth,
-        stepSize=learning_rate,
-        seed=seed,
-        checkpointInterval=10,
-    )
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    return Pipeline(stages=[assembler, trees]).fit(train)
+    return boosting.fit(train, FEATURES, "target", ("date", "ticker"), n_estimators, max_depth, learning_rate)
 
 
-def predict(model: PipelineModel | None, features: DataFrame, dates: DataFrame) -> DataFrame:
+def predict(model: boosting.Model | None, features: DataFrame, dates: DataFrame) -> DataFrame:
     """Scores at each decision date from every ticker's latest feature row.
 
     ``2 p - 1``, less its cross-sectional mean, scaled to unit gross. A ticker whose latest
@@ -61,11 +53,10 @@ def predict(model: PipelineModel | None, features: DataFrame, dates: DataFrame)
     spark = features.sparkSession
     if model is None:
         return spark.createDataFrame([], "date date, ticker string, score double")
-    latest = asof_last(features, dates).dropna("any", subset=list(FEATURES))
-    p_up = vector_to_array("probability")[1]
-    raw = materialise(
-        model.transform(latest).select("date", "ticker", (2 * p_up - 1).alias("score"))
-    )
+    bars = asof_last(features.select("date", "ticker"), dates)
+    complete = features.dropna("any", subset=list(FEATURES)).withColumnRenamed("date", "bar_date")
+    latest = complete.join(bars, ["ticker", "bar_date"])
+    raw = materialise(latest.select("date", "ticker", (2 * model.p_up() - 1).alias("score")))
     centred = with_group(raw, ["date"], {"_m": F.avg("score")})
     centred = materialise(centred.select("date", "ticker", (F.col("score") - F.col("_m")).alias("score")))
     return to_gross(centred)
@@ -81,6 +72,7 @@ def ml_signal(
 ) -> DataFrame:
     """Fit on bars whose label is known by ``train_end`` and score the decision dates after it."""
     end = F.lit(train_end).cast("date")
-    past = panel.where(F.col("date") <= end)
-    model = fit(materialise(training_frame(past, barriers, thresh)), **params)
-    return predict(model, feature_frame(panel, thresh), dates.where(F.col("date") > end))
+    features = materialise(feature_frame(panel, thresh))
+    known = features.where(F.col("date") <= end)
+    train = materialise(training_frame(known, panel.where(F.col("date") <= end), barriers))
+    return predict(fit(train, **params), features, dates.where(F.col("date") > end))

@@ -191,3 +191,19 @@ def test_ranks_match_pandas_with_ties_nulls_and_signs(spark):
     exp = pdf.dropna().sort_values("ticker").assign(value=lambda x: x["value"] + 0.0)
     exp = exp.set_index("ticker").groupby("date")["value"].rank(method="first")
     assert (first.sort_index() == exp.sort_index().astype(int)).all()
+
+
+def test_histories_leave_gaps_and_short_names_empty(spark):
+    rows = [(d, t, None if (t, i) == ("A", 4) else float(i * i)) for t, n in (("A", 9), ("B", 2)) for i, d in enumerate(days(n))]
+    df = spark.createDataFrame(rows[::-1], "date date, ticker string, x double").withColumn("s", F.lit(1))
+    out = ft.over_histories(df, {"s": ("x", 3, lambda x: x[:-2] + x[1:-1] + x[2:])})
+    assert out.columns == ["date", "ticker", "x", "s"]
+    a = column(out.where("ticker = 'A'"), "s")
+    assert a == [None, None, 5.0, 14.0, None, None, None, 110.0, 149.0]
+    assert column(out.where("ticker = 'B'"), "s") == [None, None]
+
+
+def test_features_update_no_frame_of_values_per_bar(panel):
+    """Long filters and deviations are taken over arrays of a history, not by moving frames."""
+    plan = ft.feature_frame(panel)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "stddev_samp" not in plan
