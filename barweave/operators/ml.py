@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from barweave.operators import boosting
 from barweave.operators.calendar import asof_last
 from barweave.operators.cross_section import to_gross, with_group
-from barweave.operators.features import FEATURES, feature_frame, realized_vol
+from barweave.operators.features import FEATURES, bar_number, feature_frame, first_complete, realized_vol
 from barweave.operators.labels import Barriers, triple_barrier
 from barweave.session import materialise
 
 
-def training_frame(features: DataFrame, past: DataFrame, barriers: Barriers = Barriers(), min_bars: int = 260) -> DataFrame:
+def training_frame(
+    features: DataFrame, past: DataFrame, barriers: Barriers = Barriers(), thresh: float = 1e-4, min_bars: int = 260
+) -> DataFrame:
     """Complete feature rows with target 1 when the upper barrier is touched first within ``past``.
 
     Features look back only, so those of all bars serve; a ticker needs ``min_bars`` bars in ``past``.
     Labels need a 21-bar volatility. The bars before it exists also lack the yearly
-    features, so no look-ahead fill is required.
+    features, so no look-ahead fill is required, and bars before the first that can have all
+    features get no label.
     """
     size = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
     bars = past.select("date", "ticker", "adj_close").withColumn("_bars", size).where(F.col("_bars") >= min_bars)
-    labels = triple_barrier(realized_vol(bars, 21), barriers=barriers)
+    bars = realized_vol(bars, 21).withColumn("_event", bar_number() >= first_complete(thresh))
+    labels = triple_barrier(bars, event="_event", barriers=barriers)
     labels = labels.select(F.col("t0").alias("date"), "ticker", (F.col("bin") > 0).cast("int").alias("target"))
     return features.join(labels, ["date", "ticker"]).dropna("any")
 
@@ -74,5 +78,5 @@ def ml_signal(
     end = F.lit(train_end).cast("date")
     features = materialise(feature_frame(panel, thresh))
     known = features.where(F.col("date") <= end)
-    train = materialise(training_frame(known, panel.where(F.col("date") <= end), barriers))
+    train = materialise(training_frame(known, panel.where(F.col("date") <= end), barriers, thresh))
     return predict(fit(train, **params), features, dates.where(F.col("date") > end))

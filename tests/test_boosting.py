@@ -66,3 +66,19 @@ def test_a_pass_reads_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(boosting, "_grow", lambda state, *a: seen.append(state.count()) or grow(state, *a))
     fitted(spark.createDataFrame(rows).repartition(8), n=3)
     assert seen == [1, 1, 1]
+
+
+def test_training_rows_are_those_of_features_of_the_past_alone(panel, wide):
+    from barweave.operators.features import feature_frame, realized_vol
+    from barweave.operators.labels import Barriers, triple_barrier
+    from barweave.operators.ml import training_frame
+
+    end, b = str(wide.index[285]), Barriers(1.0, 1.0, 5)
+    past = panel.where(F.col("date") <= F.lit(end).cast("date"))
+    labels = triple_barrier(realized_vol(past, 21), barriers=b)
+    labels = labels.select(F.col("t0").alias("date"), "ticker", (F.col("bin") > 0).cast("int").alias("target"))
+    want = feature_frame(past, 1e-2).join(labels, ["date", "ticker"]).dropna("any").toPandas()
+    got = training_frame(feature_frame(panel, 1e-2), past, b, 1e-2).toPandas()[list(want.columns)]
+    assert len(want) == 5 * (286 - 252)
+    by = ["date", "ticker"]
+    pd.testing.assert_frame_equal(got.sort_values(by, ignore_index=True), want.sort_values(by, ignore_index=True))
